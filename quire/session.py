@@ -23,6 +23,7 @@ def local_session(cores: int | str = 8, app: str = "quire", **extra: str) -> Spa
         "spark.sql.shuffle.partitions": str(cores),
         "spark.driver.memory": "12g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     })
     conf.update(extra)
     for key, value in conf.items():
