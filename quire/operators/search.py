@@ -301,7 +301,7 @@ def distinctness(vectors: DataFrame, limit: float = 0.99, **options) -> DataFram
         F.max("similarity").alias("max_similarity"),
         F.count_if(F.col("similarity") >= limit).alias("vectors_with_copies"),
     )
-    return total.join(F.broadcast(best), F.lit(True)).select(
+    return best.withColumn("vectors", total.scalar()).select(
         "vectors",
         F.floor(F.col("vectors") * (F.col("vectors") - 1) / 2).alias("pairs"),
         "max_similarity", "vectors_with_copies",
