@@ -65,7 +65,7 @@ def classify_query(query: Column) -> Column:
         for kind, patterns in QUERY_PATTERNS.items()
     }
     # (count, preference, type, patterns): the greatest wins, ties go to the earlier class
-    ranked = F.array_max(F.array(*[
+    best_class = F.array_max(F.array(*[
         F.struct(F.size(found).alias("n"), F.lit(-i).alias("o"), F.lit(kind).alias("type"), found.alias("patterns"))
         for i, (kind, found) in enumerate(matched.items())
     ]))
@@ -73,12 +73,11 @@ def classify_query(query: Column) -> Column:
         F.lit("general").alias("type"), F.lit(0.5).alias("confidence"),
         F.array().cast("array<string>").alias("patterns"),
     )
-    best = F.struct(
-        ranked["type"].alias("type"),
-        F.round(F.least(F.lit(0.95), F.lit(0.6) + ranked["n"] * F.lit(0.1)), 2).alias("confidence"),
-        ranked["patterns"].alias("patterns"),
-    )
-    return F.when(ranked["n"] == 0, none).otherwise(best)
+    return tx.let(best_class, lambda best: F.when(best["n"] == 0, none).otherwise(F.struct(
+        best["type"].alias("type"),
+        F.round(F.least(F.lit(0.95), F.lit(0.6) + best["n"] * F.lit(0.1)), 2).alias("confidence"),
+        best["patterns"].alias("patterns"),
+    )))
 
 
 def _line(prefix: str, value: Column, suffix: str = "") -> Column:
@@ -137,9 +136,14 @@ def parse_model_answer(raw: Column, required=REQUIRED_FIELDS) -> Column:
 
     A text that is no JSON object, or lacks a required field, becomes the fixed fallback.
     """
-    body = _json_part(raw)
-    data = F.from_json(body, MODEL_ANSWER, {"allowSingleQuotes": "false"})
-    keys = F.json_object_keys(body)
+    read = tx.let(_json_part(raw), lambda body: F.struct(
+        F.from_json(body, MODEL_ANSWER, {"allowSingleQuotes": "false"}).alias("data"),
+        F.json_object_keys(body).alias("keys"),
+    ))
+    return tx.let(read, lambda r: _checked_answer(r["data"], r["keys"], required))
+
+
+def _checked_answer(data: Column, keys: Column, required) -> Column:
     ok = F.coalesce(tx.all_of([F.array_contains(keys, f) for f in required]), F.lit(False))
     confidence = F.coalesce(data["confidence"].try_cast("double"), F.lit(0.0))
     citation = "array<struct<source:string,page:double,section:string>>"

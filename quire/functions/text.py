@@ -63,6 +63,12 @@ def rx(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value worked out once: the optimiser copies an inlined column into every
+    place, and into a lambda, where it would run again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _any_of(text: Column, patterns) -> Column:
     return text.rlike("|".join(f"(?:{p})" for p in ["(?i)" + q for q in patterns]))
 
@@ -97,15 +103,14 @@ def within_limit(text: Column, limit: int, tokens: TokenCounter = estimate_token
 
 
 def token_stats(text: Column, tokens: TokenCounter = estimate_tokens) -> Column:
-    n_tokens, n_words, n_chars = tokens(text), F.size(words(text)), F.length(text)
-    zero = F.lit(0.0)
-    return F.struct(
+    n_tokens, n_chars, zero = tokens(text), F.length(text), F.lit(0.0)
+    return let(F.size(words(text)), lambda n_words: F.struct(
         n_tokens.alias("total_tokens"),
         F.coalesce(F.try_divide(n_tokens, n_words), zero).alias("avg_tokens_per_word"),
         F.coalesce(F.try_divide(n_chars, n_tokens), zero).alias("avg_chars_per_token"),
         n_words.alias("word_count"),
         n_chars.alias("char_count"),
-    )
+    ))
 
 
 def _single_spaced(text: Column) -> Column:
@@ -115,30 +120,25 @@ def _single_spaced(text: Column) -> Column:
 def split_at_budget(text: Column, budget) -> Column:
     """Longest word prefix whose estimated tokens fit, and the rest, both single spaced."""
     limit = F.lit(budget).cast("int") * 4
-    flat = _single_spaced(text)
-    window = F.substring(flat, F.lit(1), limit + 1)
-    head = (
-        F.when(F.length(flat) <= limit, flat)
-        .otherwise(F.regexp_extract(window, "(?s)^(.*) ", 1))
-    )
-    rest = F.when(F.length(flat) <= limit, F.lit("")).otherwise(
-        F.substring(flat, F.length(head) + F.when(head == "", 1).otherwise(2), F.length(flat))
-    )
-    fits = F.length(text) <= limit
-    return F.struct(
-        F.when(fits, text).otherwise(head).alias("head"),
-        F.when(fits, F.lit("")).otherwise(rest).alias("rest"),
-    )
+
+    def pair(head: Column, rest: Column) -> Column:
+        return F.struct(head.alias("head"), rest.alias("rest"))
+
+    def cut(flat: Column) -> Column:
+        head = F.regexp_extract(F.substring(flat, F.lit(1), limit + 1), "(?s)^(.*) ", 1)
+        after = let(head, lambda h: pair(
+            h, F.substring(flat, F.length(h) + F.when(h == "", 1).otherwise(2), F.length(flat))))
+        return F.when(F.length(flat) <= limit, pair(flat, F.lit(""))).otherwise(after)
+
+    return F.when(F.length(text) <= limit, pair(text, F.lit(""))).otherwise(let(_single_spaced(text), cut))
 
 
 def overlap_text(text: Column, budget: int) -> Column:
     """Longest word suffix whose estimated tokens fit, single spaced."""
     limit = budget * 4
-    flat = _single_spaced(text)
-    tail = F.right(flat, F.lit(limit + 1))
-    return F.when(F.length(flat) <= limit, flat).otherwise(
-        F.regexp_extract(tail, "(?s)^[^ ]* (.*)\\z", 1)
-    )
+    return let(_single_spaced(text), lambda flat: F.when(F.length(flat) <= limit, flat).otherwise(
+        F.regexp_extract(F.right(flat, F.lit(limit + 1)), "(?s)^[^ ]* (.*)\\z", 1)
+    ))
 
 
 def _last_index(text: Column, needle: str) -> Column:

@@ -99,15 +99,17 @@ def stride_chunks(pages: DataFrame, size: int = 200, overlap: int = 40) -> DataF
     _check(size, overlap)
     stride = size - overlap
     kept = [c for c in pages.columns if c != "text"]
-    n = F.size("_w")
-    count = F.greatest(F.lit(1), F.ceil((n - overlap) / F.lit(stride)).cast("int"))
-    windows = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.array_join(F.slice("_w", i * stride + 1, size), " "),
-    )
+
+    def windows(words):
+        count = F.greatest(F.lit(1), F.ceil((F.size(words) - overlap) / F.lit(stride)).cast("int"))
+        return F.transform(
+            F.sequence(F.lit(0), count - 1),
+            lambda i: F.array_join(F.slice(words, i * stride + 1, size), " "),
+        )
+
     return (
-        pages.withColumn("_w", tx.words(F.col("text"))).filter(n > 0)
-        .select(*kept, F.posexplode(windows).alias("page_pos", "chunk_text"))
+        pages.filter(~tx.is_blank(F.col("text")))
+        .select(*kept, F.posexplode(tx.let(tx.words(F.col("text")), windows)).alias("page_pos", "chunk_text"))
         .withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
     )
 

@@ -45,7 +45,8 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFr
         T.StructField("error", T.StringType()),
     ])
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(result)
+    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         embedder.load()
         for batch in batches:
             texts, vectors, errors = batch.tolist(), [], []
@@ -64,12 +65,11 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFr
                             errors.append(str(problem))
             yield pd.DataFrame({"embedding": vectors, "error": errors})
 
-    udf = F.pandas_udf(run, result, F.PandasUDFType.SCALAR_ITER)
     problem = embeddable_problem(F.col(text))
     return (
         df.withColumn("_problem", problem)
         # a rejected text is sent as null text and its vector dropped again
-        .withColumn("_e", udf(F.when(F.col("_problem").isNull(), F.col(text)).otherwise("")))
+        .withColumn("_e", vectors_of(F.when(F.col("_problem").isNull(), F.col(text)).otherwise("")))
         .withColumn("embedding", F.when(F.col("_problem").isNull(), F.col("_e.embedding")))
         .withColumn("embedding_error", F.coalesce("_problem", "_e.error"))
         .withColumn("embedding_model", F.lit(embedder.name))

@@ -112,14 +112,14 @@ def section_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
 def with_extents(pages: DataFrame) -> DataFrame:
     """bounds = found starts, each ending a line before the next, the last with the page."""
     last_line = F.size(F.split("text", "\n")) - 1
-    bounds = F.transform(
-        "_found",
+    bounds = tx.let(F.col("_found"), lambda found: F.transform(
+        found,
         lambda x, i: F.struct(
             x["start_line"].alias("start_line"),
-            F.coalesce(F.try_element_at(F.col("_found"), i + 2)["start_line"] - 1, last_line).alias("end_line"),
+            F.coalesce(F.try_element_at(found, i + 2)["start_line"] - 1, last_line).alias("end_line"),
             x["section"].alias("section"),
         ),
-    )
+    ))
     return pages.withColumn("bounds", bounds).drop("_found")
 
 
@@ -133,15 +133,15 @@ def chunk_by_sections(bounded: DataFrame, size: int = SIZE, overlap: int = OVERL
         return cutting.cut_section(text, size, overlap, tokens)
 
     pieces = _pieces_udf(cut)
+    # texts are cut out of the page's lines before the sections become rows of their own
+    texts = tx.let(F.split("text", "\n"), lambda lines: F.transform("bounds", lambda b: F.struct(
+        b["section"].alias("section"),
+        tx.strip(F.array_join(
+            F.slice(lines, b["start_line"] + 1, b["end_line"] - b["start_line"] + 1), "\n")).alias("text"),
+    )))
     sections = (
-        bounded.withColumn("_lines", F.split("text", "\n"))
-        .select("document_id", "page_number", "_lines", F.posexplode("bounds").alias("_at", "_b"))
-        .select(
-            "document_id", "page_number", "_at", F.col("_b.section").alias("section"),
-            tx.strip(F.array_join(
-                F.slice("_lines", F.col("_b.start_line") + 1, F.col("_b.end_line") - F.col("_b.start_line") + 1), "\n",
-            )).alias("_text"),
-        )
+        bounded.select("document_id", "page_number", F.posexplode(texts).alias("_at", "_b"))
+        .select("document_id", "page_number", "_at", F.col("_b.section").alias("section"), F.col("_b.text").alias("_text"))
         .filter(F.col("_text") != "")
     )
     chunks = (

@@ -19,12 +19,10 @@ def split_pages(documents: DataFrame, lines_per_page: int | None = 20, separator
     if lines_per_page is None:
         parts = F.split("text", separator)
     else:
-        lines = F.split("text", "\n")
-        pages = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / F.lit(lines_per_page)).cast("int"))
-        parts = F.transform(
-            pages, lambda p: F.array_join(F.slice("_lines", p * lines_per_page + 1, lines_per_page), "\n")
-        )
-        documents = documents.withColumn("_lines", lines)
+        parts = tx.let(F.split("text", "\n"), lambda lines: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / F.lit(lines_per_page)).cast("int")),
+            lambda p: F.array_join(F.slice(lines, p * lines_per_page + 1, lines_per_page), "\n"),
+        ))
     if first_pages is not None:
         parts = F.slice(parts, 1, first_pages)
     return (
@@ -43,34 +41,31 @@ def even_pages(documents: DataFrame, pages: str = "page_count") -> DataFrame:
     kept = [c for c in documents.columns if c != "text"]
     n = F.col(pages).cast("int")
     target = F.ceil(F.length("text") / n).cast("int")
-    start = F.struct(
-        F.lit(0).alias("held"), F.array().cast("array<int>").alias("cuts"),
-    )
+    start = F.struct(F.lit(0).alias("held"), F.array().cast("array<int>").alias("cuts"))
 
     def step(state, line):
-        held = state["held"] + line["size"]
-        full = (held >= F.col("_target")) & (F.size(state["cuts"]) < F.col("_n") - 1)
-        return F.struct(
-            F.when(full, 0).otherwise(held).alias("held"),
-            F.when(full, F.concat(state["cuts"], F.array(line["at"]))).otherwise(state["cuts"]).alias("cuts"),
-        )
+        def move(held):
+            full = (held >= target) & (F.size(state["cuts"]) < n - 1)
+            return F.struct(
+                F.when(full, 0).otherwise(held).alias("held"),
+                F.when(full, F.concat(state["cuts"], F.array(line["at"]))).otherwise(state["cuts"]).alias("cuts"),
+            )
+        return tx.let(state["held"] + line["size"], move)
+
+    def page_texts(lines):
+        sized = F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), F.length(x).alias("size")))
+        # starts with 0: page p holds the lines after ends[p] up to ends[p + 1]
+        ends = F.concat(F.array(F.lit(0)), F.aggregate(sized, start, step)["cuts"], F.array(F.size(lines)))
+        return tx.let(ends, lambda e: F.transform(
+            F.sequence(F.lit(1), n),
+            lambda p: F.when(p < F.size(e), tx.strip(F.array_join(F.slice(
+                lines, F.try_element_at(e, p) + 1, F.try_element_at(e, p + 1) - F.try_element_at(e, p),
+            ), "\n"))).otherwise(""),
+        ))
 
-    sized = F.transform("_lines", lambda x, i: F.struct((i + 1).alias("at"), F.length(x).alias("size")))
-    ends = F.concat(F.array(F.lit(0)), F.aggregate(sized, start, step)["cuts"], F.array(F.size("_lines")))
-    # _ends starts with 0: page p holds the lines after _ends[p] up to _ends[p + 1]
-    texts = F.transform(
-        F.sequence(F.lit(1), F.col("_n")),
-        lambda p: F.when(p < F.size("_ends"), F.array_join(F.slice(
-            "_lines",
-            F.try_element_at("_ends", p) + 1,
-            F.try_element_at("_ends", p + 1) - F.try_element_at("_ends", p),
-        ), "\n")).otherwise(""),
-    )
     single = (n == 1) | (F.length("text") == 0)
+    texts = F.when(single, F.array("text")).otherwise(tx.let(F.split("text", "\n"), page_texts))
     return (
-        documents.withColumn("_n", n).withColumn("_target", target).withColumn("_lines", F.split("text", "\n"))
-        .withColumn("_ends", ends)
-        .withColumn("_texts", F.when(single, F.array("text")).otherwise(F.transform(texts, tx.strip)))
-        .select(*kept, F.posexplode("_texts").alias("_at", "text"))
+        documents.select(*kept, F.posexplode(texts).alias("_at", "text"))
         .withColumn("page_number", F.col("_at") + 1).drop("_at")
     )

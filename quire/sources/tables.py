@@ -87,9 +87,9 @@ def latest_rows(rows: DataFrame, key: str, updated: str = "updated_at") -> DataF
     return rows.groupBy(key).agg(newest).select(key, "_r.*").select(*rows.columns)
 
 
-def upsert_preferences(stored: DataFrame, changes: DataFrame, now) -> DataFrame:
-    """Stored rows and changes as one table with one row per user; a change replaces the row."""
-    changed = latest_rows(changes.withColumn("updated_at", F.lit(now).cast("timestamp")), "user_id")
+def upsert_preferences(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row per user: the user's latest change, else the stored row. updated_at is the change's time."""
+    changed = latest_rows(changes, "user_id")
     kept = stored.join(changed.select("user_id"), "user_id", "left_anti")
     return kept.unionByName(changed, allowMissingColumns=True)
 
