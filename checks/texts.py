@@ -202,6 +202,16 @@ def stride_chunks(v):
                            F.md5("chunk_text").alias("chunk"))
 
 
+@check("page_table_chunks", "T2 E3", """
+    SELECT chunk_id, page_number, page_pos, md5(chunk_text) AS chunk FROM chunks
+""", ("chunks",))
+def page_table_chunks(v):
+    """The same chunks from a table of pages: the index needs the blocked scan."""
+    numbered = chunking.number_chunks(chunking.stride_chunks(v.doc_pages, 200, 40))
+    return numbered.select("chunk_id", "page_number", F.col("page_pos").cast("bigint").alias("page_pos"),
+                           F.md5("chunk_text").alias("chunk"))
+
+
 def _page_cut_sql(pages_sql: str, size: int, overlap: int) -> str:
     """The page cutter as a recursion: one step a chunk, carrying where the last new text lay."""
     room, lap = size * 4, overlap * 4
@@ -257,11 +267,21 @@ def _page_cut_sql(pages_sql: str, size: int, overlap: int) -> str:
            md5(chunk_text) AS chunk, CAST(ceil(length(chunk_text) / 4.0) AS INT) AS chunk_tokens FROM numbered
 """, ("doc_pages",))
 def chunk_pages(v):
-    return chunking.chunk_documents(v.doc_pages, size=200, overlap=40).select(
+    return chunking.number_chunks(chunking.chunk_pages(v.doc_pages, size=200, overlap=40)).select(
         "chunk_id", "page_number", "page_position_start", "page_position_end",
         F.md5("chunk_text").alias("chunk"), "chunk_tokens")
 
 
+@check("chunk_documents", "T1 E3 H40", "WITH RECURSIVE" + _page_cut_sql("SELECT * FROM doc_pages", 800, 150) + """
+    SELECT document_id || '-chunk-' || chunk_index AS chunk_id, page_number, page_position_start, page_position_end,
+           md5(chunk_text) AS chunk FROM numbered
+""", ("doc_pages",))
+def chunk_documents(v):
+    """Default sizes, made inside each document's row."""
+    return chunking.chunk_documents(v.user_documents.select("document_id", "text")).select(
+        "chunk_id", "page_number", "page_position_start", "page_position_end", F.md5("chunk_text").alias("chunk"))
+
+
 @check("rechunk", "T15", "WITH RECURSIVE" + _page_cut_sql("""
         SELECT document_id, page_number, string_agg(chunk_text, ' ' ORDER BY chunk_index) AS text FROM chunks GROUP BY ALL""", 300, 50) + """
     SELECT document_id, chunk_index, page_number, md5(chunk_text) AS chunk FROM numbered

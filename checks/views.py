@@ -7,8 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators.chunking import stride_chunks, with_chunk_ids
-from quire.operators.scans import document_index
+from quire.operators.chunking import stride_documents
 from quire.sources.pages import split_pages
 
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
@@ -199,7 +198,7 @@ class Views:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return with_chunk_ids(document_index(stride_chunks(self.doc_pages, 200, 40)))
+        return stride_documents(self.user_documents.select("document_id", "user_id", "text"), 200, 40)
 
     @cached_property
     def chunk_vectors(self) -> DataFrame:

@@ -13,6 +13,7 @@ TokenCounter = Callable[[Column], Column]
 # White space as a JavaScript \s sees it (inside a character class).
 SPACE = "\\s\\x0B\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 NONSPACE = f"[^{SPACE}]"
+SPACE_CHARACTERS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Section header patterns, tried in this order.
 SECTION_PATTERNS = (
@@ -23,6 +24,8 @@ SECTION_PATTERNS = (
     ("roman", r"(?i)^([ivx]+)\.\s+(.+)"),
     ("step", r"(?i)^(?:step)\s+(\d+)[\s:]+(.+)"),
 )
+# Every header starts like this; most lines do not, and are spared the six patterns.
+MAYBE_HEADER = r"^(?i:\d|ch|app|step|[a-z]\.|[ivx]+\.)"
 # What a heading line looks like.
 HEADING_PATTERNS = (
     r"^(?i:Chapter|Section|Part|Article)\s+\d+",
@@ -75,7 +78,7 @@ def _any_of(text: Column, patterns) -> Column:
 
 def strip(text: Column) -> Column:
     """Trim all white space, not only blanks."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def is_blank(text: Column) -> Column:
@@ -257,12 +260,13 @@ def parent_section(number: Column, kind: Column) -> Column:
 
 def page_sections(text: Column) -> Column:
     """Every header of a page in line order: array<struct<line,number,title,type>>."""
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda line, i: F.struct(i.alias("line"), section_header(strip(line)).alias("h")),
+    lines = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("line"), strip(line).alias("text")))
+    headers = F.transform(
+        F.filter(lines, lambda x: x["text"].rlike(MAYBE_HEADER)),
+        lambda x: F.struct(x["line"].alias("line"), section_header(x["text"]).alias("h")),
     )
     return F.transform(
-        F.filter(lines, lambda x: x["h"].isNotNull()),
+        F.filter(headers, lambda x: x["h"].isNotNull()),
         lambda x: F.struct(
             x["line"].alias("line"), x["h"]["number"].alias("number"),
             x["h"]["title"].alias("title"), x["h"]["type"].alias("type"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,34 +11,52 @@ from quire.functions import text as tx
 from quire.operators import cutting
 from quire.operators.hooks import estimate
 from quire.operators.scans import document_index
+from quire.sources.pages import page_array
 
 SIZE, OVERLAP = 800, 150
 
-_PIECES = "array<struct<chunk_text:string,page_position_start:int,page_position_end:int>>"
-_ARROW = pa.struct([
-    ("chunk_text", pa.string()), ("page_position_start", pa.int32()), ("page_position_end", pa.int32()),
-])
+_PIECE = "chunk_text:string,page_position_start:int,page_position_end:int"
+_FIELDS = [("chunk_text", pa.string()), ("page_position_start", pa.int32()), ("page_position_end", pa.int32())]
 
 
 def _pieces_udf(cut):
-    """Arrow function: text -> pieces, built as one flat struct array with offsets."""
+    """Arrow function: text -> array of (chunk_text, start, end)."""
 
     def run(texts: pa.Array) -> pa.Array:
-        offsets, chunks, starts, ends = [0], [], [], []
-        for text in texts.to_pylist():
-            for chunk, start, end in cut(text) if text else ():
-                chunks.append(chunk)
-                starts.append(start)
-                ends.append(end)
-            offsets.append(len(chunks))
-        flat = pa.StructArray.from_arrays(
-            [pa.array(chunks, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())],
-            fields=list(_ARROW),
-        )
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+        return _lists([cut(text) if text else () for text in texts.to_pylist()], _FIELDS)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, T._parse_datatype_string(_PIECES))
+    return _once(F.arrow_udf(run, T._parse_datatype_string(f"array<struct<{_PIECE}>>")))
+
+
+def _page_pieces_udf(cut):
+    """Arrow function: page texts of one document -> array of (page ordinal, position, chunk_text, start, end)."""
+
+    def run(documents: pa.Array) -> pa.Array:
+        return _lists([
+            [(at + 1, pos, *piece) for at, text in enumerate(pages or ()) for pos, piece in enumerate(cut(text))]
+            for pages in documents.to_pylist()
+        ], [("ordinal", pa.int32()), ("page_pos", pa.int32()), *_FIELDS])
+
+    run.__annotations__ = {"documents": pa.Array, "return": pa.Array}
+    return _once(F.arrow_udf(run, T._parse_datatype_string(f"array<struct<ordinal:int,page_pos:int,{_PIECE}>>")))
+
+
+def _once(udf):
+    """Keep the optimiser from copying the function into a filter, which would run it twice."""
+    return udf.asNondeterministic()
+
+
+def _lists(rows, fields) -> pa.Array:
+    """Lists of tuples as one flat struct array with offsets."""
+    offsets, flat = [0], []
+    for row in rows:
+        flat.extend(row)
+        offsets.append(len(flat))
+    columns = list(zip(*flat)) if flat else [()] * len(fields)
+    arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)]
+    structs = pa.StructArray.from_arrays(arrays, fields=[pa.field(n, k) for n, k in fields])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
 
 
 def _check(size: int, overlap: int) -> None:
@@ -46,13 +64,26 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("overlap must be at least 0 and below the chunk size")
 
 
+def _page_cutter(size, overlap, sentences, tokens):
+    def cut(text):
+        return [
+            (text[lead:end], start, end)
+            for lead, start, end in cutting.cut_page(text, size, overlap, tokens, sentences)
+        ]
+    return cut
+
+
+def header_title(text: Column) -> Column:
+    """`number title` of the first header of a page."""
+    first = F.try_element_at(tx.page_sections(text), F.lit(1))
+    return tx.let(first, lambda h: F.when(h.isNotNull(), F.concat_ws(" ", h["number"], h["title"])))
+
+
 def page_title(pages: DataFrame) -> DataFrame:
     """section_title = the page's own, else `number title` of its first header."""
     if "section_title" not in pages.columns:
         pages = pages.withColumn("section_title", F.lit(None).cast("string"))
-    first = F.try_element_at(tx.page_sections(F.col("text")), F.lit(1))
-    header = F.when(first.isNotNull(), F.concat_ws(" ", first["number"], first["title"]))
-    return pages.withColumn("section_title", F.coalesce("section_title", header))
+    return pages.withColumn("section_title", F.coalesce("section_title", header_title(F.col("text"))))
 
 
 def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sentences: bool = True,
@@ -60,17 +91,11 @@ def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sent
     """One row a chunk, with page_pos inside the page; a narrow step, nothing is shuffled."""
     _check(size, overlap)
 
-    def cut(text):
-        return [
-            (text[lead:end] if (lead, end) == (0, len(text)) else text[lead:end].strip(), start, end)
-            for lead, start, end in cutting.cut_page(text, size, overlap, tokens, sentences)
-        ]
-
     if detect_headers:
         pages = page_title(pages)
     elif "section_title" not in pages.columns:
         pages = pages.withColumn("section_title", F.lit(None).cast("string"))
-    pieces = _pieces_udf(cut)
+    pieces = _pieces_udf(_page_cutter(size, overlap, sentences, tokens))
     return _unpack(pages.withColumn("_pieces", pieces("text")).drop("text"))
 
 
@@ -89,16 +114,55 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
                                                      F.col("chunk_index").cast("string")))
 
 
-def chunk_documents(pages: DataFrame, **options) -> DataFrame:
-    """chunk_pages plus the document-wide index and the chunk id."""
-    return with_chunk_ids(document_index(chunk_pages(pages, **options)))
+def number_chunks(chunks: DataFrame) -> DataFrame:
+    """Add chunk_index, running on over the pages of a document, and chunk_id."""
+    return with_chunk_ids(document_index(chunks))
+
+
+def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sentences: bool = True,
+                    tokens=estimate, detect_headers: bool = True, lines_per_page: int | None = 20) -> DataFrame:
+    """Documents (document_id, text, ...) straight to indexed chunks.
+
+    Pages and chunks of a document are made inside its row, so its chunks are numbered there
+    too: no shuffle, and no second pass for the index.
+    """
+    _check(size, overlap)
+    kept = [c for c in documents.columns if c != "text"]
+    pages = F.transform(page_array(F.col("text"), lines_per_page), lambda p: F.struct(
+        p["page_number"].alias("page_number"),
+        (header_title(p["text"]) if detect_headers else F.lit(None).cast("string")).alias("title"),
+        p["text"].alias("text"),
+    ))
+    pieces = _page_pieces_udf(_page_cutter(size, overlap, sentences, tokens))
+    split = documents.select(*kept, pages.alias("_pages"))
+    made = split.select(
+        *kept, F.transform("_pages", lambda p: p.dropFields("text")).alias("_about"),
+        pieces(F.transform("_pages", lambda p: p["text"])).alias("_pieces"),
+    )
+    rows = made.select(*kept, "_about", F.posexplode("_pieces").alias("chunk_index", "_p"))
+    return with_chunk_ids(rows.select(
+        *kept, F.col("_about")[F.col("_p.ordinal") - 1]["page_number"].alias("page_number"),
+        F.col("_about")[F.col("_p.ordinal") - 1]["title"].alias("section_title"),
+        F.col("chunk_index").cast("bigint").alias("chunk_index"), "_p.page_pos", "_p.chunk_text",
+        "_p.page_position_start", "_p.page_position_end",
+        tx.estimate_tokens(F.col("_p.chunk_text")).alias("chunk_tokens"),
+    ))
 
 
 def stride_chunks(pages: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
     """Fixed windows of `size` words that step by `size - overlap`; all inside the JVM."""
+    kept = [c for c in pages.columns if c != "text"]
+    return (
+        pages.filter(~tx.is_blank(F.col("text")))
+        .select(*kept, F.posexplode(word_windows(F.col("text"), size, overlap)).alias("page_pos", "chunk_text"))
+        .withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
+    )
+
+
+def word_windows(text: Column, size: int, overlap: int) -> Column:
+    """array<string>: windows of `size` words; the last one is never overlap alone."""
     _check(size, overlap)
     stride = size - overlap
-    kept = [c for c in pages.columns if c != "text"]
 
     def windows(words):
         count = F.greatest(F.lit(1), F.ceil((F.size(words) - overlap) / F.lit(stride)).cast("int"))
@@ -107,11 +171,20 @@ def stride_chunks(pages: DataFrame, size: int = 200, overlap: int = 40) -> DataF
             lambda i: F.array_join(F.slice(words, i * stride + 1, size), " "),
         )
 
-    return (
-        pages.filter(~tx.is_blank(F.col("text")))
-        .select(*kept, F.posexplode(tx.let(tx.words(F.col("text")), windows)).alias("page_pos", "chunk_text"))
-        .withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
-    )
+    return tx.let(tx.words(text), windows)
+
+
+def stride_documents(documents: DataFrame, size: int = 200, overlap: int = 40, lines_per_page: int | None = 20) -> DataFrame:
+    """Documents straight to indexed fixed windows, all in the document's row and in the JVM."""
+    kept = [c for c in documents.columns if c != "text"]
+    pieces = F.flatten(F.transform(
+        page_array(F.col("text"), lines_per_page),
+        lambda p: F.transform(word_windows(p["text"], size, overlap), lambda w, i: F.struct(
+            p["page_number"].alias("page_number"), i.alias("page_pos"), w.alias("chunk_text"))),
+    ))
+    rows = documents.select(*kept, F.posexplode(pieces).alias("chunk_index", "_p")).select(
+        *kept, F.col("chunk_index").cast("bigint").alias("chunk_index"), "_p.*")
+    return with_chunk_ids(rows.withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text"))))
 
 
 def rechunk(chunks: DataFrame, **options) -> DataFrame:
@@ -126,4 +199,4 @@ def rechunk(chunks: DataFrame, **options) -> DataFrame:
             F.try_element_at(titles, F.lit(1))["section_title"].alias("section_title"),
         )
     )
-    return chunk_documents(pages, **options)
+    return number_chunks(chunk_pages(pages, **options))

@@ -13,11 +13,11 @@ from quire.sources.tables import store_chunks
 
 def prepare(documents: DataFrame, lines_per_page: int | None = 20, sections: bool = False, **options) -> DataFrame:
     """Chunks of documents (document_id, user_id, text), not embedded yet."""
-    pages = split_pages(documents.select("document_id", "user_id", "text"), lines_per_page)
+    documents = documents.select("document_id", "user_id", "text")
     if not sections:
-        return chunk_documents(pages, **options)
-    owners = documents.select("document_id", "user_id")
-    return hierarchical_chunks(pages, **options).join(owners, "document_id")
+        return chunk_documents(documents, lines_per_page=lines_per_page, **options)
+    pages = split_pages(documents, lines_per_page)
+    return hierarchical_chunks(pages, **options).join(documents.select("document_id", "user_id"), "document_id")
 
 
 def ingest(documents: DataFrame, chunk_path: str, reject_path: str, embedder: Embedder | None = None,

@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 
 
-def split_pages(documents: DataFrame, lines_per_page: int | None = 20, separator: str = "\f",
-                first_pages: int | None = None) -> DataFrame:
-    """One row a page: document columns, page_number, text.
+def page_array(text: Column, lines_per_page: int | None = 20, separator: str = "\f",
+               first_pages: int | None = None) -> Column:
+    """array<struct<page_number, text>> of a document text.
 
     Pages are runs of lines, or parts between separators when lines_per_page is None. Text is
     trimmed; blank pages are left out but keep their number. first_pages reads only so many pages.
     """
-    kept = [c for c in documents.columns if c != "text"]
     if lines_per_page is None:
-        parts = F.split("text", separator)
+        parts = F.split(text, separator)
     else:
-        parts = tx.let(F.split("text", "\n"), lambda lines: F.transform(
+        parts = tx.let(F.split(text, "\n"), lambda lines: F.transform(
             F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / F.lit(lines_per_page)).cast("int")),
             lambda p: F.array_join(F.slice(lines, p * lines_per_page + 1, lines_per_page), "\n"),
         ))
     if first_pages is not None:
         parts = F.slice(parts, 1, first_pages)
-    return (
-        documents.select(*kept, F.posexplode(parts).alias("_at", "_page"))
-        .select(*kept, (F.col("_at") + 1).alias("page_number"), tx.strip(F.col("_page")).alias("text"))
-        .filter(F.col("text") != "")
-    )
+    numbered = F.transform(
+        parts, lambda page, i: F.struct((i + 1).alias("page_number"), tx.strip(page).alias("text")))
+    return F.filter(numbered, lambda p: p["text"] != "")
+
+
+def split_pages(documents: DataFrame, lines_per_page: int | None = 20, **options) -> DataFrame:
+    """One row a page: the document's columns, page_number, text."""
+    kept = [c for c in documents.columns if c != "text"]
+    return documents.select(*kept, F.inline(page_array(F.col("text"), lines_per_page, **options)))
 
 
 def even_pages(documents: DataFrame, pages: str = "page_count") -> DataFrame:
