@@ -1 +1,222 @@
-"""..."""
+"""Headers, section maps, boundaries and section-aware chunks over `manual_pages`."""
+
+from pyspark.sql import functions as F
+
+from checks.registry import check
+from quire.functions import text as tx
+from quire.operators import sections
+
+
+@check("section_headers", "T6", """
+    SELECT document_id, page_number, line, number, title, type FROM headers
+""", ("headers",))
+def section_headers(v):
+    return sections.detect_headers(v.manual_pages).select("document_id", "page_number", "line", "number", "title", "type")
+
+
+@check("section_levels", "T8 T9", """
+    SELECT document_id, page_number, line, CAST(level AS INT) AS level, parent FROM leveled_headers
+""", ("leveled_headers",))
+def section_levels(v):
+    return sections.detect_headers(v.manual_pages).select("document_id", "page_number", "line", "level", "parent")
+
+
+@check("section_map", "T7", """
+    SELECT document_id, number, title, CAST(level AS INT) AS level, type, parent, CAST(first_at // 1000 AS INT) AS first_page,
+           CAST(first_at % 1000 AS INT) AS first_line
+    FROM section_map
+""", ("section_map",))
+def section_map(v):
+    return sections.section_map(sections.detect_headers(v.manual_pages))
+
+
+_BOUNDS = """
+    starts AS (
+        SELECT l.document_id, l.page_number, l.line_no AS start_line, arg_min(m.number, m.first_at) AS number,
+               arg_min(m.title, m.first_at) AS title
+        FROM manual_lines l JOIN section_map m ON m.document_id = l.document_id
+            AND contains(trim(l.line), m.number) AND contains(trim(l.line), substr(m.title, 1, 20))
+        GROUP BY ALL),
+    bounds AS (
+        SELECT s.*, coalesce(lead(start_line) OVER (PARTITION BY s.document_id, s.page_number ORDER BY start_line) - 1, n - 1) AS end_line
+        FROM starts s JOIN (SELECT document_id, page_number, count(*) AS n FROM manual_lines GROUP BY ALL) USING (document_id, page_number))
+"""
+
+
+def _bounds(v):
+    return sections.section_boundaries(v.manual_pages, sections.section_map(sections.detect_headers(v.manual_pages)))
+
+
+@check("section_boundaries", "T10 E8", f"""
+    WITH {_BOUNDS}
+    SELECT document_id, page_number, start_line, CAST(end_line AS INT) AS end_line, number FROM bounds
+""", ("section_map", "manual_lines"))
+def section_boundaries(v):
+    return _bounds(v).select("document_id", "page_number", F.explode("bounds").alias("b")).select(
+        "document_id", "page_number", "b.start_line", "b.end_line", F.col("b.section.number").alias("number"))
+
+
+@check("large_section_maps", "T10 T13", f"""
+    WITH {_BOUNDS}
+    SELECT document_id, page_number, start_line, CAST(end_line AS INT) AS end_line, number FROM bounds
+""", ("section_map", "manual_lines"))
+def large_section_maps(v):
+    """The same boundaries through the join on substrings that documents with large maps take."""
+    kept = sections.SMALL_MAP
+    sections.SMALL_MAP = 0
+    try:
+        return section_boundaries(v)
+    finally:
+        sections.SMALL_MAP = kept
+
+
+@check("chunk_by_sections", "T11", f"""
+    WITH {_BOUNDS}
+    SELECT document_id, page_number, section_title, row_number() OVER (PARTITION BY document_id, page_number ORDER BY start_line) - 1 AS page_pos,
+           md5(text) AS chunk, CAST(length(text) AS INT) AS page_position_end
+    FROM (SELECT b.document_id, b.page_number, b.start_line, b.title AS section_title,
+                 trim(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS text
+          FROM bounds b JOIN manual_lines l ON l.document_id = b.document_id AND l.page_number = b.page_number
+              AND l.line_no BETWEEN b.start_line AND b.end_line
+          GROUP BY ALL)
+""", ("section_map", "manual_lines"))
+def chunk_by_sections(v):
+    return sections.chunk_by_sections(_bounds(v)).select(
+        "document_id", "page_number", "section_title", F.col("page_pos").cast("bigint").alias("page_pos"),
+        F.md5("chunk_text").alias("chunk"), "page_position_end")
+
+
+@check("split_sections", "T12")
+def split_sections(v):
+    """Sections over the size are split; trailing sentences open the next piece."""
+    return sections.chunk_by_sections(_bounds(v), size=20, overlap=5).select(
+        "document_id", "page_number", "page_pos", "section_title", F.md5("chunk_text").alias("chunk"))
+
+
+@check("chunk_hierarchy", "T13", """
+    SELECT p.document_id, p.page_number, m.number, CAST(m.level AS INT) AS level
+    FROM manual_pages p JOIN section_map m ON m.document_id = p.document_id
+        AND (contains(p.text, m.number) OR contains(lower(p.text), substr(lower(m.title), 1, 20)))
+""", ("section_map", "manual_pages"))
+def chunk_hierarchy(v):
+    whole = v.manual_pages.withColumn("page_pos", F.lit(0)).withColumnRenamed("text", "chunk_text")
+    found = sections.chunk_sections(whole, sections.section_map(sections.detect_headers(v.manual_pages)))
+    return found.select("document_id", "page_number", "number", "level")
+
+
+@check("chunk_hierarchy_large_maps", "T13", """
+    SELECT p.document_id, p.page_number, m.number, CAST(m.level AS INT) AS level
+    FROM manual_pages p JOIN section_map m ON m.document_id = p.document_id
+        AND (contains(p.text, m.number) OR contains(lower(p.text), substr(lower(m.title), 1, 20)))
+""", ("section_map", "manual_pages"))
+def chunk_hierarchy_large_maps(v):
+    kept = sections.SMALL_MAP
+    sections.SMALL_MAP = 0
+    try:
+        return chunk_hierarchy(v)
+    finally:
+        sections.SMALL_MAP = kept
+
+
+@check("hierarchical_chunks", "T14")
+def hierarchical_chunks(v):
+    """Manuals with sections and plain documents in one table: both branches."""
+    plain = v.doc_pages.select((-1 - F.col("document_id")).alias("document_id"), "page_number", "text")
+    both = v.manual_pages.select("document_id", "page_number", "text").unionByName(plain)
+    return sections.hierarchical_chunks(both, size=200, overlap=40).select(
+        "chunk_id", "document_id", "page_number", "chunk_index", "section_title", "is_complete_procedure", "contains_steps",
+        F.md5("chunk_text").alias("chunk"))
+
+
+@check("hierarchy_summary", "D29", f"""
+    WITH {_BOUNDS},
+    made AS (SELECT b.document_id, b.page_number, b.start_line, trim(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS text
+             FROM bounds b JOIN manual_lines l ON l.document_id = b.document_id AND l.page_number = b.page_number
+                 AND l.line_no BETWEEN b.start_line AND b.end_line GROUP BY ALL),
+    flagged AS (SELECT document_id,
+               regexp_matches(text, '(?i)(?:^|\\n)\\s*(?:\\d+[\\.)]\\s+|step\\s+\\d+|[a-z][\\.)]\\s+)') OR
+               regexp_matches(text, '(?i)(?:first|second|third|next|then|finally)') OR
+               regexp_matches(text, '(?:^|\\n)\\s*[-*•]\\s+') AS steps,
+               regexp_matches(text, '(?i)procedure\\s*:|steps?\\s*:|instructions?\\s*:|to\\s+(perform|complete|execute)') AS shown,
+               regexp_matches(text, '(?i)(?:complete|finished|done|end)') OR len(string_split(text, chr(10))) > 5 AS closed FROM made)
+    SELECT document_id, count(*) AS chunks, count(*) FILTER (shown AND steps AND closed) AS complete_procedures,
+           count(*) FILTER (steps) AS chunks_with_steps, any_value(sections) AS sections
+    FROM flagged JOIN (SELECT document_id, count(*) AS sections FROM section_map GROUP BY document_id) USING (document_id)
+    GROUP BY document_id
+""", ("section_map", "manual_lines"))
+def hierarchy_summary(v):
+    mapped = sections.section_map(sections.detect_headers(v.manual_pages))
+    chunks = sections.annotate(sections.chunk_by_sections(sections.section_boundaries(v.manual_pages, mapped)))
+    return sections.hierarchy_summary(chunks, mapped)
+
+
+@check("procedure_flags", "H8 H9 H10", """
+    SELECT *, shown AND steps AND closed AS complete FROM (
+        SELECT document_id, page_number, line_no,
+               regexp_matches(line, '(?i)is\\s+defined\\s+as|means\\s+|refers\\s+to|:\\s*the\\s+|definition\\s*:') AS defines,
+               regexp_matches(line, '(?i)procedure\\s*:|steps?\\s*:|instructions?\\s*:|to\\s+(perform|complete|execute)') AS shown,
+               regexp_matches(line, '(?i)(?:^|\\n)\\s*(?:\\d+[\\.)]\\s+|step\\s+\\d+|[a-z][\\.)]\\s+)') OR
+               regexp_matches(line, '(?i)(?:first|second|third|next|then|finally)') OR
+               regexp_matches(line, '(?:^|\\n)\\s*[-*•]\\s+') AS steps,
+               regexp_matches(line, '(?i)(?:complete|finished|done|end)') AS closed FROM manual_lines)
+""", ("manual_lines",))
+def procedure_flags(v):
+    t = F.col("line")
+    return v.manual_lines.select(
+        "document_id", "page_number", "line_no", tx.contains_definition(t).alias("defines"),
+        tx.contains_procedure(t).alias("shown"), tx.contains_steps(t).alias("steps"),
+        t.rlike("(?i)complete|finished|done|end").alias("closed"), tx.is_complete_procedure(t).alias("complete"))
+
+
+_REFERENCES = """list_transform(list_concat(
+    regexp_extract_all(text, '(?i)(?:see|refer to|reference|chapter|section|appendix|paragraph)\\s+(\\d+(?:\\.\\d+)*)', 1),
+    regexp_extract_all(text, '(?i)\\((?:ref|see)\\s+([^)]+)\\)', 1),
+    regexp_extract_all(text, '(?i)(?:page|p\\.)\\s+(\\d+)', 1)), lambda x: trim(x))"""
+_NUMBERS = """list_concat(
+    regexp_extract_all(text, '(?m)^(\\d+(?:\\.\\d+){0,5})\\s+(.+)', 1),
+    regexp_extract_all(text, '(?im)^(?:chapter|ch\\.?)\\s+(\\d+)[\\s:]+(.+)', 1),
+    regexp_extract_all(text, '(?im)^(?:appendix|app\\.?)\\s+([a-z])\\s+(.+)', 1),
+    regexp_extract_all(text, '(?im)^([a-z])\\.\\s+(.+)', 1),
+    regexp_extract_all(text, '(?im)^([ivx]+)\\.\\s+(.+)', 1),
+    regexp_extract_all(text, '(?im)^(?:step)\\s+(\\d+)[\\s:]+(.+)', 1))"""
+
+
+def _distinct(expression: str) -> str:
+    """Distinct values of a list, first occurrences in order."""
+    return (f"list_filter({expression}, lambda x, i: list_position({expression}, x) = i)")
+
+
+@check("cross_references", "H11 H12 G2", f"""
+    SELECT document_id, page_number, array_to_string({_distinct(_REFERENCES)}, '|') AS refs,
+           array_to_string({_distinct(_NUMBERS)}, '|') AS numbers
+    FROM manual_pages
+""", ("manual_pages",))
+def cross_references(v):
+    t = F.col("text")
+    return v.manual_pages.select("document_id", "page_number", F.array_join(tx.cross_references(t), "|").alias("refs"),
+                                 F.array_join(tx.section_numbers(t), "|").alias("numbers"))
+
+
+@check("enhanced_metadata", "T17", f"""
+    WITH halves AS (
+        SELECT document_id, page_number, line_no // 10 AS half, string_agg(line, chr(10) ORDER BY line_no) AS text
+        FROM manual_lines GROUP BY ALL),
+    kept AS (
+        SELECT c.document_id, c.page_number, c.half, string_agg(h.line || ':' || h.number, '|' ORDER BY h.line) AS sections
+        FROM halves c JOIN headers h ON h.document_id = c.document_id AND h.page_number = c.page_number
+            AND (contains(c.text, h.number) OR contains(c.text, substr(h.title, 1, 20)))
+        GROUP BY ALL)
+    SELECT document_id, page_number, CAST(half AS INT) AS half, coalesce(sections, '') AS sections,
+           array_to_string({_distinct(_REFERENCES)}, '|') AS refs,
+           regexp_matches(text, '(?i)is\\s+defined\\s+as|means\\s+|refers\\s+to|:\\s*the\\s+|definition\\s*:') AS defines
+    FROM halves LEFT JOIN kept USING (document_id, page_number, half)
+""", ("manual_lines", "headers"))
+def enhanced_metadata(v):
+    lines = F.split("text", "\n")
+    halves = v.manual_pages.withColumn("found", tx.page_sections(F.col("text"))).select(
+        "document_id", "page_number", "found",
+        F.posexplode(F.array(F.array_join(F.slice(lines, 1, 10), "\n"), F.array_join(F.slice(lines, 11, 10), "\n"))).alias("half", "chunk"))
+    made = halves.withColumn("m", tx.enhanced_metadata(F.col("chunk"), F.col("found")))
+    shown = F.transform("m.detected_sections", lambda s: F.concat_ws(":", s["line"].cast("string"), s["number"]))
+    return made.select("document_id", "page_number", "half", F.array_join(shown, "|").alias("sections"),
+                       F.array_join("m.cross_references", "|").alias("refs"), F.col("m.contains_definition").alias("defines"))

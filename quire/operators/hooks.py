@@ -69,7 +69,7 @@ def embed(df: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFr
     return (
         df.withColumn("_problem", problem)
         # a rejected text is sent as null text and its vector dropped again
-        .withColumn("_e", vectors_of(F.when(F.col("_problem").isNull(), F.col(text)).otherwise("")))
+        .withColumn("_e", vectors_of.asNondeterministic()(F.when(F.col("_problem").isNull(), F.col(text)).otherwise("")))
         .withColumn("embedding", F.when(F.col("_problem").isNull(), F.col("_e.embedding")))
         .withColumn("embedding_error", F.coalesce("_problem", "_e.error"))
         .withColumn("embedding_model", F.lit(embedder.name))
