@@ -1 +1,488 @@
-"""..."""
+"""Search over `embeddings`, context packing, prompts, answers and citations."""
+
+import math
+
+from pyspark.sql import functions as F
+
+from checks.registry import check
+from quire.functions import answers as an
+from quire.functions import vectors as vx
+from quire.operators import context as cx
+from quire.operators import integrity, search
+from quire.operators.analytics import retrieval_evaluation
+from quire.plans import answering
+
+T = 0.1
+# A fixed query vector, made by rule in both languages.
+QUERY = [math.cos(float(i)) for i in range(64)]
+_QUERY = "list_transform(range(64), lambda i: cos(CAST(i AS DOUBLE)))"
+
+
+# --- vectors --------------------------------------------------------------------
+
+@check("cosine_similarity", "H28 B6", f"""
+    SELECT chunk_id, round(list_cosine_similarity(embedding, {_QUERY}), 6) AS similarity,
+           round(list_cosine_similarity(embedding, {_QUERY}), 6) >= {T} AS near
+    FROM chunk_vectors
+""", ("chunk_vectors",))
+def cosine_similarity(v):
+    s = F.round(vx.cosine_similarity(F.col("embedding"), vx.literal_vector(QUERY)), 6)
+    return v.chunk_vectors.select("chunk_id", s.alias("similarity")).withColumn("near", F.col("similarity") >= T)
+
+
+@check("fit_vectors", "H29 H30 H31 H32", """
+    WITH doubled AS (SELECT chunk_id, list_transform(embedding, lambda x: x * 2) AS e FROM chunk_vectors)
+    SELECT chunk_id, round(list_sum(list_transform(list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))),
+               lambda x, i: x * i)), 6) AS unit_sum,
+           round(list_sum(list_transform(e[1:10], lambda x, i: x * i)), 6) AS first_ten, 100 AS padded, TRUE AS usable
+    FROM doubled
+""", ("chunk_vectors",))
+def fit_vectors(v):
+    text = F.to_json(F.transform("embedding", lambda x: x.cast("double") * 2))
+    parsed = v.chunk_vectors.select("chunk_id", F.from_json(text, "array<double>").alias("e"), vx.parse_vector(text).alias("p"))
+
+    def weighted(a):
+        return F.round(F.aggregate(F.transform(a, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x), 6)
+
+    return parsed.select(
+        "chunk_id", weighted(vx.l2_normalise(F.col("e"))).alias("unit_sum"), weighted(F.slice("e", 1, 10)).alias("first_ten"),
+        F.size(vx.fit_dimension(F.col("p"), 100)).alias("padded"), vx.is_valid_vector(F.col("p")).alias("usable"))
+
+
+@check("embedding_profile", "D19", """
+    SELECT chunk_id, len(embedding) AS dim, len(list_filter(embedding, lambda x: x <> 0)) AS non_zero,
+           list_min(embedding) AS min_value, list_max(embedding) AS max_value,
+           len(list_filter(embedding, lambda x: x <> 0)) > len(embedding) * 0.1 AS looks_real
+    FROM chunk_vectors
+""", ("chunk_vectors",))
+def embedding_profile(v):
+    p = integrity.embedding_profile(v.chunk_vectors)
+    return p.withColumns({"min_value": F.col("min_value").cast("double"), "max_value": F.col("max_value").cast("double")})
+
+
+@check("dimension_histogram", "D19", """
+    WITH cut AS (SELECT CASE WHEN chunk_id % 10 = 0 THEN embedding[1:32] ELSE embedding END AS e FROM chunk_vectors)
+    SELECT len(e) AS dim, count(*) AS vectors, count(*) FILTER (len(list_filter(e, lambda x: x <> 0)) > len(e) * 0.1) AS real_vectors,
+           len(e) = 64 AS expected, (SELECT count(DISTINCT len(e)) FROM cut) = 1 AS consistent
+    FROM cut GROUP BY len(e)
+""", ("chunk_vectors",))
+def dimension_histogram(v):
+    cut = v.chunk_vectors.withColumn("embedding", F.when(F.col("chunk_id") % 10 == 0, F.slice("embedding", 1, 32)).otherwise(F.col("embedding")))
+    return integrity.dimension_histogram(cut, 64)
+
+
+# --- search -----------------------------------------------------------------------
+
+@check("vector_search", "C3 C1 B5 F4 E1", f"""
+    SELECT chunk_id, document_id, filename AS document_name, page_number, round(list_cosine_similarity(embedding, {_QUERY}), 6) AS similarity
+    FROM chunk_vectors c JOIN user_documents d USING (document_id)
+    WHERE c.user_id = 3 AND embedding IS NOT NULL AND round(list_cosine_similarity(embedding, {_QUERY}), 6) >= 0.05
+    ORDER BY similarity DESC, chunk_id LIMIT 10
+""", ("chunk_vectors", "user_documents"))
+def vector_search(v):
+    hits = search.vector_search(v.chunk_vectors, QUERY, 3, 0.05, 10, documents=v.user_documents)
+    return hits.select("chunk_id", "document_id", "document_name", "page_number", "similarity")
+
+
+@check("scoped_search", "C4 B4", f"""
+    SELECT chunk_id, document_id, round(list_cosine_similarity(embedding, {_QUERY}), 6) AS similarity
+    FROM chunk_vectors WHERE user_id = 3 AND document_id IN (3, 13, 23, 33) AND round(list_cosine_similarity(embedding, {_QUERY}), 6) >= 0
+    ORDER BY similarity DESC, chunk_id LIMIT 10
+""", ("chunk_vectors",))
+def scoped_search(v):
+    hits = search.vector_search(v.chunk_vectors, QUERY, 3, 0.0, 10, document_ids=[3, 13, 23, 33])
+    return hits.select("chunk_id", "document_id", "similarity")
+
+
+_TOP5 = f"SELECT * FROM pair_hits WHERE similarity >= {T} AND rank <= 5"
+
+
+def top5(v, **options):
+    return search.batched_search(v.chunk_vectors, v.query_vectors, 5, T, skip_self=True, **options)
+
+
+def named_hits(v):
+    """Top five hits with page, document name and text."""
+    detail = v.chunk_vectors.select("chunk_id", "document_id", "page_number")
+    documents = v.user_documents.select("document_id", F.col("filename").alias("document_name"), F.col("text").alias("chunk_text"))
+    joined = top5(v).join(detail, "chunk_id").join(documents, "document_id")
+    return joined.withColumn("section_title", F.when(F.col("page_number") % 2 == 0, F.concat(F.lit("Part "), F.col("page_number").cast("string"))))
+
+
+_NAMED = f"""
+    named AS (SELECT h.*, filename AS document_name, text AS chunk_text,
+                     CASE WHEN page_number % 2 = 0 THEN 'Part ' || page_number END AS section_title
+              FROM ({_TOP5}) h JOIN user_documents d USING (document_id))"""
+
+
+@check("batched_topk", "C5 E1", f"""
+    SELECT query_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM pair_hits WHERE similarity >= {T} AND rank <= 5
+""", ("pair_hits",))
+def batched_topk(v):
+    return top5(v)
+
+
+@check("batched_topk_blocks", "C5", f"""
+    SELECT query_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM pair_hits WHERE similarity >= {T} AND rank <= 5
+""", ("pair_hits",))
+def batched_topk_blocks(v):
+    """The same result when there are too many queries to broadcast."""
+    return top5(v, broadcast_limit=1)
+
+
+@check("scoped_batched_topk", "C4 C5 B4", f"""
+    SELECT query_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM (
+        SELECT query_id, chunk_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank
+        FROM pair_hits WHERE document_id IN (query_id % 50, (query_id + 10) % 50, (query_id + 20) % 50) AND similarity >= 0)
+    WHERE rank <= 3
+""", ("pair_hits",))
+def scoped_batched_topk(v):
+    """Each question searches its own list of documents."""
+    i = F.col("query_id")
+    asked = v.query_vectors.withColumn("document_id", F.explode(F.array(i % 50, (i + 10) % 50, (i + 20) % 50)))
+    return search.batched_search(v.chunk_vectors, asked, 3, 0.0, ("user_id", "document_id"), skip_self=True)
+
+
+@check("fallback_search", "C6", """
+    WITH low AS (SELECT * FROM pair_hits WHERE similarity >= 0.25 AND rank <= 5),
+    judged AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS best FROM low)
+    SELECT query_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM judged
+    WHERE similarity >= CASE WHEN best >= 0.3 THEN 0.3 ELSE 0.25 END
+""", ("pair_hits",))
+def fallback_search(v):
+    return search.search_with_fallback(v.chunk_vectors, v.query_vectors, 5, 0.3, 0.25, skip_self=True)
+
+
+@check("inverted_lists", "C7")
+def inverted_lists(v):
+    """Approximate search: lists by k-means, the nearest few are probed, hits are scored exactly."""
+    index = search.InvertedLists(lists=10, probes=5).fit(v.chunk_vectors)
+    return index.search(index.assign(v.chunk_vectors), v.query_vectors, 5, T, skip_self=True)
+
+
+@check("distinct_vectors", "C14", """
+    SELECT (SELECT count(*) FROM chunk_vectors) AS vectors, count(*) AS pairs, max(s) AS max_similarity,
+           count(*) FILTER (s >= 0.99) AS vectors_with_copies, max(s) < 0.99 AS all_distinct
+    FROM (SELECT round(list_cosine_similarity(a.embedding, b.embedding), 6) AS s
+          FROM chunk_vectors a JOIN chunk_vectors b ON a.chunk_id < b.chunk_id)
+""", ("chunk_vectors",))
+def distinct_vectors(v):
+    return search.distinctness(v.chunk_vectors)
+
+
+@check("rerank", "F5 U2", f"""
+    WITH wide AS (SELECT * FROM pair_hits WHERE similarity >= {T} AND rank <= 9),
+    w AS (SELECT document_id, list_distinct(list_filter(regexp_split_to_array(lower(description || ' ' || status || ' ' || filename), '\\s+'), lambda x: x <> '')) AS words
+          FROM user_documents),
+    scored AS (SELECT query_id, chunk_id, similarity, round(len(list_intersect(q.words, c.words)) / len(q.words), 6) AS score
+               FROM wide h JOIN w q ON q.document_id = h.query_id % 50 JOIN w c ON c.document_id = h.document_id)
+    SELECT query_id, chunk_id, similarity, score, CAST(rank AS INT) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC, chunk_id) AS rank FROM scored) WHERE rank <= 3
+""", ("pair_hits", "user_documents"))
+def rerank(v):
+    words = v.user_documents.select("document_id", F.concat_ws(" ", "description", "status", "filename").alias("text"))
+    chunks = v.chunk_vectors.join(words.withColumnRenamed("text", "chunk_text"), "document_id")
+    asked = v.query_vectors.withColumn("document_id", F.col("query_id") % 50).join(words.withColumnRenamed("text", "query_text"), "document_id")
+    return search.search_and_rerank(chunks, asked.drop("document_id"), 3, T, skip_self=True)
+
+
+@check("merge_searches", "D21", f"""
+    SELECT request_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, chunk_id) AS rank FROM (
+            SELECT query_id % 20 AS request_id, chunk_id, max(similarity) AS similarity FROM ({_TOP5}) GROUP BY ALL))
+    WHERE rank <= 10
+""", ("pair_hits",))
+def merge_searches(v):
+    return search.merge_searches(top5(v).withColumn("request_id", F.col("query_id") % 20))
+
+
+@check("search_summary", "D20", f"""
+    SELECT query_id, count(*) AS hits, min(similarity) AS min_similarity, round(avg(similarity), 6) AS avg_similarity, max(similarity) AS max_similarity
+    FROM ({_TOP5}) GROUP BY query_id
+""", ("pair_hits",))
+def search_summary(v):
+    return search.search_summary(top5(v))
+
+
+@check("attach_filename", "C1", """
+    SELECT chunk_id, filename AS document_name FROM chunk_vectors JOIN user_documents USING (document_id)
+""", ("chunk_vectors", "user_documents"))
+def attach_filename(v):
+    return search.attach_filename(v.chunk_vectors, v.user_documents, small=False).select("chunk_id", "document_name")
+
+
+@check("index_advice", "D27", """
+    WITH d AS (SELECT user_id, count(*) AS documents FROM user_documents GROUP BY user_id),
+    c AS (SELECT user_id, count(*) * 60 AS chunks FROM chunks GROUP BY user_id)
+    SELECT user_id, documents, chunks, TRUE AS indexed, CASE WHEN chunks > 10000 THEN 2 ELSE 0 END + CASE WHEN chunks / documents > 500 THEN 1 ELSE 0 END AS hints
+    FROM d JOIN c USING (user_id)
+""", ("user_documents", "chunks"))
+def index_advice(v):
+    many = v.chunks.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(60))))
+    return search.index_advice(v.user_documents, many).withColumn("hints", F.size("hints"))
+
+
+# --- context and prompts ----------------------------------------------------------
+
+@check("classify_query", "H7", """
+    WITH l AS (SELECT query_id, lower(query_text) AS q FROM query_log),
+    n AS (SELECT query_id,
+        regexp_matches(q, 'how\\s+to\\s+')::INT + regexp_matches(q, 'steps?\\s+(to|for)')::INT + regexp_matches(q, 'procedure\\s+(for|to)')::INT +
+        regexp_matches(q, 'process\\s+(for|to)')::INT + regexp_matches(q, 'instructions?\\s+(for|to)')::INT +
+        regexp_matches(q, '\\b(submit|complete|perform|execute|conduct)\\b')::INT AS p,
+        regexp_matches(q, 'what\\s+is\\s+')::INT + regexp_matches(q, 'define\\s+')::INT + regexp_matches(q, 'definition\\s+of')::INT +
+        regexp_matches(q, 'meaning\\s+of')::INT + regexp_matches(q, '\\b(explain|describe)\\b')::INT AS d,
+        regexp_matches(q, 'analyze\\s+')::INT + regexp_matches(q, 'compare\\s+')::INT + regexp_matches(q, 'relationship\\s+between')::INT +
+        regexp_matches(q, 'structure\\s+of')::INT + regexp_matches(q, 'organization\\s+of')::INT AS a FROM l)
+    SELECT query_id, CASE WHEN greatest(p, d, a) = 0 THEN 'general' WHEN p >= greatest(d, a) THEN 'procedural' WHEN d >= a THEN 'definitional' ELSE 'analytical' END AS type,
+           CASE WHEN greatest(p, d, a) = 0 THEN 0.5 ELSE round(least(0.95, 0.6 + 0.1 * greatest(p, d, a))::DOUBLE, 2) END::DOUBLE AS confidence,
+           greatest(p, d, a) AS patterns
+    FROM n
+""", ("query_log",))
+def classify_query(v):
+    return v.query_log.select("query_id", an.classify_query(F.col("query_text")).alias("c")).select(
+        "query_id", "c.type", "c.confidence", F.size("c.patterns").alias("patterns"))
+
+
+def typed_queries(v):
+    kinds = F.array(*[F.lit(k) for k in ("procedural", "definitional", "analytical", "general")])
+    return v.query_vectors.select("query_id", "user_id", F.element_at(kinds, (F.col("query_id") % 4 + 1).cast("int")).alias("query_type"))
+
+
+_PACKED = f"""{_NAMED},
+    kinds AS (SELECT chunk_id AS query_id, ['procedural', 'definitional', 'analytical', 'general'][chunk_id % 4 + 1] AS query_type FROM chunk_vectors),
+    blocks AS (SELECT n.*, query_type, CASE query_type
+            WHEN 'procedural' THEN '[PROCEDURE SOURCE]' || chr(10) || 'Document: ' || document_name || chr(10) || 'Page: ' || page_number ||
+                coalesce(chr(10) || 'Section: ' || section_title, '') || chr(10) || 'Similarity: ' || printf('%.1f', round(similarity * 100, 1)) || '%' ||
+                chr(10) || 'Content:' || chr(10) || chunk_text || chr(10) || chr(10)
+            WHEN 'definitional' THEN '[DEFINITION SOURCE]' || chr(10) || 'Document: ' || document_name || ' (Page ' || page_number || ')' ||
+                coalesce(chr(10) || '"' || section_title || '"', '') || chr(10) || 'Content: ' || chunk_text || chr(10) || chr(10)
+            ELSE 'Document: ' || document_name || chr(10) || 'Page ' || page_number || coalesce(' - ' || section_title, '') || chr(10) ||
+                'Content: ' || chunk_text || chr(10) || chr(10) END AS block
+        FROM named n JOIN kinds USING (query_id)),
+    running AS (SELECT *, CAST(ceil(length(block) / 4.0) AS BIGINT) AS tokens,
+                       sum(CAST(ceil(length(block) / 4.0) AS BIGINT)) OVER (PARTITION BY query_id ORDER BY rank) AS so_far FROM blocks),
+    packed AS (
+        SELECT query_id, query_type, CASE WHEN count(rank) = 0 THEN 'No relevant information found in the documents.' ELSE
+                   map {{'procedural': 'Procedural information and steps from the documents:', 'definitional': 'Definitions and explanations from the documents:',
+                        'analytical': 'Analytical information for comparison and analysis:', 'general': 'Relevant information from the documents:'}}[query_type]
+                   || chr(10) || chr(10) || coalesce(string_agg(block, '' ORDER BY rank) FILTER (so_far <= 1200), '') END AS context,
+               CAST(coalesce(sum(tokens) FILTER (so_far <= 1200), 0) AS BIGINT) AS context_tokens, count(*) FILTER (so_far <= 1200) AS packed_hits
+        FROM kinds LEFT JOIN running USING (query_id, query_type) GROUP BY query_id, query_type)"""
+
+
+@check("pack_context", "E2 H16", f"""
+    WITH {_PACKED} SELECT query_id, md5(context) AS context, context_tokens, packed_hits FROM packed
+""", ("pair_hits", "user_documents"))
+def pack_context(v):
+    packed = cx.pack_context(named_hits(v), typed_queries(v), 1200)
+    return packed.select("query_id", F.md5("context").alias("context"), "context_tokens", "packed_hits")
+
+
+@check("build_prompts", "H17 H18", f"""
+    WITH {_PACKED}
+    SELECT query_id, CASE query_type WHEN 'procedural' THEN 0.05 WHEN 'analytical' THEN 0.15 ELSE 0.1 END::DOUBLE AS temperature,
+           CASE query_type WHEN 'procedural' THEN 3000 WHEN 'analytical' THEN 3500 ELSE 2500 END AS max_tokens,
+           contains(context, chr(10) || chr(10) || 'QUERY:') AS odd
+    FROM packed
+""", ("pair_hits", "user_documents"))
+def build_prompts(v):
+    packed = cx.pack_context(named_hits(v), typed_queries(v).withColumn("query_text", F.col("query_id").cast("string")), 1200)
+    return cx.build_prompts(packed, prompt_tokens=900).select(
+        "query_id", "temperature", "max_tokens", (F.size(F.split("user_prompt", "\n\nQUERY:")) != 2).alias("odd"))
+
+
+@check("fit_prompt", "H18 H19", """
+    WITH p AS (SELECT doc_id, text AS c, lang || ' question ' || source AS q, text || chr(10) || chr(10) || 'QUERY:' || lang || ' question ' || source AS prompt FROM documents)
+    SELECT doc_id, md5(CASE WHEN ceil(length(prompt) / 4.0) <= 300 THEN prompt ELSE
+               CASE WHEN length(c) > (200 - ceil(length(q) / 4.0)) * 4
+                    THEN substr(c, 1, CAST((200 - ceil(length(q) / 4.0)) * 4 AS BIGINT)) || chr(10) || chr(10) || '[... context truncated for length ...]' ELSE c END
+               || chr(10) || chr(10) || 'QUERY:' || q END) AS fitted,
+           md5(CASE WHEN ceil(length(c) / 4.0) <= 100 THEN c
+                    WHEN contains(substr(c, 1, 400), ' ') AND 400 - instr(reverse(substr(c, 1, 400)), ' ') > 320
+                    THEN substr(c, 1, 400 - instr(reverse(substr(c, 1, 400)), ' ')) || '...' ELSE substr(c, 1, 400) || '...' END) AS cut
+    FROM p
+""")
+def fit_prompt(v):
+    from quire.functions.text import truncate_prompt
+    prompt = F.concat("text", F.lit("\n\nQUERY:"), "lang", F.lit(" question "), "source")
+    return v.table("documents").select("doc_id", F.md5(an.fit_prompt(prompt, 300)).alias("fitted"),
+                                       F.md5(truncate_prompt(F.col("text"), 100)).alias("cut"))
+
+
+# --- answers ------------------------------------------------------------------------
+
+@check("answer_sources", "F6 H13", f"""
+    WITH {_NAMED},
+    cut AS (SELECT *, substr(chunk_text, 1, 200) AS c, 200 - instr(reverse(substr(chunk_text, 1, 200)), '.') AS p FROM named WHERE rank <= 3)
+    SELECT query_id, string_agg(document_name || '/' || page_number || '/' || coalesce(section_title, '') || '/' || similarity || '/' ||
+               md5(CASE WHEN length(chunk_text) <= 200 THEN chunk_text WHEN contains(c, '.') AND p > 140 THEN substr(c, 1, p + 1) ELSE c || '...' END), '|' ORDER BY rank) AS sources
+    FROM cut GROUP BY query_id
+""", ("pair_hits", "user_documents"))
+def answer_sources(v):
+    shown = F.transform("sources", lambda s: F.concat_ws(
+        "/", s["document_name"], s["page_number"].cast("string"), F.coalesce(s["section_title"], F.lit("")),
+        s["confidence"].cast("string"), F.md5(s["excerpt"])))
+    return cx.answer_sources(named_hits(v), 3).select("query_id", F.array_join(shown, "|").alias("sources"))
+
+
+@check("answer_confidence", "H24 E9", f"""
+    WITH h AS (SELECT query_id, count(*) AS n, avg(similarity) FILTER (rank <= 3) AS top3 FROM ({_TOP5}) GROUP BY query_id)
+    SELECT document_id AS query_id, round(CASE WHEN coalesce(n, 0) = 0 THEN 0.1 ELSE
+               greatest(0.1, least(1.0, top3 * 0.5 + least(n / 5.0::DOUBLE, 1) * 0.3 + least(length(text) / 100.0::DOUBLE, 1) * 0.2)) END, 6)::DOUBLE AS confidence
+    FROM user_documents LEFT JOIN h ON query_id = document_id
+""", ("pair_hits", "user_documents"))
+def answer_confidence(v):
+    stats = cx.hit_statistics(top5(v))
+    joined = v.user_documents.select(F.col("document_id").alias("query_id"), "text").join(stats, "query_id", "left")
+    return joined.select("query_id", F.round(an.answer_confidence(F.col("hits"), F.col("top3_mean"), F.col("text")), 6).alias("confidence"))
+
+
+def model_texts(v):
+    """Model answers of every kind, around the texts of the documents."""
+    i, words = F.col("doc_id"), F.regexp_replace("text", r"[^\p{L} ]", "")
+    body = F.concat(F.lit('{"answer": "'), words, F.lit(' (1.2) end.", "confidence": '), (i % 150 / 100).cast("string"),
+                    F.lit(', "sections": ["1.1"], "citations": [{"source": "doc_'), i.cast("string"), F.lit('.pdf", "page": '),
+                    (i % 40 + 1).cast("string"), F.lit("}]}"))
+    nested = F.concat(F.lit('{"answer": "{\\"answer\\": \\"inner '), i.cast("string"), F.lit('\\"}", "confidence": "high", "citations": []}'))
+    raw = (F.when(i % 6 == 0, body).when(i % 6 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" - done")))
+           .when(i % 6 == 2, F.concat(F.lit('{"answer": "'), words, F.lit('", "confidence": 0.4}')))
+           .when(i % 6 == 3, words).when(i % 6 == 4, nested)
+           .otherwise(F.concat(F.lit('{"answer": "see (Manual, Page 3)", "confidence": -1, "steps": ["a", "b"], "citations": [{"page": "x"}]}'))))
+    return v.table("documents").select("doc_id", raw.alias("raw"), words.alias("words"))
+
+
+@check("parse_answers", "H20 H21 H22 H23 F7", """
+    WITH w AS (SELECT doc_id, doc_id % 6 AS kind, regexp_replace(text, '[^\\p{L} ]', '', 'g') AS words FROM documents),
+    read AS (SELECT doc_id, kind, kind NOT IN (2, 3) AS parsed,
+               CASE kind WHEN 0 THEN words || ' (1.2) end.' WHEN 1 THEN words || ' (1.2) end.' WHEN 4 THEN 'inner ' || doc_id WHEN 5 THEN
+                   'see (Manual, Page 3)' || chr(10) || chr(10) || 'Steps:' || chr(10) || '1. a' || chr(10) || '2. b' || chr(10)
+                   ELSE 'I encountered an error processing the response. Please try rephrasing your question.' END AS answer,
+               CASE WHEN kind IN (2, 3) THEN 0.1 WHEN kind IN (0, 1) THEN least(1.0, doc_id % 150 / 100.0) ELSE 0.0 END::DOUBLE AS confidence,
+               CASE WHEN kind IN (0, 1, 5) THEN 1 ELSE 0 END AS citations FROM w)
+    SELECT doc_id, parsed, confidence, citations, md5(CASE WHEN kind IN (0, 1)
+               THEN regexp_replace(trim(regexp_replace(regexp_replace(answer, '\\s*\\(\\d+(?:\\.\\d+)*\\)', '', 'g'), '\\s+', ' ', 'g')), '\\.$', '')
+                    || ' (doc_' || doc_id || '.pdf, Page ' || (doc_id % 40 + 1) || ').'
+               ELSE trim(regexp_replace(answer, '\\s+', ' ', 'g')) END) AS shown
+    FROM read
+""")
+def parse_answers(v):
+    parsed = model_texts(v).withColumn("a", an.parse_model_answer(F.col("raw")))
+    answer = an.append_steps(an.extract_answer(F.col("a.answer"), F.col("raw")), F.col("a.steps"))
+    cited = F.transform("a.citations", lambda c: F.struct(
+        c["source"].alias("document_name"), c["page"].cast("int").alias("page_number"), F.lit(0.8).alias("confidence")))
+    return parsed.select("doc_id", "a.parsed", "a.confidence", F.size("a.citations").alias("citations"),
+                         F.md5(an.cite(answer, cited)).alias("shown"))
+
+
+@check("cite_sources", "H23 F7", """
+    WITH one AS (SELECT query_id, query_text, unnest(sources) AS s, unnest(range(len(sources))) AS i FROM query_log),
+    two AS (SELECT query_id, i, s, row_number() OVER (PARTITION BY query_id ORDER BY s.confidence DESC, i) AS rn FROM one),
+    shown AS (SELECT query_id, string_agg('(' || s.document_name || ', Page ' || s.page_number || ')', ' ' ORDER BY rn) AS c FROM two WHERE rn <= 2 GROUP BY query_id),
+    clean AS (SELECT query_id, trim(regexp_replace(regexp_replace(query_text || ' (' || query_id || '.1) it is.', '\\s*\\(\\d+(?:\\.\\d+)*\\)', '', 'g'), '\\s+', ' ', 'g')) AS t FROM query_log)
+    SELECT query_id, md5(CASE WHEN c IS NULL OR (contains(t, '(') AND contains(t, ', Page ')) THEN t ELSE regexp_replace(t, '\\.$', '') || ' ' || c || '.' END) AS cited
+    FROM clean LEFT JOIN shown USING (query_id)
+""", ("query_log",))
+def cite_sources(v):
+    text = F.concat("query_text", F.lit(" ("), F.col("query_id").cast("string"), F.lit(".1) it is."))
+    return v.query_log.select("query_id", F.md5(an.cite(text, F.col("sources"))).alias("cited"))
+
+
+@check("resolve_citations", "C11 C12", f"""
+    WITH {_NAMED},
+    cited AS (SELECT chunk_id AS query_id, 'doc_' || ((chunk_id + n * 10) % 50) || '.pdf' AS source, CAST((chunk_id + n * 10) % 40 + 1 AS INT) AS page
+              FROM chunk_vectors, (SELECT unnest(range(5)) AS n)),
+    first_hit AS (SELECT query_id, document_name, page_number, arg_min(similarity, rank) AS similarity FROM named GROUP BY ALL),
+    first_doc AS (SELECT query_id, document_name, arg_min(document_id, rank) AS document_id FROM named GROUP BY ALL)
+    SELECT c.query_id, source, page, coalesce(nullif(similarity, 0), 0.8)::DOUBLE AS confidence, coalesce(CAST(d.document_id AS VARCHAR), 'unknown') AS document_id
+    FROM cited c LEFT JOIN first_hit f ON f.query_id = c.query_id AND f.document_name = source AND f.page_number = page
+    LEFT JOIN first_doc d ON d.query_id = c.query_id AND d.document_name = source
+""", ("pair_hits", "user_documents"))
+def resolve_citations(v):
+    n = F.explode(F.sequence(F.lit(0), F.lit(4)))
+    rows = v.query_vectors.select("query_id", n.alias("n"))
+    cited = rows.select("query_id", F.concat(F.lit("doc_"), ((F.col("query_id") + F.col("n") * 10) % 50).cast("string"), F.lit(".pdf")).alias("source"),
+                        ((F.col("query_id") + F.col("n") * 10) % 40 + 1).cast("int").alias("page"))
+    return cx.resolve_citations(cited, named_hits(v)).select("query_id", "source", "page", "confidence", "document_id")
+
+
+@check("token_usage", "H36 H39", """
+    SELECT query_id, p AS prompt_tokens, c AS completion_tokens, p + c AS total_tokens,
+           CASE query_id % 4 WHEN 1 THEN 'max_tokens' WHEN 2 THEN 'stop_sequence' ELSE 'completed' END AS reason
+    FROM (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN CAST(ceil(length(query_text) / 4.0) AS BIGINT) ELSE query_id % 3 * 10 END AS p,
+                 CASE WHEN query_id % 5 = 0 THEN CAST(ceil(length(query_text) / 4.0) AS BIGINT) ELSE query_id % 5 END AS c FROM query_log)
+""", ("query_log",))
+def token_usage(v):
+    i, text = F.col("query_id"), F.col("query_text")
+    reason = F.element_at(F.array(*[F.lit(x) for x in ("stop", "length", "content_filter", "other")]), (i % 4 + 1).cast("int"))
+    return v.query_log.select("query_id", an.token_usage(i % 3 * 10, i % 5, text, text).alias("u"), an.finish_reason(reason).alias("reason")).select(
+        "query_id", "u.*", "reason")
+
+
+@check("last_messages", "E7", """
+    SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, text FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE rn <= 5 AND trim(text) <> ''
+""")
+def last_messages(v):
+    return cx.last_messages(v.table("conversations"))
+
+
+@check("source_blocks", "H34", """
+    WITH one AS (SELECT query_id, unnest(sources) AS s, unnest(range(len(sources))) AS i FROM query_log)
+    SELECT query_id, 'Context Information:' || chr(10) || any_value(query_text) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Additional Sources:' || chr(10) ||
+           string_agg('Source ' || (i + 1) || ' (document): ' || s.document_name || CASE WHEN i = 1 THEN ' (u' || s.page_number || ')' ELSE '' END ||
+               CASE WHEN i = 2 THEN ' [f' || s.page_number || ']' ELSE '' END || chr(10) || 'page ' || s.page_number, chr(10) || chr(10) ORDER BY i) AS text
+    FROM one JOIN query_log USING (query_id) GROUP BY query_id
+""", ("query_log",))
+def source_blocks(v):
+    rows = v.query_log.select("query_id", F.posexplode("sources").alias("i", "s"))
+    page = F.col("s.page_number").cast("string")
+    shown = rows.select(
+        "query_id", "i", F.lit("document").alias("kind"), F.col("s.document_name").alias("title"),
+        F.when(F.col("i") == 1, F.concat(F.lit("u"), page)).alias("url"), F.when(F.col("i") == 2, F.concat(F.lit("f"), page)).alias("filename"),
+        F.concat(F.lit("page "), page).alias("content"))
+    joined = cx.source_blocks(shown, "query_id", "i").join(v.query_log.select("query_id", "query_text"), "query_id")
+    return joined.select("query_id", cx.combined_context(F.col("query_text"), F.col("source_text")).alias("text"))
+
+
+@check("retrieval_evaluation", "D28", """
+    WITH scored AS (
+        SELECT user_id, len(list_filter(sources, lambda s: s.page_number = query_id % 40 + 1)) > 0 AS page,
+               len(list_filter(['submit', 'meaning', 'zzz'], lambda k: contains(lower(query_text), k))) / 3 AS keyword,
+               regexp_matches(query_text, '\\(.*[Pp]age \\d+.*\\)') OR len(sources) > 0 AS format FROM query_log)
+    SELECT user_id, count(*) AS questions, round(avg(page::INT), 6) AS page_accuracy, round(avg(keyword), 6) AS keyword_match,
+           round(avg(format::INT), 6) AS citation_format_accuracy, avg(page::INT) >= 0.8 AND avg(keyword) >= 0.6 AND avg(format::INT) >= 0.8 AS passed
+    FROM scored GROUP BY user_id
+""", ("query_log",))
+def evaluation(v):
+    labelled = v.query_log.withColumns({
+        "answer": F.col("query_text"), "expected_page": F.col("query_id") % 40 + 1,
+        "expected_keywords": F.array(F.lit("Submit"), F.lit("meaning"), F.lit("zzz"))})
+    return retrieval_evaluation(labelled, ["user_id"])
+
+
+# --- whole plans ------------------------------------------------------------------------
+
+def _answers(v, asked):
+    from quire.operators.hooks import Embedder, embed
+    embedder = Embedder(64)
+    chunks = embed(v.chunks.withColumn("section_title", F.lit(None).cast("string")), embedder)
+    return answering.answer_questions(asked, chunks, v.user_documents, embedder, k=5, threshold=0.5)
+
+
+@check("answer_questions", "A10 U3 H17")
+def answer_questions(v):
+    """Each user's first turns as questions over the user's own documents."""
+    asked = v.conv_texts.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("user_id"),
+                                F.col("text").alias("query_text"))
+    return _answers(v, asked).select("query_id", "user_id", "query_type", F.md5("response_text").alias("response"),
+                                     "confidence_score", "sources_found", "packed_hits", "usage.total_tokens", "finish_reason")
+
+
+@check("reprocess_queries", "C15")
+def reprocess_queries(v):
+    """Logged questions of low confidence, answered again."""
+    log = v.query_log.withColumn("user_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")))
+    again = log.filter(F.col("confidence_score") < 0.5).select("query_id", "user_id")
+    asked = log.join(again, ["query_id", "user_id"], "left_semi").select("query_id", "user_id", "query_text")
+    return _answers(v, asked).select(F.col("query_id").alias("original_query_id"), "user_id", "confidence_score", "sources_found")

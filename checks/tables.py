@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.registry import check
-from checks.views import EPOCH, NOW
+from checks.views import NOW, pick
 from quire.functions import status
 from quire.operators import listing, quality
 from quire.sources import tables
@@ -213,14 +213,14 @@ def request_rules(v):
 
 
 @check("upload_rules", "B9", """
-    SELECT document_id, concat_ws('|', CASE WHEN contains(title, chr(10)) THEN 'user_id_alphanumeric' END,
+    SELECT document_id, concat_ws('|', CASE WHEN length(title) % 2 = 0 THEN 'user_id_alphanumeric' END,
         CASE WHEN length(text) NOT BETWEEN 1 AND 200 THEN 'title_length' END, CASE WHEN length(text) > 1000 THEN 'description_length' END,
         CASE WHEN total_pages + 2 > 10 THEN 'tags_count' END, CASE WHEN length(description) * 2 > 50 THEN 'tags_length' END) AS violations
     FROM user_documents
 """, ("user_documents",))
 def upload_rules(v):
     uploads = v.user_documents.select(
-        "document_id", F.when(F.col("title").contains("\n"), "no\nname").otherwise(F.col("user_id")).alias("user_id"),
+        "document_id", F.when(F.length("title") % 2 == 0, "no\nname").otherwise(F.col("user_id")).alias("user_id"),
         F.col("text").alias("title"), F.col("text").alias("description"),
         F.concat(F.array(F.repeat("description", F.lit(2)), F.lit("x")), F.array_repeat(F.lit("t"), F.col("total_pages"))).alias("tags"))
     checked = quality.with_violations(uploads, quality.upload_rules())
@@ -385,16 +385,18 @@ def document_detail(v):
 @check("similar_queries", "H35", """
     WITH words AS (SELECT query_id, user_id, confidence_score, list_distinct(list_filter(regexp_split_to_array(
                        regexp_replace(lower(query_text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS w FROM query_log),
-    asked AS (SELECT conv_id AS request_id, conv_id % 150 AS user_id, list_distinct(list_filter(regexp_split_to_array(
-                       regexp_replace(lower(substr(text, 1, 6)), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS need FROM conv_texts)
+    asked AS (SELECT c_custkey AS request_id, c_custkey % 150 AS user_id,
+                     [['submit', 'form'], ['meaning'], ['define', 'compare'], ['steps', 'list', 'the']][c_custkey % 4 + 1] AS need FROM customer)
     SELECT request_id, query_id, confidence_score, CAST(rank AS INT) AS rank FROM (
         SELECT request_id, query_id, confidence_score, row_number() OVER (PARTITION BY request_id ORDER BY confidence_score DESC, query_id) AS rank
         FROM asked JOIN words USING (user_id) WHERE len(need) > 0 AND list_has_all(w, need))
     WHERE rank <= 5
-""", ("query_log", "conv_texts"))
+""", ("query_log",))
 def similar_queries(v):
-    asked = v.conv_texts.select(F.col("conv_id").alias("request_id"), (F.col("conv_id") % 150).alias("user_id"),
-                                F.substring("text", 1, 6).alias("query"))
+    i = F.col("c_custkey")
+    asked = v.table("customer").select(
+        i.alias("request_id"), (i % 150).alias("user_id"),
+        pick(["Submit form", "meaning?", "define, compare; define", "list the STEPS"], i % 4).alias("query"))
     return listing.similar_queries(v.query_log, asked)
 
 

@@ -16,7 +16,7 @@ NOW = "2024-01-31 00:00:00"
 SQL = {
     "user_documents": """
         SELECT doc_id AS document_id, source AS user_id, 'doc_' || doc_id || '.pdf' AS filename,
-               substr(text, 1, 60) AS title, lang || ' document from ' || source AS description,
+               split_part(text, chr(10), 1) AS title, lang || ' document from ' || source AS description,
                n_chars AS file_size, sha256(text) AS file_hash, lang, text,
                CASE doc_id % 10 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' WHEN 2 THEN 'pending' ELSE 'completed' END AS status,
                CASE doc_id % 7 WHEN 0 THEN 'downloading' WHEN 1 THEN 'extracting' WHEN 2 THEN 'chunking'
@@ -179,7 +179,7 @@ class Views:
         return self.table("documents").select(
             i.alias("document_id"), F.col("source").alias("user_id"),
             F.concat(F.lit("doc_"), i.cast("string"), F.lit(".pdf")).alias("filename"),
-            F.substring("text", 1, 60).alias("title"),
+            F.split("text", "\n")[0].alias("title"),
             F.concat("lang", F.lit(" document from "), "source").alias("description"),
             F.col("n_chars").alias("file_size"), F.sha2("text", 256).alias("file_hash"), "lang", "text",
             F.when(i % 10 == 0, "failed").when(i % 10 == 1, "processing").when(i % 10 == 2, "pending")
