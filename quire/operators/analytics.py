@@ -45,6 +45,12 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def half_up(value: Column, digits: int) -> Column:
+    """Shown figures: halves go up. Noise of the order of summation is removed first, so it cannot tip a half."""
+    scale = F.lit(float(10 ** digits))
+    return F.floor(F.round(value, 9) * scale + 0.5) / scale
+
+
 def chunks_per_document(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
 
@@ -93,7 +99,7 @@ def document_statistics(documents: DataFrame, since) -> DataFrame:
         F.count_if(F.col("status") == "completed").alias("completed_documents"),
         F.count_if(F.col("status") == "failed").alias("failed_documents"),
         F.round(F.count_if(F.col("status") == "completed") / F.count("*") * 100, 6).alias("success_rate"),
-        F.round(_mean("total_pages"), 1).alias("avg_pages"),
+        half_up(_mean("total_pages"), 1).alias("avg_pages"),
         _sum("total_pages").alias("total_pages"), _sum("total_chunks").alias("total_chunks"),
     )
 
@@ -102,9 +108,9 @@ def query_statistics(queries: DataFrame, since) -> DataFrame:
     rows = queries.filter(F.col("created_at") >= F.lit(since).cast("timestamp"))
     days = F.count_distinct(F.to_date("created_at"))
     return rows.groupBy("user_id").agg(
-        F.count("*").alias("total_queries"), F.round(_mean("confidence_score"), 2).alias("avg_confidence"),
-        F.round(_mean("processing_time_ms"), 0).alias("avg_response_time"), days.alias("active_days"),
-        F.round(_ratio(F.count("*"), days), 1).alias("avg_queries_per_day"),
+        F.count("*").alias("total_queries"), half_up(_mean("confidence_score"), 2).alias("avg_confidence"),
+        half_up(_mean("processing_time_ms"), 0).alias("avg_response_time"), days.alias("active_days"),
+        half_up(_ratio(F.count("*"), days), 1).alias("avg_queries_per_day"),
     )
 
 
@@ -130,10 +136,10 @@ def query_analytics(queries: DataFrame, since, days: int) -> DataFrame:
     confidence = F.coalesce("confidence_score", F.lit(0.0))
     rows = rows.withColumn("_sources", F.coalesce(F.greatest(F.size("sources"), F.lit(0)), F.lit(0)))
     return rows.groupBy("user_id").agg(
-        F.count("*").alias("total_queries"), F.round(_mean("confidence_score"), 2).alias("avg_confidence"),
-        F.round(_mean("processing_time_ms"), 0).alias("avg_processing_time"),
-        F.round(F.avg("_sources"), 1).alias("avg_sources_per_query"),
-        F.round(F.count("*") / F.lit(days), 2).alias("query_frequency"),
+        F.count("*").alias("total_queries"), half_up(_mean("confidence_score"), 2).alias("avg_confidence"),
+        half_up(_mean("processing_time_ms"), 0).alias("avg_processing_time"),
+        half_up(F.avg("_sources"), 1).alias("avg_sources_per_query"),
+        half_up(F.count("*") / F.lit(days), 2).alias("query_frequency"),
         F.count_if(confidence > 0.8).alias("high_confidence"),
         F.count_if((confidence >= 0.5) & (confidence <= 0.8)).alias("medium_confidence"),
         F.count_if(confidence < 0.5).alias("low_confidence"),
@@ -187,8 +193,8 @@ def capacity(documents: DataFrame, chunks: DataFrame) -> DataFrame:
         "user_id", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
     percent = F.greatest(F.col("documents") / DOCUMENT_CAPACITY * 100, F.col("chunks") / CHUNK_CAPACITY * 100)
     return both.select(
-        "*", F.round(F.col("chunks") * VECTOR_DIM * 4 / F.lit(float(2 ** 30)), 3).alias("estimated_vectors_gb"),
-        F.round(percent, 1).alias("percent_of_limit"),
+        "*", half_up(F.col("chunks") * VECTOR_DIM * 4 / F.lit(float(2 ** 30)), 3).alias("estimated_vectors_gb"),
+        half_up(percent, 1).alias("percent_of_limit"),
     )
 
 
@@ -310,13 +316,13 @@ def cost_analysis(usage: DataFrame) -> DataFrame:
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"),
         F.sum("latency_ms").alias("_ms"),
     )
-    cost = F.round("_cost", 4)
+    cost = half_up(F.col("_cost"), 4)
     return totals.select(
         "model", "requests", "tokens", cost.alias("total_cost"),
-        F.round(_ratio(F.col("_cost"), F.col("requests")), 4).alias("cost_per_request"),
-        F.round(_ratio(F.col("_cost"), F.col("tokens")), 6).alias("cost_per_token"),
-        F.round(_ratio(F.col("tokens"), F.col("_ms") / 1000), 1).alias("tokens_per_second"),
-        F.round(_ratio(F.col("tokens"), cost), 0).alias("tokens_per_dollar"),
+        half_up(_ratio(F.col("_cost"), F.col("requests")), 4).alias("cost_per_request"),
+        half_up(_ratio(F.col("_cost"), F.col("tokens")), 6).alias("cost_per_token"),
+        half_up(_ratio(F.col("tokens"), F.col("_ms") / 1000), 1).alias("tokens_per_second"),
+        half_up(_ratio(F.col("tokens"), cost), 0).alias("tokens_per_dollar"),
     )
 
 
@@ -347,8 +353,8 @@ def history_page_stats(queries: DataFrame, page: DataFrame) -> DataFrame:
     """Total of the whole result, means of the page only."""
     total = queries.agg(F.count("*").alias("total_queries"))
     means = page.agg(
-        F.round(_mean("confidence_score"), 2).alias("avg_confidence"),
-        F.round(_mean("processing_time_ms"), 0).alias("avg_processing_time"),
+        half_up(_mean("confidence_score"), 2).alias("avg_confidence"),
+        half_up(_mean("processing_time_ms"), 0).alias("avg_processing_time"),
     )
     return means.withColumn("total_queries", total.scalar())
 

@@ -66,12 +66,12 @@ def window_stream(events: DataFrame, key: str, time: str, order_id: str, seconds
     )
 
 
-def rate_limit_stream(events: DataFrame, kind: str = "query", key: str = "client_id", time: str = "ts",
+def rate_limit_stream(events: DataFrame, limit: tuple[int, int] = LIMITS["query"], key: str = "client_id", time: str = "ts",
                       order_id: str = "event_id", watermark: str = "1 hour") -> DataFrame:
     """Each event with whether the client's limit lets it through, and the wait in seconds if not."""
-    limit, seconds = LIMITS[kind]
+    most, seconds = limit
     placed = window_stream(events, key, time, order_id, seconds, watermark)
-    allowed = F.col("position") <= limit
+    allowed = F.col("position") <= most
     left = F.unix_micros("window_start") + seconds * 1_000_000 - F.unix_micros(time)
     return placed.withColumn("allowed", allowed).withColumn(
         "retry_after", F.when(~allowed, F.ceil(left / F.lit(1e6)).cast("bigint")))
