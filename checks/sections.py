@@ -44,7 +44,7 @@ _BOUNDS = """
 
 
 def _bounds(v):
-    return sections.section_boundaries(v.manual_pages, sections.section_map(sections.detect_headers(v.manual_pages)))
+    return sections.section_boundaries(v.manual_pages, sections.stored_map(v.manual_pages))
 
 
 @check("section_boundaries", "T10 E8", f"""
@@ -100,7 +100,7 @@ def split_sections(v):
 """, ("section_map", "manual_pages"))
 def chunk_hierarchy(v):
     whole = v.manual_pages.withColumn("page_pos", F.lit(0)).withColumnRenamed("text", "chunk_text")
-    found = sections.chunk_sections(whole, sections.section_map(sections.detect_headers(v.manual_pages)))
+    found = sections.chunk_sections(whole, sections.stored_map(v.manual_pages))
     return found.select("document_id", "page_number", "number", "level")
 
 
@@ -145,7 +145,7 @@ def hierarchical_chunks(v):
     GROUP BY document_id
 """, ("section_map", "manual_lines"))
 def hierarchy_summary(v):
-    mapped = sections.section_map(sections.detect_headers(v.manual_pages))
+    mapped = sections.stored_map(v.manual_pages)
     chunks = sections.annotate(sections.chunk_by_sections(sections.section_boundaries(v.manual_pages, mapped)))
     return sections.hierarchy_summary(chunks, mapped)
 

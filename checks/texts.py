@@ -207,8 +207,7 @@ def stride_chunks(v):
 """, ("chunks",))
 def page_table_chunks(v):
     """The same chunks from a table of pages: the index needs the blocked scan."""
-    numbered = chunking.number_chunks(chunking.stride_chunks(v.doc_pages, 200, 40))
-    return numbered.select("chunk_id", "page_number", F.col("page_pos").cast("bigint").alias("page_pos"),
+    return chunking.stride_page_table(v.doc_pages, 200, 40).select("chunk_id", "page_number", F.col("page_pos").cast("bigint").alias("page_pos"),
                            F.md5("chunk_text").alias("chunk"))
 
 
@@ -267,7 +266,7 @@ def _page_cut_sql(pages_sql: str, size: int, overlap: int) -> str:
            md5(chunk_text) AS chunk, CAST(ceil(length(chunk_text) / 4.0) AS INT) AS chunk_tokens FROM numbered
 """, ("doc_pages",))
 def chunk_pages(v):
-    return chunking.number_chunks(chunking.chunk_pages(v.doc_pages, size=200, overlap=40)).select(
+    return chunking.chunk_page_table(v.doc_pages, size=200, overlap=40).select(
         "chunk_id", "page_number", "page_position_start", "page_position_end",
         F.md5("chunk_text").alias("chunk"), "chunk_tokens")
 

@@ -324,11 +324,7 @@ def enhanced_metadata(chunk_text: Column, sections: Column) -> Column:
 def topic_words(text: Column, stop_words) -> Column:
     """Lower-case words of more than two characters that are no stop words."""
     flat = F.regexp_replace(F.lower(text), r"[^\w\s]", " ")
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    return F.filter(
-        F.split(flat, r"\s+"),
-        lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w),
-    )
+    return F.filter(F.split(flat, r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop_words))
 
 
 def all_of(conditions) -> Column:

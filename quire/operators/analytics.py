@@ -163,8 +163,12 @@ def top_documents(queries: DataFrame, by=("user_id",), n: int = 5) -> DataFrame:
 
 def common_topics(queries: DataFrame, by=("user_id",), n: int = 10) -> DataFrame:
     """Most frequent words of the questions that occur more than once."""
-    words = queries.select(*by, F.explode(tx.topic_words(F.col("query_text"), STOP_WORDS)).alias("topic"))
-    counts = words.groupBy(*by, "topic").agg(F.count("*").alias("frequency")).filter(F.col("frequency") > 1)
+    # stop words go after the count: far fewer rows to look at
+    words = queries.select(*by, F.explode(tx.topic_words(F.col("query_text"), ())).alias("topic"))
+    counts = (
+        words.groupBy(*by, "topic").agg(F.count("*").alias("frequency"))
+        .filter((F.col("frequency") > 1) & ~F.col("topic").isin(*STOP_WORDS))
+    )
     return top_rows(counts, list(by), [F.desc("frequency"), F.asc("topic")], n)
 
 

@@ -10,41 +10,55 @@ from pyspark.sql import types as T
 from quire.functions import text as tx
 from quire.operators import cutting
 from quire.operators.hooks import estimate
-from quire.operators.scans import document_index
+from quire.operators.scans import number_pieces
 from quire.sources.pages import page_array
 
 SIZE, OVERLAP = 800, 150
 
-_PIECE = "chunk_text:string,page_position_start:int,page_position_end:int"
 _FIELDS = [("chunk_text", pa.string()), ("page_position_start", pa.int32()), ("page_position_end", pa.int32())]
+_PIECE = "chunk_text string, page_position_start int, page_position_end int"
 
 
-def _pieces_udf(cut):
-    """Arrow function: text -> array of (chunk_text, start, end)."""
+def with_pieces(df: DataFrame, column: str, make, fields, kind: str) -> DataFrame:
+    """df with `column` replaced by `_pieces` = make(values of a batch), Arrow batch by Arrow batch."""
+    kept = [f for f in df.schema.fields if f.name != column]
+    schema = T.StructType([*kept, T.StructField("_pieces", T._parse_datatype_string(f"array<struct<{kind}>>"))])
 
-    def run(texts: pa.Array) -> pa.Array:
-        return _lists([cut(text) if text else () for text in texts.to_pylist()], _FIELDS)
+    def run(batches):
+        for batch in batches:
+            rows = make(batch.column(column).to_pylist())
+            columns = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, _lists(rows, fields)], schema.names)
 
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return _once(F.arrow_udf(run, T._parse_datatype_string(f"array<struct<{_PIECE}>>")))
+    return df.mapInArrow(run, schema)
 
 
-def _page_pieces_udf(cut):
-    """Arrow function: page texts of one document -> array of (page ordinal, position, chunk_text, start, end)."""
+def cut_texts(df: DataFrame, column: str, cut) -> DataFrame:
+    """Replace a text by its pieces: cut(text) -> (chunk_text, start, end)."""
+    def make(texts):
+        return [cut(text) if text else () for text in texts]
+
+    return with_pieces(df, column, make, _FIELDS, _PIECE)
 
-    def run(documents: pa.Array) -> pa.Array:
-        return _lists([
-            [(at + 1, pos, *piece) for at, text in enumerate(pages or ()) for pos, piece in enumerate(cut(text))]
-            for pages in documents.to_pylist()
-        ], [("ordinal", pa.int32()), ("page_pos", pa.int32()), *_FIELDS])
 
-    run.__annotations__ = {"documents": pa.Array, "return": pa.Array}
-    return _once(F.arrow_udf(run, T._parse_datatype_string(f"array<struct<ordinal:int,page_pos:int,{_PIECE}>>")))
+def cut_parts(df: DataFrame, column: str, cut) -> DataFrame:
+    """Replace an array of (title, text) parts by its pieces: cut(parts) -> (section_title, chunk_text, start, end)."""
+    def make(pages):
+        return [cut([(p["title"], p["text"]) for p in parts or ()]) for parts in pages]
 
+    return with_pieces(df, column, make, [("section_title", pa.string()), *_FIELDS], f"section_title string, {_PIECE}")
 
-def _once(udf):
-    """Keep the optimiser from copying the function into a filter, which would run it twice."""
-    return udf.asNondeterministic()
+
+def cut_documents(df: DataFrame, column: str, cut) -> DataFrame:
+    """Replace an array of page texts by its pieces, each with the page's ordinal and its position in the page."""
+    def make(documents):
+        return [
+            [(at + 1, pos, *piece) for at, text in enumerate(pages or ()) for pos, piece in enumerate(cut(text))]
+            for pages in documents
+        ]
+
+    fields = [("ordinal", pa.int32()), ("page_pos", pa.int32()), *_FIELDS]
+    return with_pieces(df, column, make, fields, f"ordinal int, page_pos int, {_PIECE}")
 
 
 def _lists(rows, fields) -> pa.Array:
@@ -86,26 +100,30 @@ def page_title(pages: DataFrame) -> DataFrame:
     return pages.withColumn("section_title", F.coalesce("section_title", header_title(F.col("text"))))
 
 
-def chunk_pages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sentences: bool = True,
+def page_pieces(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sentences: bool = True,
                 tokens=estimate, detect_headers: bool = True) -> DataFrame:
-    """One row a chunk, with page_pos inside the page; a narrow step, nothing is shuffled."""
+    """Pages with `_pieces`, the chunks of each, and without their text."""
     _check(size, overlap)
-
     if detect_headers:
         pages = page_title(pages)
     elif "section_title" not in pages.columns:
         pages = pages.withColumn("section_title", F.lit(None).cast("string"))
-    pieces = _pieces_udf(_page_cutter(size, overlap, sentences, tokens))
-    return _unpack(pages.withColumn("_pieces", pieces("text")).drop("text"))
+    return cut_texts(pages, "text", _page_cutter(size, overlap, sentences, tokens))
 
 
-def _unpack(df: DataFrame) -> DataFrame:
-    kept = [c for c in df.columns if c != "_pieces"]
-    return (
-        df.select(*kept, F.posexplode("_pieces").alias("page_pos", "_piece"))
-        .select(*kept, "page_pos", "_piece.*")
-        .withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
-    )
+def chunk_pages(pages: DataFrame, **options) -> DataFrame:
+    """One row a chunk, with page_pos inside the page; a narrow step, nothing is shuffled."""
+    return unpack(page_pieces(pages, **options))
+
+
+def unpack(df: DataFrame) -> DataFrame:
+    """Pieces to rows; an `_offset` before them makes the index within the document."""
+    kept = [c for c in df.columns if c not in ("_pieces", "_offset")]
+    index = [(F.col("_offset") + F.col("page_pos")).alias("chunk_index")] if "_offset" in df.columns else []
+    offset = ["_offset"] if index else []
+    rows = df.select(*kept, *offset, F.posexplode("_pieces").alias("page_pos", "_piece"))
+    return rows.select(*kept, "page_pos", *index, "_piece.*").withColumn(
+        "chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
 
 
 def with_chunk_ids(chunks: DataFrame) -> DataFrame:
@@ -114,9 +132,9 @@ def with_chunk_ids(chunks: DataFrame) -> DataFrame:
                                                      F.col("chunk_index").cast("string")))
 
 
-def number_chunks(chunks: DataFrame) -> DataFrame:
-    """Add chunk_index, running on over the pages of a document, and chunk_id."""
-    return with_chunk_ids(document_index(chunks))
+def chunk_page_table(pages: DataFrame, **options) -> DataFrame:
+    """A table of pages to chunks with chunk_index, running on over the pages of a document, and chunk_id."""
+    return with_chunk_ids(unpack(number_pieces(pages, lambda p: page_pieces(p, **options), "_pieces")))
 
 
 def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP, sentences: bool = True,
@@ -133,12 +151,11 @@ def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERL
         (header_title(p["text"]) if detect_headers else F.lit(None).cast("string")).alias("title"),
         p["text"].alias("text"),
     ))
-    pieces = _page_pieces_udf(_page_cutter(size, overlap, sentences, tokens))
-    split = documents.select(*kept, pages.alias("_pages"))
-    made = split.select(
+    split = documents.select(*kept, pages.alias("_pages")).select(
         *kept, F.transform("_pages", lambda p: p.dropFields("text")).alias("_about"),
-        pieces(F.transform("_pages", lambda p: p["text"])).alias("_pieces"),
+        F.transform("_pages", lambda p: p["text"]).alias("_texts"),
     )
+    made = cut_documents(split, "_texts", _page_cutter(size, overlap, sentences, tokens))
     rows = made.select(*kept, "_about", F.posexplode("_pieces").alias("chunk_index", "_p"))
     return with_chunk_ids(rows.select(
         *kept, F.col("_about")[F.col("_p.ordinal") - 1]["page_number"].alias("page_number"),
@@ -149,14 +166,19 @@ def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERL
     ))
 
 
+def stride_pieces(pages: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
+    """Pages with `_pieces`: fixed windows of `size` words that step by `size - overlap`, all in the JVM."""
+    windows = F.transform(word_windows(F.col("text"), size, overlap), lambda w: F.struct(w.alias("chunk_text")))
+    return pages.filter(~tx.is_blank(F.col("text"))).withColumn("_pieces", windows).drop("text")
+
+
 def stride_chunks(pages: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
-    """Fixed windows of `size` words that step by `size - overlap`; all inside the JVM."""
-    kept = [c for c in pages.columns if c != "text"]
-    return (
-        pages.filter(~tx.is_blank(F.col("text")))
-        .select(*kept, F.posexplode(word_windows(F.col("text"), size, overlap)).alias("page_pos", "chunk_text"))
-        .withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
-    )
+    return unpack(stride_pieces(pages, size, overlap))
+
+
+def stride_page_table(pages: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:
+    """A table of pages to indexed fixed windows."""
+    return with_chunk_ids(unpack(number_pieces(pages, lambda p: stride_pieces(p, size, overlap), "_pieces")))
 
 
 def word_windows(text: Column, size: int, overlap: int) -> Column:
@@ -199,4 +221,4 @@ def rechunk(chunks: DataFrame, **options) -> DataFrame:
             F.try_element_at(titles, F.lit(1))["section_title"].alias("section_title"),
         )
     )
-    return number_chunks(chunk_pages(pages, **options))
+    return chunk_page_table(pages, **options)

@@ -6,36 +6,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def document_index(rows: DataFrame, key: str = "document_id", page: str = "page_number",
-                   position: str = "page_pos", out: str = "chunk_index", block: int = 1024) -> DataFrame:
-    """Number rows 0.. over a whole document, pages in order.
+BLOCK_PAGES = 1024
 
-    Rows are counted per page (map-side combine), pages are summed in blocks of `block`
-    page numbers, and only those sums are scanned in order; the rows themselves are
-    never sorted by document, so one huge document does not end in one task.
-    """
-    counts = rows.groupBy(key, page).agg(F.count("*").alias("_n"))
-    return add_offsets(rows, counts, key, page, position, out, block)
 
+def number_pieces(pages: DataFrame, make, pieces: str, block: int | None = None) -> DataFrame:
+    """make(pages) adds an array column `pieces`; add `_offset`: pieces of the document before this page.
 
-def add_offsets(rows: DataFrame, counts: DataFrame, key: str, page: str, position: str,
-                out: str, block: int) -> DataFrame:
-    counts = counts.withColumn("_block", F.floor(F.col(page) / block))
-    inside = Window.partitionBy(key, "_block").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (
-        counts.groupBy(key, "_block").agg(F.sum("_n").alias("_bn"))
-        .select(key, "_block", F.coalesce(F.sum("_bn").over(across), F.lit(0)).alias("_before"))
+    Pages are summed in blocks of page numbers, so no task holds more than a block of one document,
+    and everything is made once. Only documents that reach a second block are made again, without
+    their texts leaving the task, to learn what their earlier blocks hold.
+    """
+    block = block or BLOCK_PAGES
+    where = F.floor((F.col("page_number") - 1) / block)
+    inside = (
+        Window.partitionBy("document_id", "_block").orderBy("page_number")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    pages = (
-        counts.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(blocks, [key, "_block"])
-        .select(key, page, (F.col("_in") + F.col("_before")).alias("_offset"))
+    n = F.size(pieces).cast("bigint")
+    numbered = make(pages).withColumn("_block", where).withColumn(
+        "_offset", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    long_ones = pages.filter(F.col("page_number") > block).select("document_id").distinct()
+    if long_ones.isEmpty():
+        return numbered.drop("_block")
+    across = Window.partitionBy("document_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        make(pages.join(long_ones, "document_id", "left_semi")).withColumn("_block", where)
+        .groupBy("document_id", "_block").agg(F.sum(n).alias("_n"))
+        .select("document_id", "_block", F.sum("_n").over(across).alias("_before"))
     )
     return (
-        rows.join(pages, [key, page])
-        .withColumn(out, F.col("_offset") + F.col(position))
-        .drop("_offset")
+        numbered.join(before, ["document_id", "_block"], "left")
+        .withColumn("_offset", F.col("_offset") + F.coalesce("_before", F.lit(0))).drop("_block", "_before")
     )
 
 

@@ -141,6 +141,8 @@ def _values(column) -> np.ndarray:
 
 def _hits(schema: pa.Schema, found) -> pa.Table:
     query_ids, names, sims = found
+    if len(sims) == 0:
+        return schema.empty_table()
     return pa.table([pa.array(query_ids, schema.field(0).type), pa.array(names, schema.field(1).type),
                      pa.array(sims, pa.float64())], schema=schema)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import cutting
-from quire.operators.chunking import OVERLAP, SIZE, _check, _pieces_udf, chunk_pages, with_chunk_ids
+from quire.operators.chunking import (
+    OVERLAP, SIZE, _check, _page_cutter, cut_parts, header_title, unpack, with_chunk_ids,
+)
 from quire.operators.hooks import estimate
-from quire.operators.scans import document_index
+from quire.operators.scans import number_pieces
+from quire.session import checkpoint
 
 # A document whose map has at most this many sections carries it along as one array;
 # larger maps are matched through an equi-join on substrings.
@@ -42,15 +45,20 @@ def section_map(headers: DataFrame) -> DataFrame:
     )
 
 
-def _split_maps(sections: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split_maps(sections: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Maps that travel with a page as one array, and the sections of larger maps (None without any).
+
+    Looks at the sizes first; hand in a stored or checkpointed section map.
+    """
     sizes = sections.groupBy("document_id").agg(F.count("*").alias("_n"))
-    sized = sections.join(sizes, "document_id")
-    small = (
-        sized.filter(F.col("_n") <= SMALL_MAP)
-        .groupBy("document_id")
-        .agg(F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("_map"))
-    )
-    return small, sized.filter(F.col("_n") > SMALL_MAP).drop("_n")
+    large = sizes.filter(F.col("_n") > SMALL_MAP).select("document_id")
+    rest = None
+    small = sections
+    if not large.isEmpty():
+        rest = sections.join(large, "document_id", "left_semi")
+        small = sections.join(large, "document_id", "left_anti")
+    packed = F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("_map")
+    return small.groupBy("document_id").agg(packed), rest
 
 
 def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, on: str) -> DataFrame:
@@ -71,8 +79,8 @@ def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, on: st
     return exploded.join(keys.withColumn("_gram", F.col(key)), [on, "_gram"]).drop("_gram")
 
 
-def section_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Pages with `bounds`: array<struct<start_line, end_line, section>>.
+def with_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """Every page with `bounds`: array<struct<start_line, end_line, section>>, empty without sections.
 
     A line opens the first section (in map order) whose number and first 20 title
     characters it contains; a section ends before the next one, the last with the page.
@@ -90,23 +98,34 @@ def section_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
         F.transform(lines, lambda line, i: F.struct(i.alias("start_line"), first_match(line).alias("section"))),
         lambda x: x["section"].isNotNull(),
     )
-    in_row = pages.join(small, "document_id").withColumn("_found", found).drop("_map")
+    marked = pages.join(small, "document_id", "left").withColumn("_found", found).drop("_map")
+    if large is not None:
+        marked = (
+            marked.join(_large_matches(pages, large, lines), ["document_id", "page_number"], "left")
+            .withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.col("_large"))).drop("_large")
+        )
+    return with_extents(marked)
+
 
+def _large_matches(pages: DataFrame, large: DataFrame, lines: Column) -> DataFrame:
     page_lines = (
         pages.join(large.select("document_id").distinct(), "document_id", "left_semi")
         .select("document_id", "page_number", F.posexplode(lines).alias("start_line", "_line"))
     )
     keyed = large.withColumn("_t20", F.substring("title", 1, 20))
-    hits = (
+    return (
         contains_join(page_lines, "_line", keyed, "_t20", "document_id")
         .filter(F.col("_line").contains(F.col("number")))
         .groupBy("document_id", "page_number", "start_line")
         .agg(F.min(F.struct(*_ENTRY)).alias("section"))
         .groupBy("document_id", "page_number")
-        .agg(F.array_sort(F.collect_list(F.struct("start_line", "section"))).alias("_found"))
+        .agg(F.array_sort(F.collect_list(F.struct("start_line", "section"))).alias("_large"))
     )
-    joined = pages.join(hits, ["document_id", "page_number"])
-    return with_extents(in_row.unionByName(joined).filter(F.size("_found") > 0))
+
+
+def section_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """Only the pages that have sections."""
+    return with_boundaries(pages, sections).filter(F.size("bounds") > 0)
 
 
 def with_extents(pages: DataFrame) -> DataFrame:
@@ -120,78 +139,87 @@ def with_extents(pages: DataFrame) -> DataFrame:
             x["section"].alias("section"),
         ),
     ))
-    return pages.withColumn("bounds", bounds).drop("_found")
+    return pages.withColumn("bounds", F.coalesce(bounds, F.array())).drop("_found")
 
 
-def chunk_by_sections(bounded: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tokens=estimate) -> DataFrame:
-    """One chunk a section that fits, several for one that does not; titles are the section's."""
+def section_pieces(bounded: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tokens=estimate) -> DataFrame:
+    """Pages (document_id, page_number, text, bounds) with `_pieces`, the chunks of each.
+
+    A section that fits is one chunk, a larger one several; a page without sections is cut
+    like any page. Texts are taken out of the page inside its row, so all of this is narrow.
+    """
     _check(size, overlap)
+    plain = _page_cutter(size, overlap, True, tokens)
 
     def cut(text):
         if tokens(text) <= size:
             return [(text, 0, len(text))]
         return cutting.cut_section(text, size, overlap, tokens)
 
-    pieces = _pieces_udf(cut)
-    # texts are cut out of the page's lines before the sections become rows of their own
+    def cut_page_parts(parts):
+        out = []
+        for title, text in parts:
+            pieces = plain(text) if title is None else cut(text) if text else ()
+            out += [(title, *piece) for piece in pieces]
+        return out
+
     texts = tx.let(F.split("text", "\n"), lambda lines: F.transform("bounds", lambda b: F.struct(
-        b["section"].alias("section"),
+        b["section"]["title"].alias("title"),
         tx.strip(F.array_join(
             F.slice(lines, b["start_line"] + 1, b["end_line"] - b["start_line"] + 1), "\n")).alias("text"),
     )))
-    sections = (
-        bounded.select("document_id", "page_number", F.posexplode(texts).alias("_at", "_b"))
-        .select("document_id", "page_number", "_at", F.col("_b.section").alias("section"), F.col("_b.text").alias("_text"))
-        .filter(F.col("_text") != "")
-    )
-    chunks = (
-        sections.withColumn("_pieces", pieces("_text"))
-        .select("document_id", "page_number", "_at", "section",
-                F.posexplode("_pieces").alias("_part", "_piece"))
-        .select(
-            "document_id", "page_number", "_at", "_part", F.col("section.title").alias("section_title"),
-            F.array(F.struct(*[F.col("section")[c].alias(c) for c in _ENTRY[2:]])).alias("section_hierarchy"),
-            "_piece.*",
-        )
-        .withColumn("chunk_tokens", tx.estimate_tokens(F.col("chunk_text")))
-    )
-    # the pieces of one page fit one row before they are unpacked, so this window is page sized
-    order = Window.partitionBy("document_id", "page_number").orderBy("_at", "_part")
-    return chunks.withColumn("page_pos", F.row_number().over(order) - 1).drop("_at", "_part")
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("title"), F.col("text").alias("text")))
+    parts = F.when(F.size("bounds") > 0, texts).otherwise(whole)
+    header = F.when(F.size("bounds") == 0, header_title(F.col("text")))
+    pages = bounded.select("document_id", "page_number", header.alias("_header"), parts.alias("_parts"))
+    return cut_parts(pages, "_parts", cut_page_parts)
+
+
+def _named(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("section_title", F.coalesce("section_title", "_header")).drop("_header")
+
+
+def chunk_by_sections(bounded: DataFrame, **options) -> DataFrame:
+    """Chunks of pages with boundaries; titles are the section's."""
+    return _named(unpack(section_pieces(bounded, **options)))
 
 
 def chunk_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     """One row per chunk and section whose number, or first 20 title characters (any case), it contains."""
     small, large = _split_maps(sections)
     text, lower = F.col("chunk_text"), F.lower("chunk_text")
-    hit = F.filter(
-        "_map",
-        lambda s: text.contains(s["number"]) | lower.contains(F.substring(F.lower(s["title"]), 1, 20)),
-    )
     keys = ["document_id", "page_number", "page_pos"]
+    columns = [*keys, *_ENTRY]
+    hit = tx.let(lower, lambda low: F.filter(
+        "_map",
+        lambda s: text.contains(s["number"]) | low.contains(F.substring(F.lower(s["title"]), 1, 20)),
+    ))
     in_row = (
         chunks.join(small, "document_id")
-        .select(*keys, F.explode(hit).alias("_s")).select(*keys, "_s.*")
+        .select(*keys, F.explode(hit).alias("_s")).select(*keys, "_s.*").select(*columns)
     )
+    if large is None:
+        return in_row
     heavy = chunks.join(large.select("document_id").distinct(), "document_id", "left_semi")
     by_number = contains_join(heavy.select(*keys, "chunk_text"), "chunk_text", large, "number", "document_id")
     titled = large.withColumn("_t20", F.substring(F.lower("title"), 1, 20))
     by_title = contains_join(heavy.select(*keys, lower.alias("_text")), "_text", titled, "_t20", "document_id")
-    columns = [*keys, *_ENTRY]
     joined = by_number.select(*columns).union(by_title.select(*columns)).dropDuplicates([*keys, "number"])
-    return in_row.select(*columns).unionByName(joined)
+    return in_row.unionByName(joined)
+
+
+def stored_map(pages: DataFrame) -> DataFrame:
+    """The section map of the pages, checkpointed: it is small and read several times."""
+    return checkpoint(section_map(detect_headers(pages)))
 
 
-def hierarchical_chunks(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tokens=estimate) -> DataFrame:
+def hierarchical_chunks(pages: DataFrame, sections: DataFrame | None = None, **options) -> DataFrame:
     """Section chunks where a page has sections, plain chunks elsewhere, with procedure flags and references."""
     pages = pages.select("document_id", "page_number", "text")
-    sections = section_map(detect_headers(pages))
-    bounded = section_boundaries(pages, sections)
-    by_section = chunk_by_sections(bounded, size, overlap, tokens).drop("section_hierarchy")
-    plain_pages = pages.join(bounded.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti")
-    plain = chunk_pages(plain_pages, size, overlap, tokens=tokens).select(by_section.columns)
-    both = by_section.unionByName(plain)
-    return annotate(with_chunk_ids(document_index(both)))
+    sections = stored_map(pages) if sections is None else sections
+    made = number_pieces(
+        pages, lambda p: section_pieces(with_boundaries(p, sections), **options), "_pieces")
+    return annotate(with_chunk_ids(_named(unpack(made))))
 
 
 def annotate(chunks: DataFrame) -> DataFrame:

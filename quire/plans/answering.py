@@ -9,6 +9,7 @@ from quire.functions import answers as an
 from quire.operators import context as cx
 from quire.operators import search as se
 from quire.operators.hooks import Answerer, Embedder, answer, embed
+from quire.session import checkpoint
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = se.DEFAULT_K,
@@ -42,7 +43,8 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFra
     typed = questions.withColumn("_c", kind).withColumn("query_type", F.col("_c.type")).drop("_c")
     if "embedding" not in questions.columns:
         typed = embed(typed, embedder or Embedder(), "query_text").drop("embedding_error", "embedding_model")
-    hits = retrieve(typed, chunks, documents, k, threshold, **options)
+    # the search reads every vector; its few hits are kept, as four later steps need them
+    hits = checkpoint(retrieve(typed, chunks, documents, k, threshold, **options))
     shown = typed.drop("embedding")
     prompts = cx.build_prompts(cx.pack_context(hits, shown, budget))
     texts = answer(prompts, answerer or Answerer())

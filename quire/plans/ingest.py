@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from quire.operators.chunking import chunk_documents
 from quire.operators.hooks import Embedder, embed
 from quire.operators.sections import hierarchical_chunks
+from quire.session import spread
 from quire.sources.pages import split_pages
 from quire.sources.tables import store_chunks
 
@@ -23,5 +24,5 @@ def prepare(documents: DataFrame, lines_per_page: int | None = 20, sections: boo
 def ingest(documents: DataFrame, chunk_path: str, reject_path: str, embedder: Embedder | None = None,
            **options) -> dict[str, int]:
     """Cut, embed and store; returns how many chunks were stored and how many were rejected."""
-    chunks = embed(prepare(documents, **options), embedder or Embedder())
+    chunks = embed(prepare(spread(documents, "document_id"), **options), embedder or Embedder())
     return store_chunks(chunks, documents, chunk_path, reject_path)

@@ -47,6 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows over all cores when they come in fewer partitions than that, from one small file say.
+
+    Larger inputs bring more partitions than cores and pass through without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and fixes what it holds."""
     ensure_checkpoint_dir(df.sparkSession)
