@@ -137,12 +137,15 @@ def parse_model_answer(raw: Column, required=REQUIRED_FIELDS) -> Column:
     A text that is no JSON object, or lacks a required field, becomes the fixed fallback.
     """
     read = tx.let(_json_part(raw), lambda body: F.struct(
-        F.from_json(body, MODEL_ANSWER, {"allowSingleQuotes": "false"}).alias("data"),
-        F.json_object_keys(body).alias("keys"),
+        F.from_json(body, MODEL_ANSWER, _STRICT).alias("data"),
+        F.map_keys(F.from_json(body, "map<string,string>", _STRICT)).alias("keys"),
     ))
     return tx.let(read, lambda r: _checked_answer(r["data"], r["keys"], required))
 
 
+_STRICT = {"allowSingleQuotes": "false"}
+
+
 def _checked_answer(data: Column, keys: Column, required) -> Column:
     ok = F.coalesce(tx.all_of([F.array_contains(keys, f) for f in required]), F.lit(False))
     confidence = F.coalesce(data["confidence"].try_cast("double"), F.lit(0.0))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.text import SPACE_CHARACTERS
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -53,7 +55,7 @@ def hash_embedding(texts, dim: int = 384) -> list[np.ndarray]:
     out = []
     for text in texts:
         codes = np.frombuffer((text or "").lower().encode("utf-16-le"), dtype=np.uint16).astype(np.int64)
-        blank = np.isin(codes, _BLANKS)
+        blank = _IS_BLANK[codes]
         starts = blank & ~np.concatenate(([False], blank[:-1])) if len(codes) else blank
         word = np.cumsum(starts)
         # position within the word = position minus the position after the last blank
@@ -66,6 +68,5 @@ def hash_embedding(texts, dim: int = 384) -> list[np.ndarray]:
     return out
 
 
-_BLANKS = np.array(
-    [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
-)
+_IS_BLANK = np.zeros(65536, bool)
+_IS_BLANK[[ord(c) for c in SPACE_CHARACTERS]] = True

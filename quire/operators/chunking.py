@@ -5,10 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.operators import cutting
+from quire.operators.arrow import add_columns, struct_lists
 from quire.operators.hooks import estimate
 from quire.operators.scans import number_pieces
 from quire.sources.pages import page_array
@@ -16,21 +16,14 @@ from quire.sources.pages import page_array
 SIZE, OVERLAP = 800, 150
 
 _FIELDS = [("chunk_text", pa.string()), ("page_position_start", pa.int32()), ("page_position_end", pa.int32())]
-_PIECE = "chunk_text string, page_position_start int, page_position_end int"
+_PIECE = "chunk_text:string,page_position_start:int,page_position_end:int"
 
 
-def with_pieces(df: DataFrame, column: str, make, fields, kind: str) -> DataFrame:
-    """df with `column` replaced by `_pieces` = make(values of a batch), Arrow batch by Arrow batch."""
-    kept = [f for f in df.schema.fields if f.name != column]
-    schema = T.StructType([*kept, T.StructField("_pieces", T._parse_datatype_string(f"array<struct<{kind}>>"))])
-
-    def run(batches):
-        for batch in batches:
-            rows = make(batch.column(column).to_pylist())
-            columns = [batch.column(f.name) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(rows, fields)], schema.names)
-
-    return df.mapInArrow(run, schema)
+def _with_pieces(df: DataFrame, column: str, make, fields, kind: str) -> DataFrame:
+    """df with `column` replaced by `_pieces` = make(values of a batch)."""
+    return add_columns(
+        df, f"_pieces array<struct<{kind}>>",
+        lambda batch: [struct_lists(make(batch.column(column).to_pylist()), fields)], drop=(column,))
 
 
 def cut_texts(df: DataFrame, column: str, cut) -> DataFrame:
@@ -38,7 +31,7 @@ def cut_texts(df: DataFrame, column: str, cut) -> DataFrame:
     def make(texts):
         return [cut(text) if text else () for text in texts]
 
-    return with_pieces(df, column, make, _FIELDS, _PIECE)
+    return _with_pieces(df, column, make, _FIELDS, _PIECE)
 
 
 def cut_parts(df: DataFrame, column: str, cut) -> DataFrame:
@@ -46,7 +39,7 @@ def cut_parts(df: DataFrame, column: str, cut) -> DataFrame:
     def make(pages):
         return [cut([(p["title"], p["text"]) for p in parts or ()]) for parts in pages]
 
-    return with_pieces(df, column, make, [("section_title", pa.string()), *_FIELDS], f"section_title string, {_PIECE}")
+    return _with_pieces(df, column, make, [("section_title", pa.string()), *_FIELDS], f"section_title:string,{_PIECE}")
 
 
 def cut_documents(df: DataFrame, column: str, cut) -> DataFrame:
@@ -58,19 +51,7 @@ def cut_documents(df: DataFrame, column: str, cut) -> DataFrame:
         ]
 
     fields = [("ordinal", pa.int32()), ("page_pos", pa.int32()), *_FIELDS]
-    return with_pieces(df, column, make, fields, f"ordinal int, page_pos int, {_PIECE}")
-
-
-def _lists(rows, fields) -> pa.Array:
-    """Lists of tuples as one flat struct array with offsets."""
-    offsets, flat = [0], []
-    for row in rows:
-        flat.extend(row)
-        offsets.append(len(flat))
-    columns = list(zip(*flat)) if flat else [()] * len(fields)
-    arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)]
-    structs = pa.StructArray.from_arrays(arrays, fields=[pa.field(n, k) for n, k in fields])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs)
+    return _with_pieces(df, column, make, fields, f"ordinal:int,page_pos:int,{_PIECE}")
 
 
 def _check(size: int, overlap: int) -> None:

@@ -7,15 +7,18 @@ task, the batch method once an Arrow batch. Errors of single rows are kept as va
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.functions.vectors import hash_embedding
+from quire.operators.arrow import add_columns
 
 
 def estimate(text: str) -> int:
@@ -39,42 +42,38 @@ class Embedder:
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFrame:
-    """Add embedding, embedding_model and embedding_error; only the text visits Python."""
-    result = T.StructType([
-        T.StructField("embedding", T.ArrayType(T.FloatType())),
-        T.StructField("error", T.StringType()),
-    ])
-
-    @F.pandas_udf(result)
-    def vectors_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        embedder.load()
-        for batch in batches:
-            texts, vectors, errors = batch.tolist(), [], []
-            for at in range(0, len(texts), embedder.batch_size):
-                part = texts[at:at + embedder.batch_size]
-                try:
-                    vectors += list(embedder.embed(part))
-                    errors += [None] * len(part)
-                except Exception:  # one bad row must not lose its batch
-                    for one in part:
-                        try:
-                            vectors.append(embedder.embed([one])[0])
-                            errors.append(None)
-                        except Exception as problem:
-                            vectors.append(None)
-                            errors.append(str(problem))
-            yield pd.DataFrame({"embedding": vectors, "error": errors})
-
-    problem = embeddable_problem(F.col(text))
-    return (
-        df.withColumn("_problem", problem)
-        # a rejected text is sent as null text and its vector dropped again
-        .withColumn("_e", vectors_of.asNondeterministic()(F.when(F.col("_problem").isNull(), F.col(text)).otherwise("")))
-        .withColumn("embedding", F.when(F.col("_problem").isNull(), F.col("_e.embedding")))
-        .withColumn("embedding_error", F.coalesce("_problem", "_e.error"))
-        .withColumn("embedding_model", F.lit(embedder.name))
-        .drop("_e", "_problem")
-    )
+    """Add embedding, embedding_error and embedding_model; a row that fails keeps its reason."""
+    def vectors(texts: list[str]) -> list[tuple]:
+        try:
+            return [(v, None) for v in embedder.embed(texts)]
+        except Exception as problem:  # one bad row must not lose its batch
+            return [(None, str(problem))] if len(texts) == 1 else [vectors([t])[0] for t in texts]
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts, errors = batch.column(text).to_pylist(), batch.column("embedding_error").to_pylist()
+        good = [i for i, e in enumerate(errors) if e is None]
+        found: list = [None] * len(texts)
+        for at in range(0, len(good), embedder.batch_size):
+            part = good[at:at + embedder.batch_size]
+            for i, (vector, error) in zip(part, vectors([texts[i] for i in part])):
+                found[i], errors[i] = vector, error
+        return [_float_lists(found), pa.array(errors, pa.string())]
+
+    checked = df.withColumn("embedding_error", embeddable_problem(F.col(text)))
+    made = add_columns(
+        checked, "embedding array<float>, embedding_error string", make, drop=("embedding", "embedding_error"),
+        load=embedder.load)
+    return made.withColumn("embedding_model", F.lit(embedder.name))
+
+
+def _float_lists(vectors: list) -> pa.Array:
+    """Vectors, or None, as a list<float> array built from one flat buffer."""
+    sizes = [0 if v is None else len(v) for v in vectors]
+    flat = [np.asarray(v, np.float32) for v in vectors if v is not None]
+    values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.float32))
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    missing = np.array([v is None for v in vectors] + [False])
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=missing), values)
 
 
 def embeddable_problem(text: Column, limit: int = 8192) -> Column:
@@ -101,30 +100,28 @@ class Answerer:
         })
 
 
-def answer(prompts: DataFrame, answerer: Answerer) -> DataFrame:
-    """Run the answerer over a prompt table (query_id, system_prompt, user_prompt, context, ...)."""
-    schema = T.StructType([
-        T.StructField("query_id", prompts.schema["query_id"].dataType),
-        T.StructField("response_text", T.StringType()),
-        T.StructField("prompt_tokens", T.LongType()),
-        T.StructField("completion_tokens", T.LongType()),
-        T.StructField("finish_reason", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ])
+def answer(prompts: DataFrame, answerer: Answerer, drop: tuple[str, ...] = ("context", "system_prompt")) -> DataFrame:
+    """Prompts (query_id, system_prompt, user_prompt, context, ...) with the answerer's text, usage and error.
+
+    The prompt columns ride along, less those in `drop`, so nothing has to be joined back.
+    """
+    kept = [f for f in prompts.schema.fields if f.name not in drop]
+    given = ["response_text", "prompt_tokens", "completion_tokens", "finish_reason", "error"]
+    schema = T.StructType([*kept, *T._parse_datatype_string(
+        "response_text string, prompt_tokens long, completion_tokens long, finish_reason string, error string").fields])
 
     def run(batches):
         answerer.load()
         for batch in batches:
+            batch = batch.reset_index(drop=True)
             try:
-                got = answerer.answer(batch).reset_index(drop=True)
-                got["error"] = None
+                got = answerer.answer(batch).reset_index(drop=True).assign(error=None)
             except Exception as problem:
                 got = pd.DataFrame({
                     "response_text": [None] * len(batch), "prompt_tokens": 0,
                     "completion_tokens": 0, "finish_reason": "error", "error": str(problem),
                 })
-            got.insert(0, "query_id", batch["query_id"].reset_index(drop=True))
-            yield got[schema.names]
+            yield pd.concat([batch[[f.name for f in kept]], got[given]], axis=1)
 
     return prompts.mapInPandas(run, schema)
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions import vectors as vx
+from quire.operators.arrow import add_columns
 from quire.operators.hooks import Scorer, lexical_overlap
 
 # Defaults and limits of a search request.
@@ -343,29 +344,29 @@ class InvertedLists:
         self.centroids = np.array(model.clusterCenters())
         return self
 
-    def _nearest(self, column: Column, n: int) -> Column:
+    def _nearest(self, rows: DataFrame, n: int, out: str) -> DataFrame:
+        """Add the n lists with the most similar centroids, nearest first."""
         centroids = self.centroids
         unit = centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
 
-        def run(vectors: pa.Array) -> pa.Array:
-            if len(vectors) == 0:
-                return pa.array([], pa.list_(pa.int32()))
-            order = np.argsort(-(_matrix(vectors) @ unit.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            if batch.num_rows == 0:
+                return [pa.array([], pa.list_(pa.int32()))]
+            order = np.argsort(-(_matrix(batch.column("embedding")) @ unit.T), axis=1, kind="stable")[:, :n]
             offsets = np.arange(0, order.size + 1, order.shape[1], dtype=np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel()))
+            return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(order.ravel().astype(np.int32)))]
 
-        run.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
-        return F.arrow_udf(run, "array<int>")(column)
+        return add_columns(rows, f"{out} array<int>", make)
 
     def assign(self, chunks: DataFrame) -> DataFrame:
         """Add list_id; write the result partitioned by it so that probes prune files."""
-        rows = chunks.filter(F.col("embedding").isNotNull())
-        return rows.withColumn("list_id", self._nearest(F.col("embedding"), 1)[0])
+        rows = self._nearest(chunks.filter(F.col("embedding").isNotNull()), 1, "_lists")
+        return rows.withColumn("list_id", F.col("_lists")[0]).drop("_lists")
 
     def search(self, assigned: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                threshold: float = DEFAULT_THRESHOLD, scope: tuple[str, ...] = ("user_id",), **options) -> DataFrame:
         probes = min(self.probes, len(self.centroids))
-        asked = queries.withColumn("list_id", F.explode(self._nearest(F.col("embedding"), probes)))
+        asked = self._nearest(queries, probes, "_lists").withColumn("list_id", F.explode("_lists")).drop("_lists")
         return batched_search(assigned, asked, k, threshold, (*scope, "list_id"), **options)
 
 

@@ -41,19 +41,14 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFra
     """
     kind = an.classify_query(F.col("query_text"))
     typed = questions.withColumn("_c", kind).withColumn("query_type", F.col("_c.type")).drop("_c")
+    vectors = typed
     if "embedding" not in questions.columns:
-        typed = embed(typed, embedder or Embedder(), "query_text").drop("embedding_error", "embedding_model")
+        vectors = embed(typed, embedder or Embedder(), "query_text")
     # the search reads every vector; its few hits are kept, as four later steps need them
-    hits = checkpoint(retrieve(typed, chunks, documents, k, threshold, **options))
-    shown = typed.drop("embedding")
-    prompts = cx.build_prompts(cx.pack_context(hits, shown, budget))
-    texts = answer(prompts, answerer or Answerer())
-    merged = (
-        prompts.select("query_id", "user_id", "query_text", "query_type", "user_prompt", "packed_hits")
-        .join(texts, "query_id")
-        .join(cx.answer_sources(hits), "query_id", "left")
-        .join(cx.hit_statistics(hits), "query_id", "left")
-    )
+    hits = checkpoint(retrieve(vectors, chunks, documents, k, threshold, **options))
+    packed = cx.pack_context(hits, typed.drop("embedding"), budget)
+    texts = answer(cx.build_prompts(packed), answerer or Answerer())
+    merged = texts.join(cx.answer_sources(hits), "query_id", "left").join(cx.hit_statistics(hits), "query_id", "left")
     return finish(merged, hits, structured)
 
 
