@@ -1,8 +1,11 @@
 """Headers, section maps, boundaries and section-aware chunks over `manual_pages`."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks.registry import check
+from checks.views import SQL
 from quire.functions import text as tx
 from quire.operators import sections
 
@@ -118,14 +121,42 @@ def chunk_hierarchy_large_maps(v):
         sections.SMALL_MAP = kept
 
 
-@check("hierarchical_chunks", "T14")
+def _over_all_lines(sql: str) -> str:
+    """A view's SQL read over the lines of manuals and documents together."""
+    for name in ("manual_lines", "leveled_headers", "section_map", "headers"):
+        sql = re.sub(rf"\b{name}\b", {"manual_lines": "every_line", "headers": "every_header", "leveled_headers": "every_level",
+                                      "section_map": "every_map"}[name], sql)
+    return sql
+
+
+@check("hierarchical_chunks", "T14", f"""
+    WITH every_line AS (
+        SELECT document_id, page_number, line_no, line FROM manual_lines
+        UNION ALL
+        SELECT -1 - document_id, page_number, CAST(i AS INT), lines[i + 1] FROM (
+            SELECT document_id, page_number, lines, unnest(range(len(lines))) AS i
+            FROM (SELECT document_id, page_number, string_split(text, chr(10)) AS lines FROM doc_pages))),
+    every_header AS ({_over_all_lines(SQL["headers"])}),
+    every_level AS ({_over_all_lines(SQL["leveled_headers"])}),
+    every_map AS ({_over_all_lines(SQL["section_map"])}),
+    {_over_all_lines(_BOUNDS)},
+    made AS (
+        SELECT b.document_id, b.page_number, b.start_line, b.title AS section_title, trim(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS text
+        FROM bounds b JOIN every_line l ON l.document_id = b.document_id AND l.page_number = b.page_number AND l.line_no BETWEEN b.start_line AND b.end_line
+        GROUP BY ALL
+        UNION ALL
+        SELECT -1 - document_id, page_number, 0, NULL, text FROM doc_pages
+        WHERE (-1 - document_id, page_number) NOT IN (SELECT (document_id, page_number) FROM bounds))
+    SELECT document_id || '-chunk-' || (row_number() OVER (PARTITION BY document_id ORDER BY page_number, start_line) - 1) AS chunk_id,
+           page_number, md5(text) AS chunk, section_title
+    FROM made
+""", ("manual_lines", "doc_pages"))
 def hierarchical_chunks(v):
     """Manuals with sections and plain documents in one table: both branches."""
     plain = v.doc_pages.select((-1 - F.col("document_id")).alias("document_id"), "page_number", "text")
     both = v.manual_pages.select("document_id", "page_number", "text").unionByName(plain)
-    return sections.hierarchical_chunks(both, size=200, overlap=40).select(
-        "chunk_id", "document_id", "page_number", "chunk_index", "section_title", "is_complete_procedure", "contains_steps",
-        F.md5("chunk_text").alias("chunk"))
+    return sections.hierarchical_chunks(both, size=50000).select(
+        "chunk_id", "page_number", F.md5("chunk_text").alias("chunk"), "section_title")
 
 
 @check("hierarchy_summary", "D29", f"""

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.registry import check
+from checks.texts import page_cut_sql
 from checks.views import pick
 from quire.operators import analytics, windows
 from quire.operators.hooks import Embedder
@@ -171,7 +172,10 @@ def usage_metrics_stream(v):
 
 # --- ingest -------------------------------------------------------------------------------
 
-@check("ingest_stream", "S1 A7 U1")
+@check("ingest_stream", "S1 A7 U1", "WITH RECURSIVE" + page_cut_sql("SELECT * FROM doc_pages", 800, 150) + """
+    SELECT user_id, document_id, count(*) AS chunks, CAST(sum(CAST(ceil(length(chunk_text) / 4.0) AS INT)) AS BIGINT) AS tokens
+    FROM numbered JOIN (SELECT DISTINCT document_id, user_id FROM doc_pages) USING (document_id) GROUP BY ALL
+""", ("doc_pages",))
 def ingest_stream(v):
     """Documents arrive, are cut, embedded and stored; what lies in the chunk table is counted."""
     folder = scratch(v)

@@ -211,7 +211,7 @@ def page_table_chunks(v):
                            F.md5("chunk_text").alias("chunk"))
 
 
-def _page_cut_sql(pages_sql: str, size: int, overlap: int) -> str:
+def page_cut_sql(pages_sql: str, size: int, overlap: int) -> str:
     """The page cutter as a recursion: one step a chunk, carrying where the last new text lay."""
     room, lap = size * 4, overlap * 4
     return f"""
@@ -261,7 +261,7 @@ def _page_cut_sql(pages_sql: str, size: int, overlap: int) -> str:
     """
 
 
-@check("chunk_pages", "T1 E3 H40", "WITH RECURSIVE" + _page_cut_sql("SELECT * FROM doc_pages", 200, 40) + """
+@check("chunk_pages", "T1 E3 H40", "WITH RECURSIVE" + page_cut_sql("SELECT * FROM doc_pages", 200, 40) + """
     SELECT document_id || '-chunk-' || chunk_index AS chunk_id, page_number, page_position_start, page_position_end,
            md5(chunk_text) AS chunk, CAST(ceil(length(chunk_text) / 4.0) AS INT) AS chunk_tokens FROM numbered
 """, ("doc_pages",))
@@ -271,7 +271,7 @@ def chunk_pages(v):
         F.md5("chunk_text").alias("chunk"), "chunk_tokens")
 
 
-@check("chunk_documents", "T1 E3 H40", "WITH RECURSIVE" + _page_cut_sql("SELECT * FROM doc_pages", 800, 150) + """
+@check("chunk_documents", "T1 E3 H40", "WITH RECURSIVE" + page_cut_sql("SELECT * FROM doc_pages", 800, 150) + """
     SELECT document_id || '-chunk-' || chunk_index AS chunk_id, page_number, page_position_start, page_position_end,
            md5(chunk_text) AS chunk FROM numbered
 """, ("doc_pages",))
@@ -281,7 +281,7 @@ def chunk_documents(v):
         "chunk_id", "page_number", "page_position_start", "page_position_end", F.md5("chunk_text").alias("chunk"))
 
 
-@check("rechunk", "T15", "WITH RECURSIVE" + _page_cut_sql("""
+@check("rechunk", "T15", "WITH RECURSIVE" + page_cut_sql("""
         SELECT document_id, page_number, string_agg(chunk_text, ' ' ORDER BY chunk_index) AS text FROM chunks GROUP BY ALL""", 300, 50) + """
     SELECT document_id, chunk_index, page_number, md5(chunk_text) AS chunk FROM numbered
 """, ("chunks",))

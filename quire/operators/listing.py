@@ -156,20 +156,28 @@ def document_detail(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def similar_queries(log: DataFrame, asked: DataFrame, n: int = 5) -> DataFrame:
     """Per asked (request_id, user_id, query): logged queries of the user holding all its words, best first.
 
-    Words are rows: each asked word meets the user's logged queries with that word, and a pair
-    stays when it met as often as the request has distinct words. Nothing else is paired.
+    A request meets only the queries that hold its rarest word; equal requests of a user are
+    looked up once. The other words are checked inside the met query's own word list.
     """
     def distinct_words(text: str) -> Column:
-        return F.array_distinct(tx.words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " ")))
-
-    wanted = asked.withColumn("_w", distinct_words("query")).withColumn("_need", F.size("_w"))
-    wanted = wanted.select("request_id", "user_id", "_need", F.explode("_w").alias("_word"))
-    held = log.select("query_id", "user_id", "confidence_score", F.explode(distinct_words("query_text")).alias("_word"))
-    met = (
-        wanted.join(held, ["user_id", "_word"])
-        .groupBy("request_id", "query_id")
-        .agg(F.count("*").alias("_met"), F.first("_need").alias("_need"), F.first("confidence_score").alias("confidence_score"))
-        .filter(F.col("_met") == F.col("_need"))
+        return F.array_sort(F.array_distinct(tx.words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "))))
+
+    requests = asked.select("request_id", "user_id", distinct_words("query").alias("_need"))
+    held = log.select("query_id", "user_id", "confidence_score", distinct_words("query_text").alias("_held"))
+    words = held.select("user_id", "query_id", "confidence_score", "_held", F.explode("_held").alias("_word"))
+    known = words.groupBy("user_id", "_word").agg(F.count("*").alias("_n"))
+    rarest = (
+        requests.select("user_id", "_need").distinct()
+        .select("user_id", "_need", F.explode("_need").alias("_word"))
+        .join(known, ["user_id", "_word"])
+        .groupBy("user_id", "_need").agg(F.min_by("_word", "_n").alias("_word"), F.count("*").alias("_known"))
+        .filter(F.col("_known") == F.size("_need")).drop("_known")
     )
-    order = Window.partitionBy("request_id").orderBy(F.desc("confidence_score"), "query_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).drop("_met", "_need")
+    met = words.join(rarest, ["user_id", "_word"]).filter(F.size(F.array_except("_need", "_held")) == 0)
+    order = [F.desc("confidence_score"), F.asc("query_id")]
+    position = F.row_number().over(Window.partitionBy("user_id", "_need").orderBy(*order))
+    best = (
+        met.select("user_id", "_need", "query_id", "confidence_score").withColumn("rank", position)
+        .filter(F.col("rank") <= n)
+    )
+    return requests.join(best, ["user_id", "_need"]).select("request_id", "query_id", "confidence_score", "rank")

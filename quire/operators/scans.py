@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import checkpoint
+
 
 BLOCK_PAGES = 1024
 
@@ -40,29 +42,39 @@ def number_pieces(pages: DataFrame, make, pieces: str, block: int | None = None)
     )
 
 
-def running_totals(rows: DataFrame, keys: list[str], order: list[str], block: Column,
-                   values: dict[str, Column]) -> DataFrame:
+def in_order(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows range partitioned and sorted by (keys, order), with their partition as `_part`.
+
+    `order` must tell all rows of a key apart: then partitions are of about equal size however
+    the keys are distributed. The checkpoint fixes which row is where, also when a task runs again.
+    """
+    sort = [*keys, *order]
+    ranged = rows.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    return checkpoint(ranged.withColumn("_part", F.spark_partition_id()))
+
+
+def running_totals(rows: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
     """Running sums per key, in `order`, exact for keys of any size.
 
-    `block` must not decrease along `order` (a time bucket, say). Sums inside a block come
-    from a window per (key, block); what lies before a block from a scan over block sums.
+    Sums inside a partition come from a window per (key, partition); what lies before a
+    partition from a scan over one row per (key, partition).
     """
-    rows = rows.withColumn("_block", block)
+    fixed = in_order(rows, keys, order)
     inside = (
-        Window.partitionBy(*keys, "_block").orderBy(*order)
+        Window.partitionBy(*keys, "_part").orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    across = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy(*keys, "_block").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = fixed.groupBy(*keys, "_part").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
     before = sums.select(
-        *keys, "_block",
+        *keys, "_part",
         *[F.coalesce(F.sum(f"_s_{n}").over(across), F.lit(0)).alias(f"_b_{n}") for n in values],
     )
-    out = rows.select("*", *[F.sum(v).over(inside).alias(f"_i_{n}") for n, v in values.items()])
-    out = out.join(before, [*keys, "_block"])
+    out = fixed.select("*", *[F.sum(v).over(inside).alias(f"_i_{n}") for n, v in values.items()])
+    out = out.join(before, [*keys, "_part"])
     for n in values:
         out = out.withColumn(n, F.col(f"_i_{n}") + F.col(f"_b_{n}")).drop(f"_i_{n}", f"_b_{n}")
-    return out.drop("_block")
+    return out.drop("_part")
 
 
 def previous_in_order(rows: DataFrame, key: str, index: str, columns: list[str], block: int = 65536) -> DataFrame:

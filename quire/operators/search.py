@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from quire.functions import vectors as vx
 from quire.operators.arrow import add_columns
 from quire.operators.hooks import Scorer, lexical_overlap
+from quire.session import checkpoint, small_side
 
 # Defaults and limits of a search request.
 DEFAULT_K, MAX_K = 10, 50
@@ -26,7 +27,7 @@ DIGITS = 6
 # more than that are met through shuffled blocks.
 BROADCAST_QUERIES = 4096
 # Rows of one side in one shuffled block.
-BLOCK_CHUNKS, BLOCK_QUERIES = 50_000, 4096
+BLOCK_CHUNKS, BLOCK_QUERIES = 20_000, 4096
 _TILE = 1024
 
 
@@ -277,10 +278,10 @@ def search_and_rerank(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                       **options) -> DataFrame:
     """Fetch 3k candidates, score question text against chunk text, keep k."""
     hits = batched_search(chunks.drop("chunk_text"), queries.drop("query_text"), 3 * k, threshold, **options)
+    found = small_side(checkpoint(hits.drop("rank")))
     scored = (
-        hits.drop("rank")
+        chunks.select("chunk_id", "chunk_text").join(found, "chunk_id")
         .join(queries.select("query_id", "query_text"), "query_id")
-        .join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
         .withColumn("score", F.round(scorer(F.col("query_text"), F.col("chunk_text")), DIGITS))
         .drop("query_text", "chunk_text")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import checkpoint
+from quire.operators.scans import in_order
 
 _NEVER = np.iinfo(np.int64).min
 
@@ -72,11 +72,7 @@ def anchored_windows(events: DataFrame, key: str, time: str, order_id: str, seco
     slim = events.select(
         F.col(key).cast("string").alias("_key"), F.unix_micros(time).alias("_time"), F.col(order_id).alias("_id")
     )
-    ordered = (
-        slim.repartitionByRange("_key", "_time", "_id").sortWithinPartitions("_key", "_time", "_id")
-        .withColumn("_part", F.spark_partition_id())
-    )
-    fixed = checkpoint(ordered)  # both passes must see the same partitions
+    fixed = in_order(slim, ["_key"], ["_time", "_id"])  # both passes see the same partitions
     entries = fixed.sparkSession.sparkContext.broadcast(_entries(fixed, width))
     id_type = slim.schema["_id"].dataType
     schema = T.StructType([

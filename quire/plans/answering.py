@@ -9,7 +9,7 @@ from quire.functions import answers as an
 from quire.operators import context as cx
 from quire.operators import search as se
 from quire.operators.hooks import Answerer, Embedder, answer, embed
-from quire.session import checkpoint
+from quire.session import checkpoint, small_side
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = se.DEFAULT_K,
@@ -24,10 +24,10 @@ def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: i
     if scoped:
         scope = ("user_id", "document_id")
         asked = questions.select("query_id", "user_id", "embedding", F.explode("document_ids").alias("document_id"))
-    hits = se.search_with_fallback(vectors, asked, k, threshold, scope=scope, **options)
+    found = small_side(checkpoint(se.search_with_fallback(vectors, asked, k, threshold, scope=scope, **options)))
     detail = chunks.select("chunk_id", "document_id", "page_number", "section_title", "chunk_text")
-    # hits are few against the chunks: runtime statistics choose the join
-    return se.attach_filename(hits.join(detail, "chunk_id"), documents, small=False)
+    # the ids go to the chunk table, so its texts are not shuffled
+    return se.attach_filename(detail.join(found, "chunk_id"), documents, small=False)
 
 
 def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFrame,

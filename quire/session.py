@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -56,6 +57,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+# Rows of a few numbers and ids that may be sent to every executor (some tens of megabytes).
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A checkpointed table of narrow rows, marked for broadcast when its counted size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors and fixes what it holds."""
     ensure_checkpoint_dir(df.sparkSession)
