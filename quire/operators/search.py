@@ -158,21 +158,31 @@ def batched_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     Returns query_id, chunk_id, similarity, rank.
     """
     cell = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in scope]) if scope else F.lit("")
-    chunks = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding", cell.alias("_cell"))
-    queries = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", cell.alias("_cell"))
+    chunks = chunks.filter(F.col("embedding").isNotNull())
+    queries = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", *scope, cell.alias("_cell"))
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
         T.StructField("similarity", T.DoubleType()),
     ])
     few = queries.limit(broadcast_limit + 1).toArrow()
+    slim = (F.col("chunk_id"), F.col("embedding"), cell.alias("_cell"))
     if few.num_rows <= broadcast_limit:
-        found = _against_broadcast(chunks, few, schema, k, threshold, skip_self)
+        found = _against_broadcast(_in_scope(chunks, few, scope).select(*slim), few, schema, k, threshold, skip_self)
     else:
-        found = _against_blocks(chunks, queries, schema, k, threshold, skip_self)
+        found = _against_blocks(chunks.select(*slim), queries, schema, k, threshold, skip_self)
     return ranked(found, k)
 
 
+def _in_scope(chunks: DataFrame, queries: pa.Table, scope, limit: int = 500) -> DataFrame:
+    """Only chunks with scope values some query has: plain filters, which the scan and its partitions can use."""
+    for column in scope:
+        values = queries.column(column).unique().to_pylist()
+        if len(values) <= limit:
+            chunks = chunks.filter(F.col(column).isin([v for v in values if v is not None]))
+    return chunks
+
+
 def ranked(hits: DataFrame, k: int, score: str = "similarity") -> DataFrame:
     """rank 1..k per query, best first, ties to the smaller chunk id."""
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
@@ -187,8 +197,6 @@ def _against_broadcast(chunks, queries: pa.Table, schema, k, threshold, skip_sel
         cell: (_values(queries.column("query_id"))[cells == cell], matrix[cells == cell])
         for cell in np.unique(cells)
     }
-    if len(shared) <= 200:
-        chunks = chunks.filter(F.col("_cell").isin([str(c) for c in shared]))
     handle = spark.sparkContext.broadcast(shared)
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 

@@ -22,7 +22,7 @@ def prepare(documents: DataFrame, lines_per_page: int | None = 20, sections: boo
 
 
 def ingest(documents: DataFrame, chunk_path: str, reject_path: str, embedder: Embedder | None = None,
-           **options) -> dict[str, int]:
+           batch_id: int | None = None, **options) -> dict[str, int]:
     """Cut, embed and store; returns how many chunks were stored and how many were rejected."""
     chunks = embed(prepare(spread(documents, "document_id"), **options), embedder or Embedder())
-    return store_chunks(chunks, documents, chunk_path, reject_path)
+    return store_chunks(chunks, documents, chunk_path, reject_path, batch_id)

@@ -53,25 +53,34 @@ def convert_chunks(chunks: DataFrame, model: str = "hash") -> tuple[DataFrame, D
 
 
 def store_chunks(chunks: DataFrame, documents: DataFrame, path: str, reject_path: str | None = None,
-                 mode: str = "append") -> dict[str, int]:
-    """Write the chunks of known (document, user) pairs, partitioned by user; returns counts.
+                 batch_id: int | None = None) -> dict[str, int]:
+    """Append the chunks of known (document, user) pairs, partitioned by user; returns counts.
 
     Rows are rebalanced before the write, so a user with a third of all rows is written by many tasks.
+    With a batch id the rows go to the batch's own partitions, which a repeated batch replaces.
     """
     valid, rejects = convert_chunks(owned(chunks, documents))
     stored, failed = Observation("stored"), Observation("failed")
-    (
-        valid.observe(stored, F.count(F.lit(1)).alias("n")).hint("rebalance", "user_id")
-        .write.mode(mode).partitionBy("user_id").parquet(path)
-    )
+    put(valid.observe(stored, F.count(F.lit(1)).alias("n")).hint("rebalance", "user_id"), path, ["user_id"], batch_id)
     counted = rejects.observe(failed, F.count(F.lit(1)).alias("n"))
     if reject_path:
-        counted.drop("embedding").write.mode(mode).parquet(reject_path)
+        put(counted.drop("embedding"), reject_path, [], batch_id)
     else:
         counted.write.mode("overwrite").format("noop").save()
     return {"stored": stored.get["n"], "failed": failed.get["n"]}
 
 
+def put(rows: DataFrame, path: str, by: list[str], batch_id: int | None = None) -> None:
+    """Append, or write the partitions of one batch so that writing it again changes nothing."""
+    if batch_id is None:
+        rows.write.mode("append").partitionBy(*by).parquet(path)
+        return
+    (
+        rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(path)
+    )
+
+
 def append_queries(answers: DataFrame, path: str) -> None:
     """Append answered questions to the query log."""
     answers.select(

@@ -14,6 +14,7 @@ from quire.functions.status import progress
 from quire.operators.hooks import Embedder
 from quire.operators.windows import LIMITS
 from quire.plans.ingest import ingest
+from quire.sources.tables import put
 
 
 def first_upload_stream(uploads: DataFrame, owner: str = "user_id", watermark: str | None = None,
@@ -119,20 +120,21 @@ def start_ingest(documents: DataFrame, chunk_path: str, reject_path: str, status
     """Ingest arriving documents (document_id, user_id, text, created_at) into the chunk table.
 
     A batch that fails is written to the status table with its stage and error, so that the stream goes on.
+    Every batch writes partitions of its own: one that runs again after a failure replaces what it wrote.
     """
     embedder = embedder or Embedder()
 
     def store(batch: DataFrame, batch_id: int) -> None:
         try:
-            ingest(batch, chunk_path, reject_path, embedder, **options)
+            ingest(batch, chunk_path, reject_path, embedder, batch_id, **options)
             state = ("completed", None)
         except Exception as problem:
             state = ("failed", str(problem)[:500])
-        batch.select(
-            "document_id", F.lit(batch_id).alias("batch_id"), F.lit(state[0]).alias("status"),
+        put(batch.select(
+            "document_id", F.lit(state[0]).alias("status"),
             F.when(F.lit(state[0] == "failed"), "storing").alias("processing_stage"),
             F.lit(state[1]).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
-        ).write.mode("append").parquet(status_path)
+        ), status_path, [], batch_id)
 
     writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()

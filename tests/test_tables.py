@@ -129,3 +129,22 @@ def test_streaming_ingest_records_failures(spark, documents, tmp_path):
     jobs.start_ingest(stream, *paths, Away(16)).awaitTermination()
     failed = spark.read.parquet(paths[2]).first()
     assert failed["status"] == "failed" and failed["processing_stage"] == "storing"
+
+
+def test_a_repeated_batch_changes_nothing(spark, documents, tmp_path):
+    where = (str(tmp_path / "c"), str(tmp_path / "r"))
+    first = ingest(documents, *where, Embedder(16), batch_id=0)
+    ingest(documents, *where, Embedder(16), batch_id=0)
+    assert spark.read.parquet(where[0]).count() == first["stored"]
+    ingest(documents, *where, Embedder(16), batch_id=1)
+    assert spark.read.parquet(where[0]).count() == 2 * first["stored"]
+
+
+def test_search_reads_only_the_users_partitions(spark, documents, tmp_path):
+    from quire.operators import search
+
+    ingest(documents, str(tmp_path / "c"), str(tmp_path / "r"), Embedder(16))
+    stored = spark.read.parquet(str(tmp_path / "c"))
+    asked = spark.createDataFrame([(1, "u1", [1.0] * 16)], "query_id long, user_id string, embedding array<float>")
+    plan = search.batched_search(stored, asked, 3, 0.0)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(user_id" in plan or "user_id#" in plan.split("PartitionFilters:")[1].split("]")[0]
