@@ -463,26 +463,67 @@ def evaluation(v):
 
 # --- whole plans ------------------------------------------------------------------------
 
+def _embedded(name: str, source: str, key: str, text: str) -> str:
+    """CTEs for the hash embedding of a text column: one row per (key, bucket), single precision."""
+    return f"""
+    {name}_letters AS (
+        SELECT {key}, (unicode(c) + i + j) % 64 AS bucket
+        FROM (SELECT {key}, i, unnest(string_split(w, '')) AS c, unnest(range(length(w))) AS j
+              FROM (SELECT {key}, unnest(l) AS w, unnest(range(len(l))) AS i
+                    FROM (SELECT {key}, regexp_split_to_array(lower({text}), '\\s+') AS l FROM {source})))),
+    {name}_buckets AS (SELECT {key}, bucket, count(*) * 0.1::DOUBLE AS v FROM {name}_letters GROUP BY ALL),
+    {name}_units AS (SELECT {key}, bucket, (v / sqrt(sum(v * v) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS u FROM {name}_buckets),
+    {name}_vec AS (SELECT *, sqrt(sum(u * u) OVER (PARTITION BY {key})) AS size FROM {name}_units)"""
+
+
+def _answers_sql(asked: str, columns: str) -> str:
+    """Answers to `asked` (query_id, user_id, query_text): the text of the best chunk, and how sure it is."""
+    return f"""
+    WITH asked AS ({asked}),
+    {_embedded("c", "chunks", "chunk_id", "chunk_text")},
+    {_embedded("q", "(SELECT DISTINCT query_text FROM asked)", "query_text", "query_text")},
+    owned AS (SELECT v.*, user_id FROM c_vec v JOIN chunks USING (chunk_id)),
+    pairs AS (SELECT user_id, query_text, chunk_id, round(sum(q.u * c.u) / (any_value(q.size) * any_value(c.size)), 6) AS similarity
+              FROM (SELECT DISTINCT user_id, query_text FROM asked) JOIN q_vec q USING (query_text) JOIN owned c USING (user_id, bucket) GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, query_text ORDER BY similarity DESC, chunk_id) AS rank FROM pairs WHERE similarity >= 0.5),
+    best AS (SELECT user_id, query_text, count(*) AS n, avg(similarity) FILTER (rank <= 3) AS top3, any_value(chunk_text) FILTER (rank = 1) AS response
+             FROM ranked JOIN chunks USING (user_id, chunk_id) WHERE rank <= 5 GROUP BY ALL),
+    told AS (SELECT a.*, coalesce(n, 0) AS n, top3, coalesce(response, 'No relevant information found in the documents.') AS response
+             FROM asked a LEFT JOIN best USING (user_id, query_text))
+    SELECT {columns}, n AS sources_found, round(CASE WHEN n = 0 THEN 0.1 ELSE greatest(0.1, least(1.0,
+               top3 * 0.5 + least(n / 5.0::DOUBLE, 1) * 0.3 + least(length(response) / 100.0::DOUBLE, 1) * 0.2)) END, 8)::DOUBLE AS confidence_score
+    FROM told"""
+
+
 def _answers(v, asked):
     from quire.operators.hooks import Embedder, embed
     embedder = Embedder(64)
     chunks = embed(v.chunks.withColumn("section_title", F.lit(None).cast("string")), embedder)
-    return answering.answer_questions(asked, chunks, v.user_documents, embedder, k=5, threshold=0.5)
+    answers = answering.answer_questions(asked, chunks, v.user_documents, embedder, k=5, threshold=0.5)
+    return answers.withColumn("confidence_score", F.round("confidence_score", 8))
 
 
-@check("answer_questions", "A10 U3 H17")
+@check("answer_questions", "A10 U3 H17", _answers_sql(
+    "SELECT conv_id AS query_id, 'src' || (conv_id % 20) AS user_id, text AS query_text FROM conv_texts",
+    "query_id, user_id, md5(response) AS response, n AS packed_hits, 'completed' AS finish_reason"), ("conv_texts", "chunks"))
 def answer_questions(v):
     """Each user's first turns as questions over the user's own documents."""
     asked = v.conv_texts.select(F.col("conv_id").alias("query_id"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("user_id"),
                                 F.col("text").alias("query_text"))
-    return _answers(v, asked).select("query_id", "user_id", "query_type", F.md5("response_text").alias("response"),
-                                     "confidence_score", "sources_found", "packed_hits", "usage.total_tokens", "finish_reason")
+    return _answers(v, asked).select("query_id", "user_id", F.md5("response_text").alias("response"),
+                                     "confidence_score", "sources_found", "packed_hits", "finish_reason")
 
 
-@check("reprocess_queries", "C15")
+@check("reprocess_queries", "C15", _answers_sql(
+    "SELECT query_id, 'src' || (user_id % 20) AS user_id, query_text FROM query_log WHERE confidence_score < 0.5",
+    "query_id AS original_query_id, user_id, md5(response) AS response"), ("query_log", "chunks"))
 def reprocess_queries(v):
     """Logged questions of low confidence, answered again."""
+    from quire.operators.hooks import Embedder, embed
     log = v.query_log.withColumn("user_id", F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")))
     again = log.filter(F.col("confidence_score") < 0.5).select("query_id", "user_id")
-    asked = log.join(again, ["query_id", "user_id"], "left_semi").select("query_id", "user_id", "query_text")
-    return _answers(v, asked).select(F.col("query_id").alias("original_query_id"), "user_id", "confidence_score", "sources_found")
+    embedder = Embedder(64)
+    chunks = embed(v.chunks.withColumn("section_title", F.lit(None).cast("string")), embedder)
+    answers = answering.reprocess(again, log, chunks, v.user_documents, embedder=embedder, k=5, threshold=0.5)
+    return answers.select("original_query_id", "user_id", F.md5("response_text").alias("response"), "sources_found",
+                          F.round("confidence_score", 8).alias("confidence_score"))
