@@ -316,14 +316,14 @@ def embeddable_text(v):
               FROM (SELECT chunk_id, unnest(l) AS w, unnest(range(len(l))) AS i
                     FROM (SELECT chunk_id, regexp_split_to_array(lower(chunk_text), '\\s+') AS l FROM chunks)))),
     buckets AS (SELECT chunk_id, bucket, count(*) * 0.1::DOUBLE AS v FROM letters GROUP BY ALL),
-    sized AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)) AS u FROM buckets)
-    SELECT chunk_id, count(*) AS filled, round(max(u), 4) AS highest, round(sum(u * (bucket + 1)), 1) AS weighted FROM sized GROUP BY chunk_id
+    sized AS (SELECT *, (v / sqrt(sum(v * v) OVER (PARTITION BY chunk_id)))::FLOAT::DOUBLE AS u FROM buckets)
+    SELECT chunk_id, count(*) AS filled, round(max(u), 6) AS highest, round(sum(u * (bucket + 1)), 6) AS weighted FROM sized GROUP BY chunk_id
 """, ("chunks",))
 def hash_embedding(v):
     e = hooks.embed(v.chunks.select("chunk_id", "chunk_text"), hooks.Embedder(384))
     d = F.transform("embedding", lambda x: x.cast("double"))
     return e.withColumn("d", d).select(
         "chunk_id", F.size(F.filter("d", lambda x: x != 0)).cast("bigint").alias("filled"),
-        F.round(F.array_max("d"), 4).alias("highest"),
-        F.round(F.aggregate(F.transform("d", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 1).alias("weighted"),
+        F.round(F.array_max("d"), 6).alias("highest"),
+        F.round(F.aggregate(F.transform("d", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("weighted"),
     )
