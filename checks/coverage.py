@@ -11,7 +11,8 @@ TESTED = {
     "A4": "tests/test_tables.py::test_files", "A5": "tests/test_tables.py::test_files",
     "B11": "tests/test_search.py::test_argument_rules", "A7": "tests/test_tables.py::test_rejects_keep_their_reason",
     "A10": "tests/test_tables.py::test_ingest_and_answer", "C7": "tests/test_search.py::test_inverted_lists_recall",
-    "S1": "tests/test_tables.py::test_streaming_ingest_records_failures", "T12": "tests/test_chunking.py::test_section_cutter_covers_the_section",
+    "S1": "tests/test_tables.py::test_streaming_ingest_records_failures",
+    "T12": "tests/test_chunking.py::test_section_cutter_covers_the_section",
     "U1": "tests/test_functions.py::test_embedder_keeps_row_errors", "U3": "tests/test_functions.py::test_answerer_errors_become_rows",
     "U4": "tests/test_chunking.py::test_custom_counter_is_used",
 }

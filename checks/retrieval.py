@@ -160,6 +160,15 @@ def inverted_lists(v):
     return index.search(index.assign(v.chunk_vectors), v.query_vectors, 5, T, skip_self=True)
 
 
+@check("inverted_lists_all_probes", "C7", f"""
+    SELECT query_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM pair_hits WHERE similarity >= {T} AND rank <= 5
+""", ("pair_hits",))
+def inverted_lists_all_probes(v):
+    """With every list probed the lists lose nothing: the result is the exact one."""
+    index = search.InvertedLists(lists=10, probes=10).fit(v.chunk_vectors)
+    return index.search(index.assign(v.chunk_vectors), v.query_vectors, 5, T, skip_self=True)
+
+
 @check("distinct_vectors", "C14", """
     SELECT (SELECT count(*) FROM chunk_vectors) AS vectors, count(*) AS pairs, max(s) AS max_similarity,
            count(*) FILTER (s >= 0.99) AS vectors_with_copies, max(s) < 0.99 AS all_distinct

@@ -89,11 +89,41 @@ def chunk_by_sections(v):
         F.md5("chunk_text").alias("chunk"), "page_position_end")
 
 
-@check("split_sections", "T12")
+@check("split_sections", "T12", f"""
+    WITH RECURSIVE {_BOUNDS},
+    whole AS (SELECT b.document_id, b.page_number, b.start_line, b.title, trim(string_agg(l.line, chr(10) ORDER BY l.line_no)) AS text
+              FROM bounds b JOIN manual_lines l ON l.document_id = b.document_id AND l.page_number = b.page_number
+                  AND l.line_no BETWEEN b.start_line AND b.end_line GROUP BY ALL),
+    large AS (SELECT * FROM whole WHERE ceil(length(text) / 4.0) > 20),
+    walk AS (
+        SELECT document_id, page_number, start_line, 0 AS nth, 1::BIGINT AS pos, ''::VARCHAR AS new, ''::VARCHAR AS chunk FROM large
+        UNION ALL
+        SELECT document_id, page_number, start_line, nth + 1, stop + 1 + length(regexp_extract(substr(text, stop + 1), '^\\s*')),
+               substr(text, pos, stop - pos + 1), regexp_replace(lead || substr(text, pos, stop - pos + 1), '^\\s+|\\s+$', '', 'g')
+        FROM (
+            SELECT *, pos - 1 + greatest(length(CASE WHEN length(text) - pos + 1 <= budget * 4 THEN substr(text, pos)
+                          ELSE regexp_extract(substr(text, pos, budget * 4 + 1), '^(.*\\S)\\s', 1, 's') END),
+                      length(regexp_extract(substr(text, pos), '^\\S+'))) AS stop
+            FROM (
+                SELECT *, 20 - CAST(ceil(length(lead) / 4.0) AS INT) AS budget FROM (
+                    SELECT *, CASE WHEN nth = 0 THEN '' ELSE array_to_string(list_reverse(rev[1:len(list_filter(range(1, len(rev) + 1),
+                                  lambda k: list_sum(list_transform(rev[1:k], lambda x: ceil(length(x) / 4.0))) <= 5))]), ' ') || chr(10) END AS lead
+                    FROM (
+                        SELECT *, list_filter(list_transform(range(len(parts), 0, -1), lambda i:
+                                      CASE WHEN parts[i] = '' THEN '' ELSE parts[i] || CASE WHEN i < len(parts) THEN '.' ELSE '' END END), lambda x: x <> '') AS rev
+                        FROM (
+                            SELECT w.*, l.text, list_transform(regexp_split_to_array(w.new, '[.!?]+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS parts
+                            FROM walk w JOIN large l USING (document_id, page_number, start_line) WHERE w.pos <= length(l.text)))))))
+    SELECT document_id, page_number, title AS section_title, md5(text) AS chunk,
+           row_number() OVER (PARTITION BY document_id, page_number ORDER BY start_line, nth) - 1 AS page_pos
+    FROM (SELECT document_id, page_number, start_line, 0 AS nth, title, text FROM whole WHERE ceil(length(text) / 4.0) <= 20
+          UNION ALL SELECT w.document_id, w.page_number, w.start_line, nth, title, chunk
+          FROM walk w JOIN large l USING (document_id, page_number, start_line) WHERE nth > 0)
+""", ("section_map", "manual_lines"))
 def split_sections(v):
     """Sections over the size are split; trailing sentences open the next piece."""
     return sections.chunk_by_sections(_bounds(v), size=20, overlap=5).select(
-        "document_id", "page_number", "page_pos", "section_title", F.md5("chunk_text").alias("chunk"))
+        "document_id", "page_number", F.col("page_pos").cast("bigint").alias("page_pos"), "section_title", F.md5("chunk_text").alias("chunk"))
 
 
 @check("chunk_hierarchy", "T13", """
