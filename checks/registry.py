@@ -16,6 +16,7 @@ def check(name: str, covers: str, sql: str | None = None, views: tuple[str, ...]
 
     def register(build):
         def run(spark, sf_dir):
+            spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables hold UTC times
             return build(Views(spark, sf_dir))
 
         run.__doc__ = build.__doc__
