@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +44,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a context: their Python workers may start in any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_quire_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "quire.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(path)
+    context._quire_shipped = True
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Rows over all cores when they come in fewer partitions than that, from one small file say.
 
