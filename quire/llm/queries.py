@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import decontamination, language, packing, secrets
+from quire.llm import decontamination, language, neardup, packing, secrets
 from quire.llm.common import table
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_neardup": op5_neardup,
     "op6_language": op6_language,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
