@@ -5,8 +5,8 @@ MinHash labels; nodes that share a long prefix of labels stand side by side. In
 as long as they share at least two labels: in a crowded region the nearest ones share more, so the depth adapts to the
 region. A sketch of the whole signature sifts the neighbours, and what it lets pass is confirmed on full shingle sets.
 
-A node proposes a few neighbours a tree and round. Nodes that had more to propose come again in the next round with the
-components found so far, until nobody proposes a new pair between two components; so the few are no cap on the links.
+A node proposes its nearest fitting neighbour in each tree. Nodes that had more to propose come again in the next round,
+with the components found so far, until nobody proposes a new pair between two components; so this is no cap on links.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, lower_ascii, numbered, pieces, stored
+from quire.llm.common import WordHashes, lower_ascii, pieces, stored
 from quire.llm.graphs import components
 from quire.session import ship, small_side
 
@@ -28,7 +28,7 @@ PERCENT = 75
 TREES, DEPTH = 16, 8  # a tree orders nodes by 8 labels of 16 bits
 LEAST_DEPTH = 2       # a pair at 75 % shares two labels in one of 16 trees but for 2 in a million
 REACH = 512           # neighbours that a node meets in each order
-PROPOSALS = 3         # pairs that a node proposes a tree and round
+PROPOSALS = 1         # pairs that a node proposes a tree and round
 # Of the 128 two-bit fields of a sketch, 104 agree on average at 75 %, with a deviation of 4.4: one in 300,000 has fewer than 84.
 LEAST_AGREEING = 84
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     first = F.min(F.struct("doc_id", "text_hash", "labels", "sketch"))
     classes = full.groupBy("print").agg(first.alias("first"), F.min("doc_id").alias("least")).select(
         "print", "least", "first.doc_id", "first.text_hash", "first.labels", "first.sketch")
-    nodes = stored(numbered(classes.withColumn("all", F.lit(0)), ["all"], "nodes", rank="node").drop("all"), "nodes")
+    nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     names = nodes.select("node", "doc_id", "text_hash")
 
     found = tested = None
@@ -243,9 +243,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if new.isEmpty():
             break
         links = stored(confirmed(new, names, docs, doc_id, text), "links")
-        found = links if found is None else found.unionAll(links)
         tested = new if tested is None else tested.unionAll(new)
-        parts = stored(components(found), "parts")
+        if found is None or not links.isEmpty():
+            found = links if found is None else found.unionAll(links)
+            parts = stored(components(found), "parts")
         waiting = proposed.where(F.col("b").isNull()).select(F.col("a").alias("node"))
         if waiting.isEmpty():
             break
