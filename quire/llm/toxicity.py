@@ -33,6 +33,7 @@ _OBFUSCATED = re.compile(r"(?=\S*[0-9@$!|*._-])(?=\S*[^\W\d_])\S+")
 _JOINERS = re.compile(r"(?<=\w)[*._-]+(?=\w)")
 _SHOUT = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{3,}\b")
 _REPEATED = re.compile(r"[!?]{2,}")
+STEADY = 20.0
 NEAR = 6  # words between an insult and a second person that still belong together
 
 FEATURES = ["insults", "insults_log", "rude", "near_you", "you", "capitals", "shouts", "exclamations", "questions",
@@ -113,7 +114,7 @@ class Scorer:
         self._trees, self._calibration, self._constant = trees, calibration, constant
 
     @classmethod
-    def fit(cls, labelled: DataFrame, calibrate: Column, trees: int = 20, depth: int = 4) -> Scorer:
+    def fit(cls, labelled: DataFrame, calibrate: Column, trees: int = 20, depth: int = 3) -> Scorer:
         """`labelled` has features and label (0.0 or 1.0). Rows that `calibrate` picks fit the calibration, the others the trees."""
         found = {r.label: r["count"] for r in labelled.groupBy("label").count().collect()}
         total = sum(found.values())
@@ -122,11 +123,14 @@ class Scorer:
         if len(found) < 2 or fitting.select("label").distinct().count() < 2:
             return cls(constant=found.get(1.0, 0) / total if total else 0.0)
         model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2,
-                              seed=9, minInstancesPerNode=5).fit(fitting)
-        # Scores to three digits: at most 1001 rows, whatever number of texts is behind them.
+                              seed=9, minInstancesPerNode=max(20, total // 500)).fit(fitting)
+        # Scores to two digits: at most 101 rows, whatever number of texts is behind them. Each is drawn towards the
+        # trees' own score as by STEADY texts, so that a handful of odd texts does not move it.
         steps = (model.transform(_few_parts(rows.where("calibrate"), total))
-                 .groupBy(F.round(vector_to_array("probability")[1], 3).alias("raw"))
-                 .agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")))
+                 .groupBy(F.round(vector_to_array("probability")[1], 2).alias("raw"))
+                 .agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).cast("double").alias("n"))
+                 .select("raw", ((F.col("toxic") + STEADY * F.col("raw")) / (F.col("n") + STEADY)).alias("label"),
+                         (F.col("n") + STEADY).alias("weight")))
         if steps.isEmpty():
             return cls(model)
         calibration = IsotonicRegression(featuresCol="raw", labelCol="label", weightCol="weight",
