@@ -219,16 +219,18 @@ def confirmed(pairs: DataFrame, names: DataFrame, docs: DataFrame, doc_id: str,
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+    """doc_id, n_shingles, component_id, kept, text_hash, first of every row.
 
     A component is what links of 75 % or more reach; its id is its smallest doc_id, and the row that has it is kept.
     Null, empty and wordless texts have no shingles and are linked with nothing. Rows that repeat a doc_id are rows of
     their own, all kept if their doc_id is the component's; a null doc_id never names a component with other ids.
+    `first` marks the rows with the component's smallest (doc_id, text_hash): one row, or exact repeats of one.
     """
     rows = stored(sets_of(docs, doc_id, text), "sets")
     full = rows.where(F.col("print").isNotNull())
     first = F.min(F.struct("doc_id", "text_hash", "labels", "sketch"))
-    classes = full.groupBy("print").agg(first.alias("first"), F.min("doc_id").alias("least")).select(
+    own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    classes = full.groupBy("print").agg(first.alias("first"), F.min(own).alias("least")).select(
         "print", "least", "first.doc_id", "first.text_hash", "first.labels", "first.sketch")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     names = nodes.select("node", "doc_id", "text_hash")
@@ -261,7 +263,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         linked = parted.join(parts.select("component").distinct(), "component", "left_semi")
         smallest = linked.groupBy("component").agg(F.min("least").alias("smallest"))
         whole = parted.join(smallest, "component", "left").select("print", F.coalesce("smallest", "least").alias("least"))
-    return (rows.select("doc_id", "n_shingles", "print").join(whole, "print", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-                    .alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return (rows.select("doc_id", "n_shingles", "print", "text_hash").join(whole, "print", "left")
+            .withColumn("least", F.coalesce("least", own)).select(
+                "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"),
+                F.col("doc_id").eqNullSafe(F.col("least.doc_id")).alias("kept"), "text_hash",
+                (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_hash") == F.col("least.text_hash")))
+                .alias("first")))
