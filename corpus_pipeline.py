@@ -32,19 +32,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the row with the group's smallest doc_id; of rows that repeat it, one.
+    """One document of each group: the one with the smallest doc_id, of rows that repeat it one.
 
-    Rows without doc_id stay, as no group is known to hold them.
+    Documents without words are in no group and stay.
     """
-    found = neardup.near_duplicates(docs)
-    gone = stored(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = stored(kept.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"),
-                      "repeated")
+    found = stored(neardup.near_duplicates(docs).select("doc_id", "text_hash", "first", "n_shingles"), "found")
+    keys = [F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")]
+    here = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash"))
+    kept = docs.join(found.where(~F.col("first")).select(*keys).distinct(), here, "left_anti")
+    repeated = stored(found.where(F.col("first") & (F.col("n_shingles") > 0)).groupBy(*keys).count().where("count > 1")
+                      .select("of", "hash"), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return kept
+    once = kept.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, here, "left_anti").unionByName(once)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
