@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import decontamination, language, neardup, packing, secrets
 from quire.llm.common import stored, table
+from quire.session import small_side
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -39,7 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(neardup.near_duplicates(docs).select("doc_id", "text_hash", "first", "n_shingles"), "found")
     keys = [F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")]
     here = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash"))
-    kept = docs.join(found.where(~F.col("first")).select(*keys).distinct(), here, "left_anti")
+    gone = stored(found.where(~F.col("first")).select(*keys).distinct(), "gone")
+    kept = docs.join(small_side(gone), here, "left_anti")
     repeated = stored(found.where(F.col("first") & (F.col("n_shingles") > 0)).groupBy(*keys).count().where("count > 1")
                       .select("of", "hash"), "repeated")
     if repeated.isEmpty():
