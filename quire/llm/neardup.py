@@ -115,7 +115,9 @@ def sets_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def proposals(nodes: DataFrame) -> DataFrame:
-    """a, b (a < b): pairs of neighbours in different components; and rows with b null: nodes with more to propose.
+    """a, b (a < b), more_a, more_b: pairs of neighbours in different components, and which have more to propose.
+
+    A node with more to propose that is in no pair has a row with b null.
 
     `nodes` has node, component, labels, sketch.
     """
@@ -146,7 +148,8 @@ def proposals(nodes: DataFrame) -> DataFrame:
             keep = min(len(regions) - (before[-1] + 1 if len(before) else 0), REACH)
             carried = [x[len(x) - keep:] for x in now]
 
-    return ordered.mapInArrow(meet, "a long, b long")
+    return (ordered.mapInArrow(meet, "a long, b long, more_a boolean, more_b boolean")
+            .groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b")))
 
 
 def _pairs(rows: list[np.ndarray], old: int) -> pa.RecordBatch:
@@ -172,13 +175,19 @@ def _pairs(rows: list[np.ndarray], old: int) -> pa.RecordBatch:
         more[one[~free]] = more[two[~free]] = True
         one, two = one[free], two[free]
         proposed[one] += 1
-        left.append(nodes[one])
-        right.append(nodes[two])
+        left.append(one)
+        right.append(two)
     left, right = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
-    again = nodes[more & ~told]
+    swap = nodes[left] > nodes[right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    alone = more & ~told
+    alone[left] = alone[right] = False
+    none = int(alone.sum())
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate([np.minimum(left, right), again])),
-         pa.concat_arrays([pa.array(np.maximum(left, right)), pa.nulls(len(again), pa.int64())])], names=["a", "b"])
+        [pa.array(np.concatenate([nodes[left], nodes[alone]])),
+         pa.concat_arrays([pa.array(nodes[right]), pa.nulls(none, pa.int64())]),
+         pa.array(np.concatenate([more[left], np.ones(none, bool)])),
+         pa.array(np.concatenate([more[right], np.zeros(none, bool)]))], names=["a", "b", "more_a", "more_b"])
 
 
 def confirmed(pairs: DataFrame, names: DataFrame, docs: DataFrame, doc_id: str, text: str, fan: int = 64) -> DataFrame:
@@ -238,8 +247,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = tested = None
     active = nodes.select("node", F.col("node").alias("component"), "labels", "sketch")
     while True:
-        proposed = stored(proposals(active).distinct(), "proposals")
-        pairs = proposed.where(F.col("b").isNotNull())
+        proposed = stored(proposals(active), "proposals")
+        pairs = proposed.where(F.col("b").isNotNull()).select("a", "b")
         new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
         if new.isEmpty():
@@ -249,7 +258,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         if found is None or not links.isEmpty():
             found = links if found is None else found.unionAll(links)
             parts = stored(components(found), "parts")
-        waiting = proposed.where(F.col("b").isNull()).select(F.col("a").alias("node"))
+        waiting = (proposed.where("more_a").select(F.col("a").alias("node"))
+                   .unionAll(proposed.where("more_b").select("b")))
         if waiting.isEmpty():
             break
         active = (nodes.select("node", "labels", "sketch").join(waiting, "node", "left_semi").join(parts, "node", "left")
