@@ -9,6 +9,7 @@ places its own pieces.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -39,7 +40,7 @@ class WordTokenizer:
     stop that ends a word. What other white space there is stays inside a word and is left to the tokenizer.
     """
 
-    def __init__(self, path: str, most_words: int = 500_000):
+    def __init__(self, path: str, most_words: int = 250_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
@@ -77,7 +78,7 @@ class WordTokenizer:
             if len(self._places) + len(new) > self._most:
                 self._places.clear()
                 self._used, new = 0, set(words)
-            self._learn(sorted(new))
+            self._learn(list(new))
             places = list(map(self._places.__getitem__, words))
         at = np.array(places, np.int64)
         sizes = self._sizes[at]
@@ -113,6 +114,12 @@ class WordTokenizer:
         self._used += len(ids)
 
 
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """One a Python worker, which keeps the words of its earlier tasks."""
+    return WordTokenizer(path)
+
+
 def cut(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacity: int = CAPACITY,
         end_token: int = END_TOKEN) -> DataFrame:
     """Columns `keep`, piece, start, length, ids_crc32: each text's ids and the end token, in pieces of `capacity` ids.
@@ -126,10 +133,10 @@ def cut(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacit
     out = T.StructType([*source.select(*keep).schema, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = _tokenizer(path)
         for batch in batches:
             kept = batch.select(keep)
-            for at, texts in pieces(batch.column("__text__")):
+            for at, texts in pieces(batch.column("__text__"), 1 << 20):
                 rows: list[tuple] = []
                 owner = []
                 for i, made in enumerate(tokenizer.encode([t or "" for t in texts])):
@@ -156,19 +163,27 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
         left[length] = count
     patterns: list[Pattern] = []
 
+    have = (left > 0).astype(np.float64)
+    sums = np.convolve(have, have) > 0.5  # which sums two lengths may have; one that has failed fails for good
+
+    def pair(total: int) -> list[int] | None:
+        found = _pair(left, total) if sums[total] else None
+        sums[total] = found is not None
+        return found
+
     def complement(gap: int) -> list[int] | None:
         """One, two or three available lengths that add up to `gap`, with the largest first length possible."""
         if left[gap]:
             return [gap]
-        have = left[:gap + 1] > 0
-        if (two := _pair(left, gap)) is not None:
+        if (two := pair(gap)) is not None:
             return two
-        for first in np.flatnonzero(have)[::-1].tolist():
+        for first in np.flatnonzero((left[:gap] > 0) & sums[gap:0:-1])[::-1].tolist():
             left[first] -= 1
-            two = _pair(left, gap - first) if gap > first else None
+            two = _pair(left, gap - first)
             left[first] += 1
             if two is not None:
                 return [first, *two]
+            pair(gap - first)
         return None
 
     for length in range(capacity, 0, -1):
