@@ -28,8 +28,9 @@ def with_text(df: DataFrame, columns: list[str], cleaned: str) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told. Those without a single letter, null texts included, go."""
     prototypes = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
-    seen = language.identify(docs, prototypes, docs.columns)
-    return seen.where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+    named = docs.toDF(*[f"in_{c}" for c in docs.columns])  # no column of documents meets one of the result
+    seen = language.identify(named, prototypes, named.columns, text="in_text")
+    return seen.where(F.col("lang_pred") != language.UNKNOWN).select(*named.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +39,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are in no group and stay.
     """
     found = stored(neardup.near_duplicates(docs).select("doc_id", "text_hash", "first", "n_shingles"), "found")
-    keys = [F.col("doc_id").alias("of"), F.col("text_hash").alias("hash")]
-    here = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("hash"))
+    keys = [F.col("doc_id").alias("__of__"), F.col("text_hash").alias("__hash__")]
+    here = F.col("doc_id").eqNullSafe(F.col("__of__")) & (F.xxhash64("text") == F.col("__hash__"))
     gone = stored(found.where(~F.col("first")).select(*keys).distinct(), "gone")
     kept = docs.join(small_side(gone), here, "left_anti")
     repeated = stored(found.where(F.col("first") & (F.col("n_shingles") > 0)).groupBy(*keys).count().where("count > 1")
-                      .select("of", "hash"), "repeated")
+                      .select("__of__", "__hash__"), "repeated")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, here, "left_semi").dropDuplicates(["doc_id", "text"])
@@ -53,14 +54,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that hold a benchmark window are cut out; documents without a word left go."""
     slices = decontamination.window_slices(decontamination.benchmark_windows(table(spark, sf_dir, "benchmark")))
-    cleaned = decontamination.remove_spans(docs, slices)
-    return with_text(cleaned.where(F.col("cleaned").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-                                   | F.col("cleaned").eqNullSafe(F.col("text"))), docs.columns, "cleaned")
+    cleaned = decontamination.remove_spans(docs, slices, cleaned="__cleaned__")
+    return with_text(cleaned.where(F.col("__cleaned__").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+                                   | F.col("__cleaned__").eqNullSafe(F.col("text"))), docs.columns, "__cleaned__")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; no document goes."""
-    return with_text(secrets.redact(docs), docs.columns, "redacted")
+    return with_text(secrets.redact(docs, made="__redacted__"), docs.columns, "__redacted__")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
