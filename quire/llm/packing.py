@@ -40,7 +40,7 @@ class WordTokenizer:
     stop that ends a word. What other white space there is stays inside a word and is left to the tokenizer.
     """
 
-    def __init__(self, path: str, most_words: int = 250_000):
+    def __init__(self, path: str, most_words: int = 400_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
