@@ -217,7 +217,7 @@ def answer_confidence(hits: Column, top3_mean: Column, answer: Column) -> Column
     mixed = (
         top3_mean * 0.5
         + F.least(hits / F.lit(5.0), F.lit(1.0)) * 0.3
-        + F.least(F.length(answer) / F.lit(100.0), F.lit(1.0)) * 0.2
+        + F.least(F.coalesce(F.length(answer), F.lit(0)) / F.lit(100.0), F.lit(1.0)) * 0.2
     )
     return F.when(F.coalesce(hits, F.lit(0)) == 0, 0.1).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(1.0), mixed)))
 

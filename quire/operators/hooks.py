@@ -110,17 +110,21 @@ def answer(prompts: DataFrame, answerer: Answerer, drop: tuple[str, ...] = ("con
     schema = T.StructType([*kept, *T._parse_datatype_string(
         "response_text string, prompt_tokens long, completion_tokens long, finish_reason string, error string").fields])
 
+    def answers(batch: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return answerer.answer(batch).reset_index(drop=True).assign(error=None)
+        except Exception as problem:  # one bad prompt must not lose its batch
+            if len(batch) > 1:
+                return pd.concat([answers(batch.iloc[[i]].reset_index(drop=True)) for i in range(len(batch))],
+                                 ignore_index=True)
+            return pd.DataFrame({"response_text": [None] * len(batch), "prompt_tokens": 0, "completion_tokens": 0,
+                                 "finish_reason": "error", "error": str(problem)})
+
     def run(batches):
         answerer.load()
         for batch in batches:
             batch = batch.reset_index(drop=True)
-            try:
-                got = answerer.answer(batch).reset_index(drop=True).assign(error=None)
-            except Exception as problem:
-                got = pd.DataFrame({
-                    "response_text": [None] * len(batch), "prompt_tokens": 0,
-                    "completion_tokens": 0, "finish_reason": "error", "error": str(problem),
-                })
+            got = answers(batch)
             yield pd.concat([batch[[f.name for f in kept]], got[given]], axis=1)
 
     return prompts.mapInPandas(run, schema)
