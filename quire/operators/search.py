@@ -40,9 +40,9 @@ def search_arguments(k: int | None = None, threshold: float | None = None, user_
         raise ValueError("user id is required")
     if k and not 1 <= k <= max_k:
         raise ValueError(f"k must be between 1 and {max_k}")
-    if threshold and not 0 <= threshold <= 1:
+    if threshold is not None and not 0 <= threshold <= 1:
         raise ValueError("similarity threshold must be between 0 and 1")
-    return capped_k(k, max_k), threshold or DEFAULT_THRESHOLD
+    return capped_k(k, max_k), DEFAULT_THRESHOLD if threshold is None else threshold
 
 
 def capped_k(k: int | None, max_k: int = MAX_K) -> int:
@@ -50,18 +50,24 @@ def capped_k(k: int | None, max_k: int = MAX_K) -> int:
 
 
 def vector_search(chunks: DataFrame, query_vector, user_id, threshold: float = 0.7, k: int = 10,
-                  document_ids=None, documents: DataFrame | None = None) -> DataFrame:
+                  document_ids=None, documents: DataFrame | None = None, dimensions: int | None = None) -> DataFrame:
     """Exact search for one vector: pushed-down filters, then a per-partition top k.
 
+    document_ids: None means all of the user's documents, an empty list none. With `dimensions`
+    (those of the stored vectors) the query vector is cut or padded to them first.
     File names are joined to the k hits, not to the chunks.
     """
+    k, threshold = search_arguments(k, threshold, user_id, query_vector)
+    if dimensions is not None:
+        query_vector = [*query_vector, *[0.0] * dimensions][:dimensions]
     rows = chunks.filter((F.col("user_id") == user_id) & F.col("embedding").isNotNull())
     if document_ids is not None:
-        rows = rows.filter(F.col("document_id").isin(list(document_ids)))
-    similarity = F.round(vx.cosine_similarity(F.col("embedding"), vx.literal_vector(query_vector)), DIGITS)
+        rows = rows.filter(F.col("document_id").isin(sorted({d for d in document_ids if d is not None})))
+    cosine = vx.cosine_similarity(F.col("embedding"), vx.literal_vector(query_vector))
+    # as an array of one: the optimiser copies a plain column into the filter and computes it twice
+    kept = F.filter(F.array(F.round(cosine, DIGITS)), lambda s: s >= threshold)
     hits = (
-        rows.withColumn("similarity", similarity).drop("embedding")
-        .filter(F.col("similarity") >= threshold)
+        rows.withColumn("similarity", F.explode(kept)).drop("embedding")
         .orderBy(F.desc("similarity"), "chunk_id").limit(k)
     )
     return attach_filename(hits, documents) if documents is not None else hits
@@ -155,11 +161,18 @@ def batched_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     """Exact top k of every query among the chunks with equal `scope` columns.
 
     chunks: chunk_id, embedding, scope; queries: query_id, embedding, scope.
+    A scope column that is null equals nothing, on either side: such rows take no part. Queries' scope
+    values are read as the type they have in the chunks; what cannot be read so meets nothing.
     Returns query_id, chunk_id, similarity, rank.
     """
-    cell = F.concat_ws("\u001f", *[F.col(c).cast("string") for c in scope]) if scope else F.lit("")
-    chunks = chunks.filter(F.col("embedding").isNotNull())
-    queries = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding", *scope, cell.alias("_cell"))
+    if k < 1 or not -1 <= threshold <= 1:
+        raise ValueError("k must be positive and the threshold a cosine")
+    given = [F.col(c).try_cast(chunks.schema[c].dataType).alias(c) for c in scope]
+    # quoted and in a fixed order, so that no two lists of values share a cell
+    cell = F.to_json(F.struct(*scope)) if scope else F.lit("")
+    chunks = chunks.dropna(subset=["embedding", *scope])
+    queries = queries.select("query_id", "embedding", *given).dropna(subset=["embedding", *scope])
+    queries = queries.select("query_id", "embedding", *scope, cell.alias("_cell"))
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
@@ -175,11 +188,14 @@ def batched_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
 
 
 def _in_scope(chunks: DataFrame, queries: pa.Table, scope, limit: int = 500) -> DataFrame:
-    """Only chunks with scope values some query has: plain filters, which the scan and its partitions can use."""
+    """Only chunks with scope values some query has: plain filters, which the scan and its partitions can use.
+
+    They drop nothing that a query could meet, so rows are the same with and without them.
+    """
     for column in scope:
         values = queries.column(column).unique().to_pylist()
         if len(values) <= limit:
-            chunks = chunks.filter(F.col(column).isin([v for v in values if v is not None]))
+            chunks = chunks.filter(F.col(column).isin(values))
     return chunks
 
 
@@ -266,6 +282,7 @@ def search_with_fallback(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT
                          threshold: float = DEFAULT_THRESHOLD, fallback: float = FALLBACK_THRESHOLD,
                          **options) -> DataFrame:
     """Hits at the threshold; a query without any gets its hits at the fallback. One pass."""
+    k, threshold = search_arguments(k, threshold)
     hits = batched_search(chunks, queries, k, min(threshold, fallback), **options)
     if threshold <= fallback:
         return hits
@@ -285,6 +302,7 @@ def search_and_rerank(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                       threshold: float = DEFAULT_THRESHOLD, scorer: Scorer = lexical_overlap,
                       **options) -> DataFrame:
     """Fetch 3k candidates, score question text against chunk text, keep k."""
+    k, threshold = search_arguments(k, threshold)
     hits = batched_search(chunks.drop("chunk_text"), queries.drop("query_text"), 3 * k, threshold, **options)
     found = small_side(checkpoint(hits.drop("rank")))
     scored = (
@@ -335,19 +353,17 @@ def search_summary(hits: DataFrame) -> DataFrame:
 class InvertedLists:
     """Vectors grouped by nearest centroid; a search looks into the nearest few lists only."""
 
-    def __init__(self, lists: int = 100, probes: int = 10, seed: int = 7, train_rows: int = 1_000_000):
-        self.lists, self.probes, self.seed, self.train_rows = lists, probes, seed, train_rows
+    def __init__(self, lists: int = 100, probes: int = 10, seed: int = 7):
+        self.lists, self.probes, self.seed = lists, probes, seed
         self.centroids: np.ndarray | None = None
 
     def fit(self, chunks: DataFrame) -> "InvertedLists":
-        """Centroids from a training sample; every row is assigned later, none is left out."""
+        """Centroids from all rows; every row is assigned later, none is left out."""
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
         rows = chunks.filter(F.col("embedding").isNotNull())
         total = rows.count()
-        if total > self.train_rows:
-            rows = rows.sample(self.train_rows / total, self.seed)
         points = rows.select(array_to_vector(vx.l2_normalise(F.col("embedding"))).alias("features"))
         model = KMeans(k=max(1, min(self.lists, total)), seed=self.seed, maxIter=10).fit(points)
         self.centroids = np.array(model.clusterCenters())

@@ -16,15 +16,22 @@ def retrieve(questions: DataFrame, chunks: DataFrame, documents: DataFrame, k: i
              threshold: float = se.DEFAULT_THRESHOLD, scoped: bool = False, **options) -> DataFrame:
     """Ranked hits of embedded questions with chunk text, page, section and document name.
 
-    With `scoped`, questions carry document_ids and are searched in those documents only.
+    With `scoped`, questions carry document_ids and are searched in those documents only: null means
+    all of the user's documents, an empty list none, repeated ids count once.
     """
     vectors = chunks.select("chunk_id", "user_id", "document_id", "embedding")
     asked = questions.select("query_id", "user_id", "embedding")
-    scope = ("user_id",)
-    if scoped:
-        scope = ("user_id", "document_id")
-        asked = questions.select("query_id", "user_id", "embedding", F.explode("document_ids").alias("document_id"))
-    found = small_side(checkpoint(se.search_with_fallback(vectors, asked, k, threshold, scope=scope, **options)))
+    if not scoped:
+        hits = se.search_with_fallback(vectors, asked, k, threshold, scope=("user_id",), **options)
+    else:
+        inside = questions.select("query_id", "user_id", "embedding",
+                                  F.explode(F.array_distinct("document_ids")).alias("document_id"))
+        everywhere = questions.where(F.col("document_ids").isNull()).select(*asked.columns)
+        hits = (
+            se.search_with_fallback(vectors, inside, k, threshold, scope=("user_id", "document_id"), **options)
+            .unionByName(se.search_with_fallback(vectors, everywhere, k, threshold, scope=("user_id",), **options))
+        )
+    found = small_side(checkpoint(hits))
     detail = chunks.select("chunk_id", "document_id", "page_number", "section_title", "chunk_text")
     # the ids go to the chunk table, so its texts are not shuffled
     return se.attach_filename(detail.join(found, "chunk_id"), documents, small=False)
@@ -91,6 +98,7 @@ def finish(merged: DataFrame, hits: DataFrame, structured: bool) -> DataFrame:
 def reprocess(query_ids: DataFrame, log: DataFrame, chunks: DataFrame, documents: DataFrame, **options) -> DataFrame:
     """Answer logged questions again; query_ids (query_id, user_id) must own the logged question."""
     again = log.join(query_ids.select("query_id", "user_id"), ["query_id", "user_id"], "left_semi")
-    asked = again.select("query_id", "user_id", "query_text")
+    kept = [c for c in ("document_ids",) if c in again.columns]  # the logged scope, for scoped=True
+    asked = again.select("query_id", "user_id", "query_text", *kept)
     return answer_questions(asked, chunks, documents, **options).withColumnRenamed("query_id", "original_query_id")
 

@@ -112,3 +112,51 @@ def test_plan_of_one_search(spark, data):
     """Filters stay below the top k, and no shuffle of chunks happens."""
     plan = search.vector_search(data[2], [1.0, 0.0, 0.0, 0.0], 0, 0.1, 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_null_scopes_meet_nothing(spark, limit):
+    """A null scope value finds nothing and is found by nothing, however the search is carried out."""
+    values = [("x", None), (None, "x"), (None, None), ("x", "y"), ("x\u001fy", "z"), ("x", "y\u001fz")]
+    schema = "user_id string, document_id string, embedding array<float>"
+    chunks = spark.createDataFrame([(i, a, b, [1.0, 0.0]) for i, (a, b) in enumerate(values)], "chunk_id long, " + schema)
+    asked = spark.createDataFrame([(i, a, b, [1.0, 0.0]) for i, (a, b) in enumerate(values)], "query_id long, " + schema)
+    got = search.batched_search(chunks, asked, 5, 0.5, ("user_id", "document_id"), broadcast_limit=limit).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == {(3, 3), (4, 4), (5, 5)}
+    got = search.batched_search(chunks, asked, 5, 0.5, broadcast_limit=limit).collect()
+    same = {(q, c) for q, (a, _) in enumerate(values) for c, (b, _) in enumerate(values) if a is not None and a == b}
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == same
+
+
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_scope_types_may_differ(spark, limit):
+    chunks = spark.createDataFrame([(1, 7, [1.0, 0.0])], "chunk_id long, user_id int, embedding array<float>")
+    asked = spark.createDataFrame([(1, "7", [1.0, 0.0]), (2, "seven", [1.0, 0.0])], "query_id long, user_id string, embedding array<float>")
+    got = search.batched_search(chunks, asked, 5, 0.5, broadcast_limit=limit).collect()
+    assert [(r["query_id"], r["chunk_id"]) for r in got] == [(1, 1)]
+
+
+@pytest.mark.parametrize("limit", [4096, 0])
+def test_document_lists_of_questions(spark, limit):
+    """Repeated ids count once, a null list means all documents, an empty one none."""
+    from quire.plans.answering import retrieve
+
+    chunks = spark.createDataFrame(
+        [(f"c{d}", 1, d, 1, "s", "text", [1.0, 0.0]) for d in (1, 2, 3)],
+        "chunk_id string, user_id long, document_id long, page_number int, section_title string, chunk_text string, embedding array<float>")
+    documents = spark.createDataFrame([(d, f"f{d}") for d in (1, 2, 3)], "document_id long, filename string")
+    asked = spark.createDataFrame(
+        [(1, 1, [1.0, 0.0], [1, 1, 2]), (2, 1, [1.0, 0.0], None), (3, 1, [1.0, 0.0], []), (4, None, [1.0, 0.0], None), (5, 1, [1.0, 0.0], [None, 3])],
+        "query_id long, user_id long, embedding array<float>, document_ids array<long>")
+    got = retrieve(asked, chunks, documents, scoped=True, broadcast_limit=limit).collect()
+    assert sorted((r["query_id"], r["rank"], r["chunk_id"]) for r in got) == [
+        (1, 1, "c1"), (1, 2, "c2"), (2, 1, "c1"), (2, 2, "c2"), (2, 3, "c3"), (5, 1, "c3")]
+
+
+def test_one_search_checks_its_request(spark, data):
+    for bad in ({"k": 10**9}, {"threshold": 7}, {"query_vector": []}, {"user_id": ""}):
+        with pytest.raises(ValueError):
+            search.vector_search(**{"chunks": data[2], "query_vector": [1.0, 0.0, 0.0, 0.0], "user_id": 0, **bad})
+    fitted = search.vector_search(data[2], [1.0, 0.0, 0.0, 1.0, 9.0], 0, 0.1, 5, dimensions=4).collect()
+    assert fitted == search.vector_search(data[2], [1.0, 0.0, 0.0, 1.0], 0, 0.1, 5).collect()
+    assert search.search_arguments(threshold=0) == (10, 0)
