@@ -41,10 +41,15 @@ CONTEXT_HEADERS = {
     "analytical": "Analytical information for comparison and analysis:\n\n",
     "general": "Relevant information from the documents:\n\n",
 }
+# Fixed value: the context when nothing was found.
 NO_CONTEXT = "No relevant information found in the documents."
 # What is returned when a model answer cannot be read.
 UNREADABLE = "I encountered an error processing the response. Please try rephrasing your question."
 NO_ANSWER = "No answer available"
+# Fixed value: what is returned when answering failed.
+APOLOGY = "I apologize, but I encountered an error while processing your question. Please try again."
+# Fixed value: what stands where a context was cut.
+TRUNCATED = "\n\n[... context truncated for length ...]"
 REQUIRED_FIELDS = ("answer", "confidence", "citations")
 # Finish reasons.
 FINISH_REASONS = {"stop": "completed", "length": "max_tokens", "content_filter": "stop_sequence"}
@@ -116,9 +121,8 @@ def fit_prompt(prompt: Column, max_tokens: int) -> Column:
     marker = "\n\nQUERY:"
     parts = F.split(prompt, marker)
     room = F.lit(max_tokens) - tx.estimate_tokens(parts[1]) - 100
-    notice = "\n\n[... context truncated for length ...]"
     context = F.when(
-        F.length(parts[0]) > room * 4, F.concat(F.substring(parts[0], F.lit(1), room * 4), F.lit(notice))
+        F.length(parts[0]) > room * 4, F.concat(F.substring(parts[0], F.lit(1), room * 4), F.lit(TRUNCATED))
     ).otherwise(parts[0])
     fits = (tx.estimate_tokens(prompt) <= max_tokens) | (F.size(parts) != 2)
     return F.when(fits, prompt).when(room <= 0, prompt).otherwise(F.concat(context, F.lit(marker), parts[1]))

@@ -20,7 +20,7 @@ MAX_PAGES = 2000
 
 
 def progress(status: Column, stage: Column, error: Column) -> Column:
-    """struct(percentage, stage, message) of a document."""
+    """struct(percentage, stage, message) of a document. Its percentages and messages."""
     def state(percentage: int, name, message) -> Column:
         name = name if isinstance(name, Column) else F.lit(name)
         message = message if isinstance(message, Column) else F.lit(message)
@@ -58,7 +58,7 @@ def processing_seconds(started: Column, completed: Column) -> Column:
 
 
 def ingest_error(message: Column) -> Column:
-    """What a user is told about an extraction error."""
+    """What a user is told about an extraction error. The messages and what they answer to."""
     return (
         F.when(message.contains("Invalid PDF") | message.contains("not a PDF"), "Invalid or corrupted PDF file")
         .when(message.contains("password") | message.contains("encrypted"),

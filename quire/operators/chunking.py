@@ -137,10 +137,13 @@ def chunk_documents(documents: DataFrame, size: int = SIZE, overlap: int = OVERL
         F.transform("_pages", lambda p: p["text"]).alias("_texts"),
     )
     made = cut_documents(split, "_texts", _page_cutter(size, overlap, sentences, tokens))
-    rows = made.select(*kept, "_about", F.posexplode("_pieces").alias("chunk_index", "_p"))
+    # each piece takes its page's number and title along, so that no chunk carries those of all pages
+    about = F.col("_about")
+    placed = F.transform("_pieces", lambda p: p.withField("about", about[p["ordinal"] - 1]))
+    rows = made.select(*kept, placed.alias("_pieces")).select(
+        *kept, F.posexplode("_pieces").alias("chunk_index", "_p"))
     return with_chunk_ids(rows.select(
-        *kept, F.col("_about")[F.col("_p.ordinal") - 1]["page_number"].alias("page_number"),
-        F.col("_about")[F.col("_p.ordinal") - 1]["title"].alias("section_title"),
+        *kept, F.col("_p.about.page_number").alias("page_number"), F.col("_p.about.title").alias("section_title"),
         F.col("chunk_index").cast("bigint").alias("chunk_index"), "_p.page_pos", "_p.chunk_text",
         "_p.page_position_start", "_p.page_position_end",
         tx.estimate_tokens(F.col("_p.chunk_text")).alias("chunk_tokens"),

@@ -31,12 +31,13 @@ def backward_pages(chunks: DataFrame) -> DataFrame:
 
 def chunk_validation(chunks: DataFrame) -> DataFrame:
     """Per document: empty chunks, gaps, backward pages, token range, chunks a page, verdict."""
-    steps = index_steps(chunks.select("document_id", "chunk_index", "page_number", "chunk_text", "chunk_tokens"))
+    steps = index_steps(chunks.select("document_id", "chunk_index", "page_number", "chunk_tokens",
+                                      tx.is_blank(F.col("chunk_text")).alias("_blank")))
     pages = chunks.groupBy("document_id", "page_number").agg(F.count("*").alias("_n"))
     per_page = pages.groupBy("document_id").agg(
         F.count("*").alias("pages"), F.max("_n").alias("max_chunks_per_page"))
     report = steps.groupBy("document_id").agg(
-        F.count_if(tx.is_blank(F.col("chunk_text"))).alias("empty_chunks"),
+        F.count_if("_blank").alias("empty_chunks"),
         F.count_if(F.col("chunk_index") != F.col("prev_chunk_index") + 1).alias("index_gaps"),
         F.count_if(F.col("page_number") < F.col("prev_page_number")).alias("backward_pages"),
         F.min("chunk_tokens").alias("min_tokens"), F.round(F.avg("chunk_tokens"), 6).alias("avg_tokens"),

@@ -60,8 +60,10 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFra
 
 
 def finish(merged: DataFrame, hits: DataFrame, structured: bool) -> DataFrame:
+    """Texts, sources and scores. A question whose answer failed gets an apology, no sources and confidence 0."""
     raw = F.col("response_text")
-    usage = an.token_usage(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("user_prompt"), raw)
+    failed = F.col("error").isNotNull()
+    usage = an.token_usage(F.col("prompt_tokens"), F.col("completion_tokens"), F.col("user_prompt"), F.coalesce(raw, F.lit("")))
     confidence = an.answer_confidence(F.col("hits"), F.col("top3_mean"), raw)
     text, own = raw, confidence
     if structured:
@@ -89,9 +91,12 @@ def finish(merged: DataFrame, hits: DataFrame, structured: bool) -> DataFrame:
         text = an.cite(text, F.col("sources"))
         own = F.coalesce(F.nullif("_a.confidence", F.lit(0.0)), confidence)
     return merged.select(
-        "query_id", "user_id", "query_text", "query_type", text.alias("response_text"), "sources",
-        own.alias("confidence_score"), F.coalesce("hits", F.lit(0)).alias("sources_found"), "packed_hits",
-        usage.alias("usage"), an.finish_reason(F.col("finish_reason")).alias("finish_reason"), "error",
+        "query_id", "user_id", "query_text", "query_type",
+        F.when(failed, an.APOLOGY).otherwise(text).alias("response_text"),
+        F.when(failed, F.slice("sources", 1, 0)).otherwise(F.col("sources")).alias("sources"),
+        F.when(failed, 0.0).otherwise(own).alias("confidence_score"),
+        F.coalesce("hits", F.lit(0)).alias("sources_found"), "packed_hits", usage.alias("usage"),
+        F.when(failed, "failed").otherwise(an.finish_reason(F.col("finish_reason"))).alias("finish_reason"), "error",
     )
 
 

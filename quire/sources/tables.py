@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators.listing import owned
 from quire.operators.quality import split_valid, storable_chunk_rules
 from quire.schemas import CHUNKS
+from quire.session import checkpoint
 
 # Preferences of a user who has none.
 DEFAULT_PREFERENCES = {
@@ -58,8 +59,9 @@ def store_chunks(chunks: DataFrame, documents: DataFrame, path: str, reject_path
 
     Rows are rebalanced before the write, so a user with a third of all rows is written by many tasks.
     With a batch id the rows go to the batch's own partitions, which a repeated batch replaces.
+    Chunks are checkpointed first: both tables are written from the same rows, cut and embedded once.
     """
-    valid, rejects = convert_chunks(owned(chunks, documents))
+    valid, rejects = convert_chunks(checkpoint(owned(chunks, documents)))
     stored, failed = Observation("stored"), Observation("failed")
     put(valid.observe(stored, F.count(F.lit(1)).alias("n")).hint("rebalance", "user_id"), path, ["user_id"], batch_id)
     counted = rejects.observe(failed, F.count(F.lit(1)).alias("n"))
@@ -82,7 +84,11 @@ def put(rows: DataFrame, path: str, by: list[str], batch_id: int | None = None)
 
 
 def append_queries(answers: DataFrame, path: str) -> None:
-    """Append answered questions to the query log."""
+    """Append answered questions to the query log; unknown durations stay null, unknown times are now."""
+    if "processing_time_ms" not in answers.columns:
+        answers = answers.withColumn("processing_time_ms", F.lit(None).cast("bigint"))
+    if "created_at" not in answers.columns:
+        answers = answers.withColumn("created_at", F.current_timestamp())
     answers.select(
         "query_id", "user_id", "query_text", "response_text", "sources", "confidence_score",
         "processing_time_ms", "created_at",

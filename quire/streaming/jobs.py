@@ -14,6 +14,7 @@ from quire.functions.status import progress
 from quire.operators.hooks import Embedder
 from quire.operators.windows import LIMITS
 from quire.plans.ingest import ingest
+from quire.session import checkpoint
 from quire.sources.tables import put
 
 
@@ -115,31 +116,54 @@ def usage_metrics_stream(usage: DataFrame, seconds: int = 3600, watermark: str =
     )
 
 
-def start_ingest(documents: DataFrame, chunk_path: str, reject_path: str, status_path: str, checkpoint: str,
+def start_ingest(documents: DataFrame, chunk_path: str, reject_path: str, status_path: str, state_path: str,
                  embedder: Embedder | None = None, once: bool = True, **options):
     """Ingest arriving documents (document_id, user_id, text, created_at) into the chunk table.
 
-    A batch that fails is written to the status table with its stage and error, so that the stream goes on.
-    Every batch writes partitions of its own: one that runs again after a failure replaces what it wrote.
+    A batch that fails is written to the status table with its stage and error, so that the stream goes on;
+    `retry_failed` takes its documents up again. Every batch writes partitions of its own: one that runs again
+    after a failure replaces what it wrote.
     """
     embedder = embedder or Embedder()
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        try:
-            ingest(batch, chunk_path, reject_path, embedder, batch_id, **options)
-            state = ("completed", None)
-        except Exception as problem:
-            state = ("failed", str(problem)[:500])
-        put(batch.select(
-            "document_id", F.lit(state[0]).alias("status"),
-            F.when(F.lit(state[0] == "failed"), "storing").alias("processing_stage"),
-            F.lit(state[1]).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
-        ), status_path, [], batch_id)
-
-    writer = documents.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
+        _ingest_batch(batch, batch_id, chunk_path, reject_path, status_path, embedder, options)
+
+    writer = documents.writeStream.option("checkpointLocation", state_path).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def retry_failed(documents: DataFrame, chunk_path: str, reject_path: str, status_path: str,
+                 embedder: Embedder | None = None, **options) -> int:
+    """Ingest the documents of failed batches again, taken from the table the stream reads; returns the batches retried.
+
+    A batch keeps its id, so that it replaces whatever its failed run has left, its status rows included.
+    """
+    spark = documents.sparkSession
+    failed = spark.read.parquet(status_path).where(F.col("status") == "failed").select("document_id", "batch_id")
+    failed = checkpoint(failed)  # the rows are replaced below
+    batches = [r["batch_id"] for r in failed.select("batch_id").distinct().orderBy("batch_id").collect()]
+    for batch_id in batches:
+        mine = failed.where(F.col("batch_id") == batch_id).select("document_id")
+        batch = documents.join(mine, "document_id", "left_semi")
+        _ingest_batch(batch, batch_id, chunk_path, reject_path, status_path, embedder or Embedder(), options)
+    return len(batches)
+
+
+def _ingest_batch(batch: DataFrame, batch_id: int, chunk_path: str, reject_path: str, status_path: str,
+                  embedder: Embedder, options: dict) -> None:
+    """Store one batch and write what became of it to the status table."""
+    try:
+        ingest(batch, chunk_path, reject_path, embedder, batch_id, **options)
+        status, error = "completed", None
+    except Exception as problem:
+        status, error = "failed", str(problem)
+    put(batch.select(
+        "document_id", F.lit(status).alias("status"), F.when(F.lit(status == "failed"), "storing").alias("processing_stage"),
+        F.lit(error).cast("string").alias("error_message"), F.current_timestamp().alias("ts"),
+    ), status_path, [], batch_id)
+
+
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]):
     """Process everything that is there and stop."""
     query = (

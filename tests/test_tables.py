@@ -148,3 +148,51 @@ def test_search_reads_only_the_users_partitions(spark, documents, tmp_path):
     asked = spark.createDataFrame([(1, "u1", [1.0] * 16)], "query_id long, user_id string, embedding array<float>")
     plan = search.batched_search(stored, asked, 3, 0.0)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(user_id" in plan or "user_id#" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_each_chunk_is_embedded_once(spark, documents, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counting(Embedder):
+        def embed(self, texts):
+            seen.add(len(texts))
+            return super().embed(texts)
+
+    counts = ingest(documents, str(tmp_path / "c"), str(tmp_path / "r"), Counting(16), size=100, overlap=10)
+    assert seen.value == counts["stored"] + counts["failed"] > 4
+
+
+def test_failed_batches_are_taken_up_again(spark, documents, tmp_path):
+    documents.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(documents.schema).parquet(str(tmp_path / "in"))
+    *paths, state = [str(tmp_path / p) for p in ("chunks", "rejects", "status", "state")]
+
+    class Away(Embedder):
+        def load(self):
+            raise RuntimeError("no model")
+
+    jobs.start_ingest(stream, *paths, state, Away(16)).awaitTermination()
+    assert jobs.retry_failed(documents, *paths, Embedder(16)) == 1
+    assert {(r["document_id"], r["status"]) for r in spark.read.parquet(paths[2]).collect()} == {(i, "completed") for i in range(1, 5)}
+    stored = spark.read.parquet(paths[0])
+    assert stored.select("document_id").distinct().count() == 4
+    assert stored.select("document_id", "chunk_index").distinct().count() == stored.count()
+    assert jobs.retry_failed(documents, *paths, Embedder(16)) == 0
+
+
+def test_failed_answers_say_so_and_are_logged(spark, documents, tmp_path):
+    ingest(documents, str(tmp_path / "chunks"), str(tmp_path / "rejects"), Embedder(64), size=100, overlap=10)
+    stored = spark.read.parquet(str(tmp_path / "chunks"))
+    asked = spark.createDataFrame([(1, "u1", "what is topic 3"), (2, "u1", "what is topic 1")], "query_id long, user_id string, query_text string")
+
+    class Picky(Answerer):
+        def answer(self, prompts):
+            if prompts["user_prompt"].str.contains("topic 3").any():
+                raise RuntimeError("refused")
+            return super().answer(prompts)
+
+    answers = answering.answer_questions(asked, stored, documents, Embedder(64), Picky(), threshold=0.1)
+    tables.append_queries(answers, str(tmp_path / "log"))
+    got = {r["query_id"]: r for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert got[1]["confidence_score"] == 0 and got[1]["response_text"].startswith("I apologize") and not got[1]["sources"]
+    assert got[2]["confidence_score"] > 0.1 and got[2]["sources"] and got[2]["created_at"] is not None
