@@ -2,8 +2,8 @@
 
 Rate limits and cache lifetimes are both of this kind. Where a window starts depends on the
 one before, yet no key has to fit one task: events are range partitioned by (key, time, id),
-each task summarises how a window open at its start would leave it, the few summaries (at
-most two a partition) are put in order, and a second pass fills in the windows.
+each task summarises how a window open at its start would leave it, the summaries are put
+in order by key on the executors, and a second pass fills in the windows.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from quire.operators.scans import in_order
 
 _NEVER = np.iinfo(np.int64).min
+_NO_KEY = object()  # differs from every key, null included
 
 
 def _partition(batches):
@@ -103,11 +104,13 @@ def anchored_windows(events: DataFrame, key: str, time: str, order_id: str, seco
 
 
 def _entries(fixed: DataFrame, width: int) -> dict:
-    """Partition -> (key, reset, count) of the window open at its first event."""
-    schema = (
-        "_part int, _at int, _key string, n long, last_time long, "
-        "times array<long>, resets array<long>, counts array<long>, whole boolean"
-    )
+    """Partition -> (key, reset, count) of the window open at its first event.
+
+    A span is a partition's first or last run of equal keys. What it makes of a window open before it, one row
+    a possible outcome, goes to the task of its key, which walks a key's spans in order as a stream. Only one row
+    a partition reaches the driver.
+    """
+    schema = "_part int, _at int, _key string, _n long, _last long, _time long, _reset long, _count long"
 
     def summarise(batches):
         rows = _partition(batches)
@@ -115,29 +118,38 @@ def _entries(fixed: DataFrame, width: int) -> dict:
             return
         keys, times, part = rows["_key"].to_numpy(), rows["_time"].to_numpy(), int(rows["_part"].iloc[0])
         runs = _runs(keys)
-        out = []
         for at in sorted({0, len(runs) - 1}):
             first, past = runs[at]
             span = times[first:past]
             opened, resets, counts = _leaving(span, width)
-            out.append((part, at, keys[first], past - first, int(span[-1]), opened, resets, counts, len(runs) == 1))
-        yield pd.DataFrame(out, columns=[
-            "_part", "_at", "_key", "n", "last_time", "times", "resets", "counts", "whole"])
-
-    # at most two rows a partition, however many events there are
-    spans = sorted(fixed.mapInPandas(summarise, schema).collect(), key=lambda r: (r["_part"], r["_at"]))
-    entries, key, reset, count = {}, None, _NEVER, 0
-    for span in spans:
-        if span["_key"] != key:
-            key, reset, count = span["_key"], _NEVER, 0
-        elif span["_at"] == 0:
-            entries[span["_part"]] = (key, reset, count)
-        if reset >= span["last_time"]:
-            count += span["n"]
-            continue
-        at = int(np.searchsorted(np.array(span["times"]), reset, side="right"))
-        reset, count = span["resets"][at], span["counts"][at]
-    return entries
+            yield pd.DataFrame({"_part": part, "_at": at, "_key": keys[first], "_n": past - first, "_last": span[-1],
+                                "_time": opened, "_reset": resets, "_count": counts})
+
+    def chain(batches):
+        key, reset, count = _NO_KEY, _NEVER, 0
+        span, n, last, onward = None, 0, _NEVER, None
+        for rows in batches:
+            out = []
+            parts, ats, keys, ns, lasts, times, resets, counts = (rows[c].to_numpy() for c in rows.columns)
+            for first, past in _runs(parts.astype(np.int64) << 32 | ats):
+                if (parts[first], ats[first]) != span:
+                    if span is not None and reset < last:
+                        reset, count = onward
+                    elif span is not None:
+                        count += n
+                    span, n, last, onward = (parts[first], ats[first]), int(ns[first]), int(lasts[first]), None
+                    if keys[first] != key:
+                        key, reset, count = keys[first], _NEVER, 0
+                    elif ats[first] == 0:
+                        out.append((int(parts[first]), key, reset, count))
+                at = first + int(np.searchsorted(times[first:past], reset, side="right"))
+                if onward is None and at < past:
+                    onward = int(resets[at]), int(counts[at])
+            yield pd.DataFrame(out, columns=["_part", "_key", "_reset", "_count"])
+
+    spans = fixed.mapInPandas(summarise, schema).repartition("_key").sortWithinPartitions("_key", "_part", "_at", "_time")
+    found = spans.mapInPandas(chain, "_part int, _key string, _reset long, _count long").collect()
+    return {r["_part"]: (r["_key"], r["_reset"], r["_count"]) for r in found}
 
 
 def rate_limit_audit(events: DataFrame, limit: int, seconds: int, key: str = "client_id",

@@ -101,9 +101,15 @@ def finish(merged: DataFrame, hits: DataFrame, structured: bool) -> DataFrame:
 
 
 def reprocess(query_ids: DataFrame, log: DataFrame, chunks: DataFrame, documents: DataFrame, **options) -> DataFrame:
-    """Answer logged questions again; query_ids (query_id, user_id) must own the logged question."""
-    again = log.join(query_ids.select("query_id", "user_id"), ["query_id", "user_id"], "left_semi")
-    kept = [c for c in ("document_ids",) if c in again.columns]  # the logged scope, for scoped=True
-    asked = again.select("query_id", "user_id", "query_text", *kept)
-    return answer_questions(asked, chunks, documents, **options).withColumnRenamed("query_id", "original_query_id")
+    """Answer logged questions again; query_ids (query_id, user_id) must own the logged question.
 
+    With `scoped`, document_ids of query_ids, where that column is there, replace the logged ones, as retrieve reads
+    them. A question asked for twice is answered once.
+    """
+    keys = ["query_id", "user_id"]
+    scope = ["document_ids"] if "document_ids" in query_ids.columns else []
+    wanted = query_ids.select(*keys, *scope).dropDuplicates(keys)
+    again = log.drop(*scope).join(wanted, keys)
+    kept = [c for c in ("document_ids",) if c in again.columns]
+    asked = again.select(*keys, "query_text", *kept)
+    return answer_questions(asked, chunks, documents, **options).withColumnRenamed("query_id", "original_query_id")

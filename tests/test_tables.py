@@ -65,6 +65,10 @@ def test_ingest_and_answer(spark, documents, tmp_path):
     again = answering.reprocess(spark.createDataFrame([(1, "u1"), (2, "u1")], "query_id long, user_id string"), logged, stored, documents,
                                 embedder=Embedder(64), threshold=0.1)
     assert [r["original_query_id"] for r in again.collect()] == [1]     # the other is not owned
+    wanted = spark.createDataFrame([(1, "u1", [3]), (1, "u1", [3]), (2, "u9", [])], "query_id long, user_id string, document_ids array<long>")
+    again = answering.reprocess(wanted, logged, stored, documents, embedder=Embedder(64), threshold=0.1, scoped=True)
+    found = {r["original_query_id"]: {s["document_name"] for s in r["sources"] or []} for r in again.collect()}
+    assert found == {1: {"doc_3.pdf"}, 2: set()}                          # the scope asked for now
 
 
 def test_structured_answers(spark, documents):

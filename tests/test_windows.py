@@ -39,6 +39,12 @@ def test_against_the_loop(spark, seed):
         assert run(spark, events, seconds) == plain(events, seconds)
 
 
+def test_one_client_inside_one_window(spark):
+    """Every event is a state of its own, and none reaches the driver but one a partition; a null client counts as one."""
+    events = [(i, k, i / 8) for i, k in enumerate(["hot"] * 4000 + [None] * 3 + ["z"] * 2)]
+    assert run(spark, events, 10_000) == plain([(i, k or "", s) for i, k, s in events], 10_000)
+
+
 def test_gaps_and_the_exact_end(spark):
     events = [(i, "a", float(i * 5)) for i in range(11)] + [(20, "a", 60.0), (21, "a", 60.001)]
     got = run(spark, events, 60)
