@@ -24,6 +24,7 @@ from quire.session import ship
 K = 5
 LEVELS = (4, 16)     # segments, coarse to fine
 BLOCK = 2048         # candidates, and queries, handled as one matrix
+PAIRS = 1 << 12      # survivors whose exact scores are worked out at once
 LARGEST = 1 << 22    # components beyond this take no part: products of whole numbers stay exact in 64 bits
 
 
@@ -93,7 +94,10 @@ def best_of(queries: np.ndarray, query_uids: np.ndarray, rows: np.ndarray, row_u
     found: list[tuple] = []
     mine = [statistics(queries, s) for s in levels]
     theirs = [statistics(rows, s) for s in levels]
-    wide_q, wide_r = queries.astype(np.int64), rows.astype(np.int64)
+    # 64-bit floats hold whole numbers below 2^53 exactly, and multiply faster
+    largest = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * queries.shape[1]
+    wide = np.float64 if largest < 1 << 53 else np.int64
+    wide_q, wide_r = queries.astype(wide), rows.astype(wide)
     few = min(2 * k, len(rows))
     for at in range(0, len(queries), 256):
         part = slice(at, min(at + 256, len(queries)))
@@ -112,9 +116,11 @@ def best_of(queries: np.ndarray, query_uids: np.ndarray, rows: np.ndarray, row_u
             left &= own_stats[part] @ row_stats.T >= floor[part, None] - slack
         q, r = np.nonzero(left)
         exact = np.zeros(len(q), np.int64)
-        for i in range(0, len(q), 1 << 15):
-            piece = slice(i, i + (1 << 15))
+        for i in range(0, len(q), PAIRS):
+            piece = slice(i, i + PAIRS)
             exact[piece] = np.einsum("nd,nd->n", wide_q[q[piece] + at], wide_r[r[piece]])
+        near = exact >= floor[q + at]  # k rows reach the floor, so only those that reach it need an order
+        q, r, exact = q[near], r[near], exact[near]
         order = np.lexsort((ids[r], -exact, q))
         q, r, exact = q[order], r[order], exact[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
