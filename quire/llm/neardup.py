@@ -6,13 +6,16 @@ as long as they share at least two labels: in a crowded region the nearest ones
 region. A sketch of the whole signature sifts the neighbours, and what it lets pass is confirmed on full shingle sets.
 
 A node proposes its nearest fitting neighbour in each tree. Nodes that had more to propose come again in the next round,
-with the components found so far, until nobody proposes a new pair between two components; so this is no cap on links.
+with the components found so far, while that finds links. Then whole regions are gone through: all nodes that share two
+labels in a tree and are in different components meet, however many they are, and propose ever more, at last all pairs
+that the sketch lets pass. So neither the proposals of a node nor the reach of an order is a cap.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,9 @@ TREES, DEPTH = 16, 8  # a tree orders nodes by 8 labels of 16 bits
 LEAST_DEPTH = 2       # a pair at 75 % shares two labels in one of 16 trees but for 2 in a million
 REACH = 512           # neighbours that a node meets in each order
 PROPOSALS = 1         # pairs that a node proposes a tree and round
+# The same when whole regions meet: few first, as their links spare most of the rest, and at last without a limit.
+REST = (8, 64, None)
+TILE = 4096           # nodes of a region that meet as many others in one place
 # Of the 128 two-bit fields of a sketch, 104 agree on average at 75 %, with a deviation of 4.4: one in 300,000 has fewer than 84.
 LEAST_AGREEING = 84
 
@@ -142,7 +148,7 @@ def proposals(nodes: DataFrame) -> DataFrame:
             old = 0 if carried is None else len(carried[0])
             if old:
                 now = [np.concatenate(x) for x in zip(carried, now)]
-            yield _pairs(now, old)
+            yield _pairs(now, old, REACH, PROPOSALS)
             regions = now[0]
             before = np.flatnonzero(regions != regions[-1])
             keep = min(len(regions) - (before[-1] + 1 if len(before) else 0), REACH)
@@ -152,13 +158,70 @@ def proposals(nodes: DataFrame) -> DataFrame:
             .groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b")))
 
 
-def _pairs(rows: list[np.ndarray], old: int) -> pa.RecordBatch:
-    """Pairs whose later row is not among the first `old`; counts what each row has proposed in rows[4]."""
+def rest(nodes: DataFrame, limit: int | None) -> DataFrame:
+    """As `proposals`, of all nodes that share two labels in a tree, wherever they stand in its order.
+
+    A pair counts in the first tree that brings it together. A region of n nodes is dealt out as tiles of about TILE by
+    TILE nodes, each node in n / TILE of them. `limit` bounds what a node proposes in a tile; None proposes all pairs.
+    """
+    width = 2 * DEPTH
+    heads = [F.substring("labels", 1 + t * width, 2 * LEAST_DEPTH) for t in range(TREES)]
+    spots = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), h.alias("region")) for t, h in enumerate(heads)]))
+    crowds = (nodes.select("component", spots.alias("at")).groupBy("at.tree", "at.region")
+              .agg(F.min("component").alias("least"), F.max("component").alias("most"),
+                   F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).where("least < most").select("tree", "region", "tiles"))
+    rows = nodes.select(F.concat(*heads).alias("heads"), "node", "component", "sketch", spots.alias("at"))
+    met = rows.select("at.*", "heads", "node", "component", "sketch").join(small_side(stored(crowds, "crowds")), ["tree", "region"])
+    own = F.pmod(F.xxhash64("node"), F.col("tiles"))
+    met = (met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+           .select("tree", "region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+                   F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+                   "heads", "node", "component", "sketch"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tile = ["tree", "region", "low", "high"]
+    ordered = met.repartition(n, *tile).sortWithinPartitions(*tile)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+            *known, sides, firsts, trees = rows
+            return _pairs([*known, np.zeros(len(sides), np.int64), np.zeros(len(sides), bool)], 0, len(sides), limit,
+                          (sides, firsts, trees))
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            trees, low, high = (batch.column(c).to_numpy().astype(np.int64) for c in ("tree", "low", "high"))
+            region = np.frombuffer(b"".join(batch.column("region").to_pylist()), ">u4").astype(np.int64)
+            now = [((region * TREES + trees << 13) + low << 13) + high, batch.column("node").to_numpy(),
+                   batch.column("component").to_numpy(),
+                   np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 4),
+                   batch.column("side").to_numpy(),
+                   np.frombuffer(b"".join(batch.column("heads").to_pylist()), ">u4").reshape(-1, TREES), trees]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            before = np.flatnonzero(now[0] != now[0][-1])
+            end = before[-1] + 1 if len(before) else 0
+            if end:
+                yield pairs([x[:end] for x in now])
+            held = [x[end:] for x in now]
+        if held is not None:
+            yield pairs(held)
+
+    return (ordered.mapInArrow(meet, "a long, b long, more_a boolean, more_b boolean")
+            .groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b")))
+
+
+def _pairs(rows: list[np.ndarray], old: int, reach: int, limit: int | None, tiles: tuple | None = None) -> pa.RecordBatch:
+    """Pairs whose later row is not among the first `old`; counts what each row has proposed in rows[4].
+
+    `tiles`, where regions are tiles, has each row's side (2 meets its own), labels that begin its trees, and tree.
+    """
     regions, nodes, parts, sketches, proposed, more = rows
     left, right = [], []
     told = more.copy()
     at = np.arange(len(regions))
-    for offset in range(1, REACH + 1):
+    for offset in range(1, reach + 1):
         at = at[at + offset < len(regions)]
         at = at[regions[at] == regions[at + offset]]
         if not len(at):
@@ -166,14 +229,20 @@ def _pairs(rows: list[np.ndarray], old: int) -> pa.RecordBatch:
         one = at[at + offset >= old]
         two = one + offset
         other = parts[one] != parts[two]
+        if tiles is not None:
+            other &= (tiles[0][one] != tiles[0][two]) | (tiles[0][one] == 2)
         one, two = one[other], two[other]
         unlike = sketches[one] ^ sketches[two]
         agreeing = _HASHES - np.bitwise_count((unlike | unlike >> np.uint64(1)) & _PAIRS_OF_BITS).sum(axis=1)
         good = agreeing >= LEAST_AGREEING
         one, two = one[good], two[good]
-        free = proposed[one] < PROPOSALS
-        more[one[~free]] = more[two[~free]] = True
-        one, two = one[free], two[free]
+        if tiles is not None and len(one):
+            first = (tiles[1][one] == tiles[1][two]).argmax(axis=1) == tiles[2][one]
+            one, two = one[first], two[first]
+        if limit is not None:
+            free = proposed[one] < limit
+            more[one[~free]] = more[two[~free]] = True
+            one, two = one[free], two[free]
         proposed[one] += 1
         left.append(one)
         right.append(two)
@@ -244,26 +313,35 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     names = nodes.select("node", "doc_id", "text_hash")
 
-    found = tested = None
-    active = nodes.select("node", F.col("node").alias("component"), "labels", "sketch")
-    while True:
-        proposed = stored(proposals(active), "proposals")
+    found = tested = parts = waiting = None
+    steps = [proposals, *[partial(rest, limit=n) for n in REST]]
+    step = 0
+    while step < len(steps):
+        active = nodes.select("node", "labels", "sketch")
+        active = active if waiting is None else active.join(waiting, "node", "left_semi")
+        active = (active.withColumn("component", F.col("node")) if parts is None else
+                  active.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        proposed = stored(steps[step](active), "proposals")
         pairs = proposed.where(F.col("b").isNotNull()).select("a", "b")
         new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
-        if new.isEmpty():
-            break
-        links = stored(confirmed(new, names, docs, doc_id, text), "links")
-        tested = new if tested is None else tested.unionAll(new)
-        if found is None or not links.isEmpty():
+        linked = False
+        if not new.isEmpty():
+            links = stored(confirmed(new, names, docs, doc_id, text), "links")
+            tested = new if tested is None else tested.unionAll(new)
+            linked = not links.isEmpty()
+        if linked:
             found = links if found is None else found.unionAll(links)
             parts = stored(components(found), "parts")
         waiting = (proposed.where("more_a").select(F.col("a").alias("node"))
                    .unionAll(proposed.where("more_b").select("b")))
-        if waiting.isEmpty():
+        if step == 0:
+            if not linked or waiting.isEmpty():
+                step, waiting = 1, None  # every node has a say in the regions
+        elif waiting.isEmpty():
             break
-        active = (nodes.select("node", "labels", "sketch").join(waiting, "node", "left_semi").join(parts, "node", "left")
-                  .select("node", F.coalesce("component", "node").alias("component"), "labels", "sketch"))
+        else:
+            step += 1
 
     named = nodes.select("print", "node", "least")
     if found is None:

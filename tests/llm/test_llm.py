@@ -91,6 +91,25 @@ def test_near_copies_in_one_large_group(spark):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_near_pairs_among_many_on_one_template(spark):
+    base = [f"w{i}" for i in range(104)]  # any two texts are alike by 100 / 142, the planted pairs by 105 / 137
+    tails = [[f"x{n}n{i}" for i in range(21)] for n in range(600)]
+    for n in range(0, 600, 20):
+        tails[n + 11][:5] = tails[n][:5]
+    rows = [(n, " ".join(base + tail)) for n, tail in enumerate(tails)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {n: n - 11 if n % 20 == 11 else n for n in range(600)}
+
+
+def test_crowded_regions_meet_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(n, n, b"\0" * 256, rng.bytes(32)) for n in range(40)]
+    rows[33] = (33, *rows[33][1:3], rows[2][3])
+    nodes = spark.createDataFrame(rows, "node long, component long, labels binary, sketch binary")
+    monkeypatch.setattr(neardup, "TILE", 8)
+    assert [(r.a, r.b) for r in neardup.rest(nodes, None).collect()] == [(2, 33)]
+
+
 @pytest.mark.parametrize("few", [0, graphs.FEW_LINKS])
 def test_components_both_ways(spark, few):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (103, 101)]
