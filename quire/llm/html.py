@@ -3,13 +3,15 @@
 Markup is stripped to lines, one a block element. A line weighs as much as the text it holds, or nothing if it belongs
 to a menu, header, footer, sidebar, notice, advert, form or comments. Weights are summed over windows of consecutive
 lines; text starts where the sums surge from nothing and ends where they dive back to it. In a page that marks its
-article every such stretch inside the article counts, in any other page the heaviest one.
+article every line inside it counts that does not stand aside; the sums decide nothing there. In any other page every
+stretch counts whose sums reach SURGE, or every stretch if none does.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 
@@ -17,6 +19,7 @@ from quire.llm.common import with_text_results
 
 WINDOW = 3     # lines summed up
 SURGE = 80     # characters in a window that make a stretch text, in pages that mark no article
+MOST = 0.8     # share of a page's text from which a container is its layout, whatever its class says
 LINKED = 0.5   # share of a line's characters inside links from which it is a menu, in such pages
 
 _TOKEN = re.compile(
@@ -40,20 +43,24 @@ ASIDE_NAMES = frozenset(
     "notice notices pager pagination popup promo promotion related replies reply respond search share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget".split())
 ARTICLE = frozenset(["article", "main"])
+NEVER_NAMED = ARTICLE | {"body", "html"}  # no class word sets these aside
+# Words that begin a class which tells of a state (`has-sidebar`, `no-share`), not of what the element is.
+STATES = frozenset("has no not with without".split())
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """Text, characters inside links, whether it stands aside, whether inside an article; one a non-empty block."""
-    found: list[tuple[str, int, bool, bool]] = []
+    found: list[tuple[str, int, bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
     linked = 0
-    open_: list[tuple[str, bool, bool]] = []  # tag, stands aside, article
+    open_: list[tuple[str, bool, bool, bool]] = []  # tag, stands aside, article, stands aside by name
+    named: list[int] = []  # the open containers that stand aside by name
     asides = articles = links = 0
 
     def close() -> None:
         nonlocal linked
         if text := " ".join(entities.unescape("".join(parts)).split()):
-            found.append((text, linked, asides > 0, articles > 0))
+            found.append((text, linked, asides > 0, articles > 0, tuple(named)))
         parts.clear()
         linked = 0
 
@@ -73,32 +80,46 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCKS:
             close()
         if end:
-            if any(name == tag for name, _, _ in reversed(open_)):
+            if any(name == tag for name, *_ in reversed(open_)):
                 while True:
-                    name, aside, article = open_.pop()
-                    if aside or article or name == "a":
-                        if name != "a" or aside:
+                    name, aside, article, by_name = open_.pop()
+                    if aside or article or by_name or name == "a":
+                        if name != "a" or aside or by_name:
                             close()
+                        if by_name:
+                            named.pop()
                         asides, articles, links = asides - aside, articles - article, links - (name == "a")
                     if name == tag:
                         break
         elif tag not in VOID and not token[4].endswith("/"):
-            aside = tag in ASIDE or _stands_aside(token[4])
+            aside = tag in ASIDE
+            by_name = not aside and tag not in NEVER_NAMED and _stands_aside(token[4])
             article = tag in ARTICLE or 'role="main"' in token[4]
-            if aside:
+            if aside or by_name:
                 close()
-            open_.append((tag, aside, article))
+            if by_name:
+                named.append(token.start())
+            open_.append((tag, aside, article, by_name))
             asides, articles, links = asides + aside, articles + article, links + (tag == "a")
     parts.append(page[at:])
     close()
-    return found
+    held: Counter[int] = Counter()
+    for text, _, aside, _, inside in found:
+        if not aside:
+            held.update({at: len(text) for at in (-1, *inside)})
+    layout = {at for at, size in held.items() if size > MOST * held[-1]}
+    return [(text, linked, aside or not layout.issuperset(inside), article) for text, linked, aside, article, inside in found]
 
 
 def _stands_aside(attributes: str) -> bool:
     if "=" not in attributes:
         return False
-    return any(name.lower() in ASIDE_NAMES for m in _ATTRIBUTE.finditer(attributes)
-               for name in _NAMES.findall(m[2] or m[3] or m[4] or ""))
+    for m in _ATTRIBUTE.finditer(attributes):
+        for word in (m[2] or m[3] or m[4] or "").lower().split():
+            parts = _NAMES.findall(word)
+            if parts and parts[0] not in STATES and not ASIDE_NAMES.isdisjoint(parts):
+                return True
+    return False
 
 
 def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -124,8 +145,7 @@ def main_text(page: str | None) -> str:
     else:
         weights = [0 if aside or linked > LINKED * len(text) else len(text) for text, linked, aside, _ in lines]
         found = stretches(weights)
-        surging = [s for s in found if s[2] >= SURGE] or found
-        kept = [max(surging, key=lambda s: sum(weights[s[0]:s[1]]))] if surging else []
+        kept = [s for s in found if s[2] >= SURGE] or found
     return "\n".join(lines[i][0] for begin, end, _ in kept for i in range(begin, end) if weights[i])
 
 

@@ -212,6 +212,17 @@ def test_pages(spark):
     assert rows and all(r.n_chars == len(r.text) > 0 for r in rows)
 
 
+def test_pages_keep_every_stretch_and_layout_containers():
+    body = "Long text of the article. " * 8
+    links = "<ul><li><a>Other</a><li><a>Pages</a><li><a>Here</a><li><a>Too</a></ul>"
+    long = body.strip()
+    assert html.main_text(f"<p>{body}</p>{links}<p>{body} end</p>") == f"{long}\n{long} end"
+    for page in ("<body class='single has-sidebar'><p>{}</p>", "<body><article class='post comments-open'><p>{}</p></article>",
+                 "<main class='no-share'><p>{}</p></main>", "<div class='layout sidebar-right'><p>{}</p></div><p>c</p>",
+                 "<div class='no-share'><p>{}</p></div><div class=comments>" + "<p>me too, and at length</p>" * 9 + "</div>"):
+        assert html.main_text(page.format(body)).split("\n")[0] == long and "me too" not in html.main_text(page.format(body))
+
+
 def test_shards(spark, docs, texts):
     hot = spark.range(300).select((F.col("id") + 10_000).alias("doc_id"), F.lit("the same text").alias("text"))
     rows = docs.select("doc_id", "text").unionByName(hot)
