@@ -34,7 +34,11 @@ SENSITIVE = {
     "auth": 0.6, "authorization": 0.7, "signature": 0.5, "salt": 0.5, "key": 0.4, "cookie": 0.5, "session": 0.4,
 }
 LEAST_LENGTH = 6
-LEAST_SCORE = 0.6
+LEAST_SCORE = 0.6  # of literals with a digit
+# Of a literal without white space that shows two signs of randomness: oddity that is enough under a name of weight 1,
+# and how much more a name of weight 0 would need. A name of weight 0.4 needs 0.75.
+LEAST_ODDITY, MORE_ODDITY = 0.33, 0.7
+LONG, EVEN = 16, 3.5  # characters, and bits of entropy a character
 
 _EQUALS = re.compile(r"[:=]")
 _NAME_END = re.compile(r"[\w.$-]", re.ASCII)
@@ -62,9 +66,30 @@ def sensitivity(name: str) -> float:
 def oddity(literal: str) -> float:
     """0 to 1: how little a literal looks like a word: mixed character classes and evenly used characters."""
     classes = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    counts = Counter(literal)
-    entropy = -sum(c / len(literal) * math.log2(c / len(literal)) for c in counts.values())
-    return min(1.0, 0.25 * (classes - 1) + entropy / 8)
+    return min(1.0, 0.25 * (classes - 1) + entropy(literal) / 8)
+
+
+def entropy(literal: str) -> float:
+    """Bits a character."""
+    return -sum(c / len(literal) * math.log2(c / len(literal)) for c in Counter(literal).values())
+
+
+def signs(literal: str) -> int:
+    """Signs of randomness: a digit, both cases, a symbol that words and paths do not have, an even mix of many characters."""
+    return (bool(re.search("[0-9]", literal)) + bool(re.search("[a-z]", literal) and re.search("[A-Z]", literal))
+            + bool(re.search(r"[^\w\s./:-]", literal)) + (len(literal) >= LONG and entropy(literal) >= EVEN))
+
+
+def looks_secret(literal: str, weight: float, plain_name: bool) -> bool:
+    """Whether a literal is random enough for the name's weight. `plain_name`: it may be a name that is defined elsewhere."""
+    if len(literal) < LEAST_LENGTH or weight <= 0:
+        return False
+    odd, digit = oddity(literal), bool(re.search("[0-9]", literal))
+    if digit and weight * (0.4 + 0.6 * odd) >= LEAST_SCORE:
+        return True
+    if plain_name and not digit or re.search(r"\s", literal):
+        return False
+    return odd >= LEAST_ODDITY + MORE_ODDITY * (1 - weight) and signs(literal) >= 2
 
 
 def pairs(text: str) -> list[tuple[str, str | None, str, int, int]]:
@@ -126,9 +151,8 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
     for name, source, literal, start, end in found:
         if source is not None and source in reach:
             continue  # a name that is defined here: its own literal counts
-        if len(literal) >= LEAST_LENGTH and (weight := reach[name]) > 0:
-            if weight * (0.4 + 0.6 * oddity(literal)) >= LEAST_SCORE and re.search("[0-9]", literal):
-                out.append(("literal", start, end))
+        if looks_secret(literal, reach[name], source is not None):
+            out.append(("literal", start, end))
     return out
 
 

@@ -165,6 +165,14 @@ def test_secrets(spark, docs, texts):
     assert secrets.literal_spans("Secret: the meeting is at noon. a == b, http://x.y") == []
 
 
+@pytest.mark.parametrize("name", sorted(secrets.SENSITIVE))
+def test_every_sensitive_name_can_give_a_literal(name):
+    for literal in ("Zq8!vR2xLm4#Tw", "k3j4h5g6f7d8s9a0q1w2", "Correct-Horse!Battery"):
+        assert secrets.literal_spans(f'{name} = "{literal}"') == [("literal", len(name) + 4, len(name) + 4 + len(literal))]
+    for word in ("user-name", "morning", "Left.Right", "SomeValue", "docs/read-me.txt", "The end of it, so far!"):
+        assert secrets.literal_spans(f'{name}: "{word}"') == []
+
+
 def test_packing(spark, docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
