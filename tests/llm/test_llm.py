@@ -287,6 +287,20 @@ def test_top_products(spark):
     assert topk.top_products(given.limit(0), lambda v: v % 50 == 0).collect() == []
 
 
+def test_top_products_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.choice([0, 5, 7, 12, 20, 307])).tolist()) for i in range(160)]
+    rows += [(i, rng.normal(size=4).tolist()) for i in range(160, 300)] + [(300, [16385.0, 0.0, 0.0, 0.0])]
+    whole = {i: [int(np.floor(256 * x)) if abs(x) < 1e300 else 256 * int(x) for x in v] for i, v in rows}
+    want = set()
+    for q in range(0, 301, 50):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
+        want |= {(q, n + 1, i, max(-1 << 63, min((1 << 63) - 1, -s))) for n, (s, i) in enumerate(scores)}
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_products(given, lambda v: v % 50 == 0).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+
+
 def test_toxicity(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
