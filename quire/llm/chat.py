@@ -3,6 +3,9 @@
 A template is any function from turns to a string. Turns are rendered as growing prefixes; where one output starts with
 the output before it, what was added is the new turn's span; where it does not, the template has rewritten history. So
 spans, and with them the loss mask, come from what the template does, not from knowledge of its marks.
+
+A template that is declared append-only (attribute `append_only`) is rendered in windows, in linear work; if what they
+give is not what it gives for the whole conversation, that conversation is rendered in whole prefixes like any other.
 """
 
 from __future__ import annotations
@@ -17,12 +20,12 @@ from pyspark.sql import functions as F
 
 from quire.session import ship
 
-# Turns rendered together. A longer conversation goes on in a new window that starts with the last turn of the one before.
+# Turns rendered together by an append-only template. A longer conversation goes on in a new window that starts with the last turn of the one before.
 WINDOW = 16
 
 Turn = tuple[str, str]  # role, text
-# Renders turns that come after `before` others.
-Template = Callable[[list[Turn], int], str]
+# Renders turns; an append-only one takes a second argument, and renders turns that come after so many others.
+Template = Callable[..., str]
 
 _ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b", "]": "\\e"}
 _PLAIN = {mark[1]: char for char, mark in _ESCAPES.items()}
@@ -56,6 +59,9 @@ def instruct(turns: list[Turn], before: int = 0) -> str:
     return "".join(out)
 
 
+instruct.append_only = True
+
+
 def read_turn(piece: str) -> Turn:
     """Role and text of one turn as `instruct` has written it."""
     m = _TURN.search(piece)
@@ -68,21 +74,24 @@ def read_turn(piece: str) -> Turn:
 
 
 class History:
-    """Feeds turns one by one to a template; gives each turn's piece of the output and whether history changed."""
+    """Feeds turns one by one to a template; gives each turn's piece of the output and whether history changed.
+
+    Without a window, whole prefixes are rendered, and the template gets one argument.
+    """
 
-    def __init__(self, template: Template, window: int = WINDOW):
+    def __init__(self, template: Template, window: int | None = None):
         self._template, self._window = template, window
         self._turns: list[Turn] = []
         self._before, self._output = 0, ""
         self.rewritten = 0  # turns that changed what was there before them
 
     def add(self, turn: Turn) -> str:
-        if len(self._turns) == self._window:
+        if self._window is not None and len(self._turns) == self._window:
             self._before += self._window - 1
             self._turns = self._turns[-1:]
             self._output = self._template(self._turns, self._before)
         self._turns.append(turn)
-        output = self._template(self._turns, self._before)
+        output = self._template(self._turns) if self._window is None else self._template(self._turns, self._before)
         if output.startswith(self._output):
             piece = output[len(self._output):]
         else:
@@ -94,6 +103,23 @@ class History:
         return piece
 
 
+def rendered(turns: list[Turn], template: Template) -> list[tuple[str, bool]]:
+    """Each turn's piece, and whether it changed what was there before it, of a whole conversation."""
+    def fed(window: int | None) -> list[tuple[str, bool]]:
+        history, out = History(template, window), []
+        for turn in turns:
+            known = history.rewritten
+            piece = history.add(turn)
+            out.append((piece, history.rewritten > known))
+        return out
+
+    if getattr(template, "append_only", False):
+        found = fed(WINDOW)
+        if not any(changed for _, changed in found) and "".join(p for p, _ in found) == template(turns):
+            return found
+    return fed(None)
+
+
 def format_chats(turns: DataFrame, template: Template = instruct, conv: str = "conv_id", turn: str = "turn",
                  role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, piece, role, text, start, length, masked, rewritten: one row a turn, in the order of `turn`.
@@ -101,7 +127,7 @@ def format_chats(turns: DataFrame, template: Template = instruct, conv: str = "c
     `piece` is what the turn added to the conversation's output and start its place there; concatenated in order, pieces
     are the output. `masked` marks assistant turns, which bear loss. Null roles and texts are empty; turns with equal
     numbers are ordered by role and text, null numbers come first; a null conv_id is a conversation of its own.
-    Conversations are sorted, not gathered: a task holds one window of turns, however long a conversation is.
+    A task holds one conversation at a time, as the template must see all of it.
     """
     ship(turns.sparkSession)
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
@@ -111,19 +137,33 @@ def format_chats(turns: DataFrame, template: Template = instruct, conv: str = "c
     names = ["conv_id", "turn", "role", "text", "piece", "start", "length", "masked", "rewritten"]
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        history, now, at = None, (None,), 0
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+
+        def result(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            turns = [t for p in parts for t in zip(p.column("role").to_pylist(), p.column("text").to_pylist())]
+            made, start, begin = rendered(turns, template), 0, 0
+            for part in parts:
+                out = []
+                for (said_by, _), (piece, changed) in zip(turns[begin:begin + part.num_rows], made[begin:begin + part.num_rows]):
+                    out.append((piece, start, len(piece), said_by == "assistant", changed))
+                    start += len(piece)
+                begin += part.num_rows
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c, k) for c, k in zip(zip(*out), kinds)]], names=names)
+
+        held, now = [], None
         for batch in batches:
-            out: list[tuple] = []
-            for conversation, said_by, said in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "role", "text")]):
-                if (conversation,) != now or history is None:
-                    history, now, at = History(template), (conversation,), 0
-                known = history.rewritten
-                piece = history.add((said_by, said))
-                out.append((piece, at, len(piece), said_by == "assistant", history.rewritten > known))
-                at += len(piece)
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
-            columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+            ids, at = batch.column("conv_id").to_pylist(), 0
+            for end in range(1, len(ids) + 1):
+                if end < len(ids) and ids[end] == ids[at]:
+                    continue
+                if held and (ids[at],) != now:
+                    yield from result(held)
+                    held = []
+                now = (ids[at],)
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from result(held)
 
     return ordered.mapInArrow(render, "conv_id long, turn long, role string, text string, piece string, start long, "
                                       "length long, masked boolean, rewritten boolean")

@@ -270,6 +270,19 @@ def test_rewritten_history_is_seen(spark):
     assert [r.rewritten for r in chat.format_chats(given, forgetful).collect()] == [False, True, True]
 
 
+def test_late_rewriting_is_seen_in_long_conversations(spark):
+    def late(turns):  # a real one-argument template: from 20 turns on the first one is dropped
+        return "".join(f"<{r}>{t}" for r, t in (turns[1:] if len(turns) >= 20 else turns))
+
+    def claimed(turns, before=0):  # declared append-only, and not
+        return late([("user", "x")] * before + turns)[6 * before if len(turns) + before < 20 else 0:]
+
+    claimed.append_only = True
+    given = spark.createDataFrame([(1, i, "user", f"t{i:02}") for i in range(24)], "conv_id long, turn long, role string, text string")
+    for template in (late, claimed):
+        assert [r.rewritten for r in chat.format_chats(given, template).collect()] == [i == 19 for i in range(24)]
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(260)]
