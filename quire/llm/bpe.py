@@ -159,6 +159,7 @@ class Encoder:
         self._longest = ahocorasick.Automaton()
         for i in np.flatnonzero(self.merges.whole()).tolist():
             self._longest.add_word(self.merges.strings[i], i)
+        self._longest.add_word(END, self.merges.size)  # left over where only a token without an end fits the rest
         self._longest.make_automaton()
         self._most, self._most_chars = most_words, most_chars
         self._forget()
@@ -188,16 +189,21 @@ class Encoder:
         return found
 
     def propose(self, words: list[str]) -> np.ndarray:
-        """The words' longest tokens from left to right, one word after another."""
+        """The words' longest tokens from left to right, one word after another.
+
+        A word whose last token does not hold its end gets the number beyond all tokens for the end alone.
+        """
         line = END.join([w.encode().decode("latin-1") for w in words]) + END
         return np.array([i for _, i in self._longest.iter_long(line)], np.int64)
 
     def _learn(self, words: list[str]) -> None:
         ids = self.propose(words)
-        ends = self.merges.ends[ids]
+        bare = ids == self.merges.size
+        ends = bare | self.merges.ends[np.where(bare, 0, ids)]
         word = np.cumsum(ends) - ends
-        inner = np.flatnonzero(~ends)
-        failing = np.unique(word[inner[~self.merges.compatible(ids[inner], ids[inner + 1])]])
+        inner = np.flatnonzero(~ends[:-1] & ~bare[1:])
+        unfit = inner[~self.merges.compatible(ids[inner], ids[inner + 1])]
+        failing = np.unique(np.concatenate([word[bare], word[unfit]]))
         sizes = np.bincount(word, minlength=len(words))
         if len(failing):
             exact = [self.merges.exact(words[i].encode().decode("latin-1") + END) for i in failing.tolist()]
