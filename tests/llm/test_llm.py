@@ -327,6 +327,23 @@ def test_toxicity(spark):
     assert {r.score for r in none} == {0.0}
 
 
+def test_toxicity_in_every_language(spark):
+    """Held-out labels, of which a few are noise."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_documents(docs.select("doc_id", "text"), labels).where("held_out").join(labels, "doc_id").join(
+        docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("de", "en", "es", "fr"):
+        caught = [r.predicted for r in got if r.lang == lang and r.toxic == 1]
+        assert len(caught) > 4 and np.mean(caught) > 0.85
+        assert np.mean([r.predicted for r in got if r.lang == lang and r.toxic == 0]) < 0.02
+
+
+def test_lexicon_leaves_the_asking_text_out(spark):
+    rows = [("grok zorb", 1.0)] * 4 + [("grok", 1.0), ("plain mist", 0.0)] + [("plain", 0.0)] * 200
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label double"))
+    assert lexicon.words == {None: {"grok", "zorb"}, 1: {"grok"}, 0: {"grok", "zorb"}}
+
+
 def test_pipeline_stages_keep_columns(spark, docs):
     import corpus_pipeline
 
