@@ -46,8 +46,13 @@ _BOUNDS = """
 """
 
 
-def _bounds(v):
-    return sections.section_boundaries(v.manual_pages, sections.stored_map(v.manual_pages))
+def _bounds(v, **options):
+    return sections.section_boundaries(v.manual_pages, sections.stored_map(v.manual_pages), **options)
+
+
+def _started(bounds):
+    return bounds.select("document_id", "page_number", F.explode("bounds").alias("b")).select(
+        "document_id", "page_number", "b.start_line", "b.end_line", F.col("b.section.number").alias("number"))
 
 
 @check("section_boundaries", "T10 E8", f"""
@@ -55,8 +60,7 @@ def _bounds(v):
     SELECT document_id, page_number, start_line, CAST(end_line AS INT) AS end_line, number FROM bounds
 """, ("section_map", "manual_lines"))
 def section_boundaries(v):
-    return _bounds(v).select("document_id", "page_number", F.explode("bounds").alias("b")).select(
-        "document_id", "page_number", "b.start_line", "b.end_line", F.col("b.section.number").alias("number"))
+    return _started(_bounds(v))
 
 
 @check("large_section_maps", "T10 T13", f"""
@@ -64,13 +68,8 @@ def section_boundaries(v):
     SELECT document_id, page_number, start_line, CAST(end_line AS INT) AS end_line, number FROM bounds
 """, ("section_map", "manual_lines"))
 def large_section_maps(v):
-    """The same boundaries through the join on substrings that documents with large maps take."""
-    kept = sections.SMALL_MAP
-    sections.SMALL_MAP = 0
-    try:
-        return section_boundaries(v)
-    finally:
-        sections.SMALL_MAP = kept
+    """The same boundaries with maps in slices of three sections and blocks of one page, as very large documents take them."""
+    return _started(_bounds(v, slice_size=3, block_pages=1))
 
 
 @check("chunk_by_sections", "T11", f"""
@@ -131,9 +130,9 @@ def split_sections(v):
     FROM manual_pages p JOIN section_map m ON m.document_id = p.document_id
         AND (contains(p.text, m.number) OR contains(lower(p.text), substr(lower(m.title), 1, 20)))
 """, ("section_map", "manual_pages"))
-def chunk_hierarchy(v):
+def chunk_hierarchy(v, **options):
     whole = v.manual_pages.withColumn("page_pos", F.lit(0)).withColumnRenamed("text", "chunk_text")
-    found = sections.chunk_sections(whole, sections.stored_map(v.manual_pages))
+    found = sections.chunk_sections(whole, sections.stored_map(v.manual_pages), **options)
     return found.select("document_id", "page_number", "number", "level")
 
 
@@ -143,12 +142,7 @@ def chunk_hierarchy(v):
         AND (contains(p.text, m.number) OR contains(lower(p.text), substr(lower(m.title), 1, 20)))
 """, ("section_map", "manual_pages"))
 def chunk_hierarchy_large_maps(v):
-    kept = sections.SMALL_MAP
-    sections.SMALL_MAP = 0
-    try:
-        return chunk_hierarchy(v)
-    finally:
-        sections.SMALL_MAP = kept
+    return chunk_hierarchy(v, slice_size=3, block_pages=1)
 
 
 def _over_all_lines(sql: str) -> str:
@@ -178,7 +172,10 @@ def _over_all_lines(sql: str) -> str:
         SELECT -1 - document_id, page_number, 0, NULL, text FROM doc_pages
         WHERE (-1 - document_id, page_number) NOT IN (SELECT (document_id, page_number) FROM bounds))
     SELECT document_id || '-chunk-' || (row_number() OVER (PARTITION BY document_id ORDER BY page_number, start_line) - 1) AS chunk_id,
-           page_number, md5(text) AS chunk, section_title
+           page_number, md5(text) AS chunk, section_title,
+           coalesce((SELECT string_agg(m.number, '|' ORDER BY m.first_at, m.number) FROM every_map m
+                     WHERE m.document_id = made.document_id
+                       AND (contains(made.text, m.number) OR contains(lower(made.text), substr(lower(m.title), 1, 20)))), '') AS hierarchy
     FROM made
 """, ("manual_lines", "doc_pages"))
 def hierarchical_chunks(v):
@@ -186,7 +183,8 @@ def hierarchical_chunks(v):
     plain = v.doc_pages.select((-1 - F.col("document_id")).alias("document_id"), "page_number", "text")
     both = v.manual_pages.select("document_id", "page_number", "text").unionByName(plain)
     return sections.hierarchical_chunks(both, size=50000).select(
-        "chunk_id", "page_number", F.md5("chunk_text").alias("chunk"), "section_title")
+        "chunk_id", "page_number", F.md5("chunk_text").alias("chunk"), "section_title",
+        F.array_join("hierarchy.number", "|").alias("hierarchy"))
 
 
 @check("hierarchy_summary", "D29", f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -11,13 +11,10 @@ from quire.operators.chunking import (
     OVERLAP, SIZE, _check, _page_cutter, cut_parts, header_title, unpack, with_chunk_ids,
 )
 from quire.operators.hooks import estimate
+from quire.operators.matching import TITLE_PREFIX, with_sections_found
 from quire.operators.scans import number_pieces
 from quire.session import checkpoint
 
-# A document whose map has at most this many sections carries it along as one array;
-# larger maps are matched through an equi-join on substrings.
-SMALL_MAP = 512
-_ENTRY = ("first_page", "first_line", "number", "title", "level", "type", "parent")
 
 
 def detect_headers(pages: DataFrame) -> DataFrame:
@@ -45,87 +42,21 @@ def section_map(headers: DataFrame) -> DataFrame:
     )
 
 
-def _split_maps(sections: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Maps that travel with a page as one array, and the sections of larger maps (None without any).
-
-    Looks at the sizes first; hand in a stored or checkpointed section map.
-    """
-    sizes = sections.groupBy("document_id").agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > SMALL_MAP).select("document_id")
-    rest = None
-    small = sections
-    if not large.isEmpty():
-        rest = sections.join(large, "document_id", "left_semi")
-        small = sections.join(large, "document_id", "left_anti")
-    packed = F.array_sort(F.collect_list(F.struct(*_ENTRY))).alias("_map")
-    return small.groupBy("document_id").agg(packed), rest
-
-
-def contains_join(texts: DataFrame, text: str, keys: DataFrame, key: str, on: str) -> DataFrame:
-    """Pairs of a text row and a key row with equal `on` whose text contains the key.
-
-    Every substring with a length that occurs among the keys of `on` becomes a join key,
-    so the work follows the text length and the matches, not texts times keys.
-    """
-    lengths = keys.groupBy(on).agg(F.collect_set(F.length(key)).alias("_lengths"))
-    grams = F.array_distinct(F.flatten(F.transform(
-        F.filter("_lengths", lambda n: (n > 0) & (n <= F.length(text))),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.length(text) - n + 1),
-            lambda i: F.substring(F.col(text), i, n),
-        ),
-    )))
-    exploded = texts.join(lengths, on).withColumn("_gram", F.explode(grams)).drop("_lengths")
-    return exploded.join(keys.withColumn("_gram", F.col(key)), [on, "_gram"]).drop("_gram")
-
-
-def with_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
+def with_boundaries(pages: DataFrame, sections: DataFrame, **options) -> DataFrame:
     """Every page with `bounds`: array<struct<start_line, end_line, section>>, empty without sections.
 
     A line opens the first section (in map order) whose number and first 20 title
     characters it contains; a section ends before the next one, the last with the page.
     """
-    small, large = _split_maps(sections)
     lines = F.transform(F.split("text", "\n"), tx.strip)
+    found = with_sections_found(pages, sections, lines, "_hits", both=True, **options)
+    starts = F.transform("_hits", lambda x: F.struct(x["place"].alias("start_line"), x["section"].alias("section")))
+    return with_extents(found.withColumn("_found", starts).drop("_hits"))
 
-    def first_match(line: Column) -> Column:
-        hit = F.filter(
-            "_map", lambda s: line.contains(s["number"]) & line.contains(F.substring(s["title"], 1, 20))
-        )
-        return F.try_element_at(hit, F.lit(1))
-
-    found = F.filter(
-        F.transform(lines, lambda line, i: F.struct(i.alias("start_line"), first_match(line).alias("section"))),
-        lambda x: x["section"].isNotNull(),
-    )
-    marked = pages.join(small, "document_id", "left").withColumn("_found", found).drop("_map")
-    if large is not None:
-        marked = (
-            marked.join(_large_matches(pages, large, lines), ["document_id", "page_number"], "left")
-            .withColumn("_found", F.when(F.size("_found") > 0, F.col("_found")).otherwise(F.col("_large"))).drop("_large")
-        )
-    return with_extents(marked)
 
-
-def _large_matches(pages: DataFrame, large: DataFrame, lines: Column) -> DataFrame:
-    page_lines = (
-        pages.join(large.select("document_id").distinct(), "document_id", "left_semi")
-        .select("document_id", "page_number", F.posexplode(lines).alias("start_line", "_line"))
-    )
-    keyed = large.withColumn("_t20", F.substring("title", 1, 20))
-    return (
-        contains_join(page_lines, "_line", keyed, "_t20", "document_id")
-        .filter(F.col("_line").contains(F.col("number")))
-        .groupBy("document_id", "page_number", "start_line")
-        .agg(F.min(F.struct(*_ENTRY)).alias("section"))
-        .groupBy("document_id", "page_number")
-        .agg(F.array_sort(F.collect_list(F.struct("start_line", "section"))).alias("_large"))
-    )
-
-
-def section_boundaries(pages: DataFrame, sections: DataFrame) -> DataFrame:
+def section_boundaries(pages: DataFrame, sections: DataFrame, **options) -> DataFrame:
     """Only the pages that have sections."""
-    return with_boundaries(pages, sections).filter(F.size("bounds") > 0)
+    return with_boundaries(pages, sections, **options).filter(F.size("bounds") > 0)
 
 
 def with_extents(pages: DataFrame) -> DataFrame:
@@ -184,28 +115,19 @@ def chunk_by_sections(bounded: DataFrame, **options) -> DataFrame:
     return _named(unpack(section_pieces(bounded, **options)))
 
 
-def chunk_sections(chunks: DataFrame, sections: DataFrame) -> DataFrame:
-    """One row per chunk and section whose number, or first 20 title characters (any case), it contains."""
-    small, large = _split_maps(sections)
-    text, lower = F.col("chunk_text"), F.lower("chunk_text")
+def with_hierarchy(chunks: DataFrame, sections: DataFrame, **options) -> DataFrame:
+    """Chunks with `hierarchy`: the sections, in map order, whose number or first 20 title characters (any case) they contain."""
+    found = with_sections_found(
+        chunks, sections, F.array("chunk_text"), "_hits", both=False, folded=F.array(F.lower("chunk_text")),
+        title_key=F.substring(F.lower("title"), 1, TITLE_PREFIX), **options)
+    return found.withColumn("hierarchy", F.transform("_hits", lambda x: x["section"])).drop("_hits")
+
+
+def chunk_sections(chunks: DataFrame, sections: DataFrame, **options) -> DataFrame:
+    """One row per chunk and section of its hierarchy."""
     keys = ["document_id", "page_number", "page_pos"]
-    columns = [*keys, *_ENTRY]
-    hit = tx.let(lower, lambda low: F.filter(
-        "_map",
-        lambda s: text.contains(s["number"]) | low.contains(F.substring(F.lower(s["title"]), 1, 20)),
-    ))
-    in_row = (
-        chunks.join(small, "document_id")
-        .select(*keys, F.explode(hit).alias("_s")).select(*keys, "_s.*").select(*columns)
-    )
-    if large is None:
-        return in_row
-    heavy = chunks.join(large.select("document_id").distinct(), "document_id", "left_semi")
-    by_number = contains_join(heavy.select(*keys, "chunk_text"), "chunk_text", large, "number", "document_id")
-    titled = large.withColumn("_t20", F.substring(F.lower("title"), 1, 20))
-    by_title = contains_join(heavy.select(*keys, lower.alias("_text")), "_text", titled, "_t20", "document_id")
-    joined = by_number.select(*columns).union(by_title.select(*columns)).dropDuplicates([*keys, "number"])
-    return in_row.unionByName(joined)
+    found = with_hierarchy(chunks.select(*keys, "chunk_text"), sections, **options)
+    return found.select(*keys, F.explode("hierarchy").alias("_s")).select(*keys, "_s.*")
 
 
 def stored_map(pages: DataFrame) -> DataFrame:
@@ -214,12 +136,12 @@ def stored_map(pages: DataFrame) -> DataFrame:
 
 
 def hierarchical_chunks(pages: DataFrame, sections: DataFrame | None = None, **options) -> DataFrame:
-    """Section chunks where a page has sections, plain chunks elsewhere, with procedure flags and references."""
+    """Section chunks where a page has sections, plain chunks elsewhere, with procedure flags, references and hierarchy."""
     pages = pages.select("document_id", "page_number", "text")
     sections = stored_map(pages) if sections is None else sections
     made = number_pieces(
         pages, lambda p: section_pieces(with_boundaries(p, sections), **options), "_pieces")
-    return annotate(with_chunk_ids(_named(unpack(made))))
+    return annotate(with_hierarchy(with_chunk_ids(_named(unpack(made))), sections))
 
 
 def annotate(chunks: DataFrame) -> DataFrame:
