@@ -86,5 +86,13 @@ def test_a_large_document_is_split(spark):
                                         F.format_string("%d.1 Part", F.col("id") + 10_000).alias("text"))
     mapped = sections.section_map(sections.detect_headers(pages))
     found = with_sections_found(pages, mapped, F.split("text", "\n"), "hits", True, slice_size=3000, block_pages=500)
-    per_task = found.where("hits[0].section.number = page_number + 10000 || '.1'").groupBy(F.spark_partition_id()).count().collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    try:
+        per_task = _per_task(found)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert sum(r["count"] for r in per_task) == 8000 and len(per_task) > 3 and max(r["count"] for r in per_task) < 5000
+
+
+def _per_task(found):
+    return found.where("hits[0].section.number = page_number + 10000 || '.1'").groupBy(F.spark_partition_id()).count().collect()
