@@ -1,6 +1,7 @@
 """Search over `embeddings`, context packing, prompts, answers and citations."""
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -8,9 +9,10 @@ from checks.registry import check
 from quire.functions import answers as an
 from quire.functions import vectors as vx
 from quire.operators import context as cx
-from quire.operators import integrity, search
+from quire.operators import integrity, lists, search
 from quire.operators.analytics import retrieval_evaluation
 from quire.plans import answering
+from quire.session import ensure_checkpoint_dir
 
 T = 0.1
 # A fixed query vector, made by rule in both languages.
@@ -169,6 +171,37 @@ def inverted_lists_all_probes(v):
     return index.search(index.assign(v.chunk_vectors), v.query_vectors, 5, T, skip_self=True)
 
 
+def _stored_lists(v, probes):
+    """Half of the vectors stored, the others appended (one batch twice), then all assigned anew."""
+    path = f"{ensure_checkpoint_dir(v.spark)}/lists-{uuid.uuid4().hex}"
+    even, odd = (v.chunk_vectors.filter(F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == n) for n in (0, 1))
+    stored = lists.StoredLists.create(even, path, lists=10, probes=probes)
+    stored.append(odd, 1)
+    stored.append(odd, 1)
+    return stored.reassign()
+
+
+@check("stored_lists", "C7", f"""
+    SELECT query_id, chunk_id, similarity, CAST(rank AS INT) AS rank FROM pair_hits WHERE similarity >= {T} AND rank <= 5
+""", ("pair_hits",))
+def stored_lists(v):
+    """All lists of a written table probed: rows appended, written again and moved are each there once."""
+    return _stored_lists(v, 10).search(v.query_vectors, 5, T, skip_self=True)
+
+
+@check("stored_lists_recall", "C7", f"""
+    SELECT count(*) AS exact_hits, true AS recall_reached FROM pair_hits WHERE similarity >= {T} AND rank <= 5
+""", ("pair_hits",))
+def stored_lists_recall(v):
+    """Eight of ten lists probed: at least 0.9 of what the exact search finds.
+
+    These vectors have no clusters, so few lists do not hold a query's neighbours: at sf0.01 six give 0.78, seven 0.85, eight 0.92.
+    """
+    found = _stored_lists(v, 8).search(v.query_vectors, 5, T, skip_self=True)
+    exact = search.batched_search(v.chunk_vectors, v.query_vectors, 5, T, skip_self=True)
+    return lists.recall(found, exact).select("exact_hits", (F.col("recall") >= 0.9).alias("recall_reached"))
+
+
 @check("distinct_vectors", "C14", """
     SELECT (SELECT count(*) FROM chunk_vectors) AS vectors, count(*) AS pairs, max(s) AS max_similarity,
            count(*) FILTER (s >= 0.99) AS vectors_with_copies, max(s) < 0.99 AS all_distinct

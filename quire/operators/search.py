@@ -390,9 +390,13 @@ class InvertedLists:
 
     def search(self, assigned: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
                threshold: float = DEFAULT_THRESHOLD, scope: tuple[str, ...] = ("user_id",), **options) -> DataFrame:
+        return batched_search(assigned, self.probed(queries), k, threshold, (*scope, "list_id"), **options)
+
+    def probed(self, queries: DataFrame) -> DataFrame:
+        """Queries with list_id, one row a probed list; those without an embedding probe none."""
         probes = min(self.probes, len(self.centroids))
-        asked = self._nearest(queries, probes, "_lists").withColumn("list_id", F.explode("_lists")).drop("_lists")
-        return batched_search(assigned, asked, k, threshold, (*scope, "list_id"), **options)
+        rows = self._nearest(queries.filter(F.col("embedding").isNotNull()), probes, "_lists")
+        return rows.withColumn("list_id", F.explode("_lists")).drop("_lists")
 
 
 def index_advice(documents: DataFrame, chunks: DataFrame) -> DataFrame:
