@@ -29,7 +29,7 @@ END_TOKEN = 1
 
 
 _MARK = re.compile("[\u0300-\u036f]")
-_STOP = re.compile("(?<=[a-z])([,.])(?= |$)")
+_STOP = re.compile("[,.](?<=[a-z].)(?= |$)")  # the mark first, so that the search skips to marks
 
 
 class WordTokenizer:
@@ -57,7 +57,7 @@ class WordTokenizer:
             text = text.lower()
         elif not _MARK.search(text):  # a mark could join a small letter, but not its capital
             text = lower_ascii(text).decode("utf-8", "surrogatepass")
-        return _STOP.sub(r" \1", text.replace("\n", " ")).split(" ")
+        return _STOP.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
@@ -74,12 +74,14 @@ class WordTokenizer:
     def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         places = list(map(self._places.get, words))
         if None in places:
-            new = {w for w, p in zip(words, places) if p is None}
+            missing = [i for i, p in enumerate(places) if p is None]
+            new = {words[i] for i in missing}
             if len(self._places) + len(new) > self._most:
                 self._places.clear()
-                self._used, new = 0, set(words)
+                self._used, new, missing = 0, set(words), range(len(words))
             self._learn(list(new))
-            places = list(map(self._places.__getitem__, words))
+            for i in missing:
+                places[i] = self._places[words[i]]
         at = np.array(places, np.int64)
         sizes = self._sizes[at]
         ends = np.cumsum(sizes)
