@@ -17,6 +17,10 @@ from quire.session import ensure_checkpoint_dir, ship
 # Bytes of text that a Python worker handles at once; a single longer text is handled alone.
 BATCH_BYTES = 4 << 20
 
+# Bytes of an Arrow batch on its way to Python, and of a Parquet row group: both are held whole.
+ARROW_BYTES = 8 << 20
+ROW_GROUP_BYTES = 32 << 20
+
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -31,7 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,12 +66,16 @@ def with_text_results(df: DataFrame, text: str, keep: list[str], result: str | T
     """Columns `keep`, then the columns of `result`, worked out from whole texts.
 
     `start` runs once a task and returns a function from a list of texts to one list per result column. Only `keep` and
-    `text` reach Python; a name used by both sides belongs to the result.
+    `text` reach Python, the text once; a name used by both sides belongs to the result.
     """
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     made = schema_of(result)
     keep = [c for c in keep if c not in made.names]
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text__"))
+    once = text in keep and isinstance(df.schema[text].dataType, T.StringType)
+    read = text if once else "__text__"
+    source = df.select(*[F.col(f"`{c}`") for c in keep],
+                       *[] if once else [F.col(f"`{text}`").cast("string").alias("__text__")])
     out = T.StructType([source.schema[c] for c in keep] + list(made))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +85,7 @@ def with_text_results(df: DataFrame, text: str, keep: list[str], result: str | T
         kinds = [to_arrow_type(f.dataType) for f in made]
         for batch in batches:
             kept = batch.select(keep) if keep else None
-            for at, texts in pieces(batch.column("__text__")):
+            for at, texts in pieces(batch.column(read)):
                 found = [pa.array(v, t) for v, t in zip(work(texts), kinds)]
                 same = kept.slice(at, len(texts)).columns if keep else []
                 yield pa.RecordBatch.from_arrays([*same, *found], names=out.names)
@@ -85,6 +93,30 @@ def with_text_results(df: DataFrame, text: str, keep: list[str], result: str | T
     return source.mapInArrow(run, out)
 
 
+def with_cleaned_text(df: DataFrame, text: str, made: str,
+                      start: Callable[[], Callable[[list[str | None]], list[str | None]]]) -> DataFrame:
+    """All columns, and in `made` what the function returned by `start` makes of each text; a null stays one.
+
+    Only texts that change come back from Python; the others are taken from the row.
+    """
+    def changed():
+        clean = start()
+        return lambda texts: [[None if new == old else new for old, new in zip(texts, clean(texts))]]
+
+    if made == text:
+        return with_text_results(df, text, df.columns, f"{made} string", lambda: lambda t, clean=start(): [clean(t)])
+    found = with_text_results(df, text, df.columns, f"{made} string", changed)
+    return found.withColumn(made, F.coalesce(F.col(f"`{made}`"), F.col(f"`{text}`").cast("string")))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES in this session from here on, so that whole texts reach Python a few at a time."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not (now.isdigit() and 0 < int(now) <= ARROW_BYTES):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def lower_ascii(text: str) -> bytes:
     """UTF-8 with A-Z, and nothing else, in lower case."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER)

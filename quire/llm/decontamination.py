@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import lower_ascii, pieces, with_text_results
+from quire.llm.common import lower_ascii, pieces, with_cleaned_text, with_text_results
 from quire.session import ship
 
 WINDOW = 10
@@ -215,11 +215,11 @@ def remove_spans(df: DataFrame, slices: list, text: str = "text", cleaned: str =
                     if hits:
                         out[i] = without(out[i], words, hits)
                 open_ = [i for i, hits in zip(open_, found) if hits]
-            return [out]
+            return out
 
         return work
 
-    return with_text_results(df, text, df.columns, f"{cleaned} string", start)
+    return with_cleaned_text(df, text, cleaned, start)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

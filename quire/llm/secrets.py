@@ -16,7 +16,7 @@ from collections import Counter
 
 from pyspark.sql import DataFrame
 
-from quire.llm.common import with_text_results
+from quire.llm.common import with_cleaned_text, with_text_results
 
 # The plain patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -202,6 +202,6 @@ def redacted(content: str, mark: str = "[SECRET]") -> str:
 def redact(df: DataFrame, text: str = "text", made: str = "redacted") -> DataFrame:
     """All columns, and the text without secrets in `made`; null texts stay null."""
     def start():
-        return lambda texts: [[None if t is None else redacted(t) for t in texts]]
+        return lambda texts: [None if t is None else redacted(t) for t in texts]
 
-    return with_text_results(df, text, df.columns, f"{made} string", start)
+    return with_cleaned_text(df, text, made, start)
