@@ -104,9 +104,8 @@ def cache_stream(v):
     FROM chunk_vectors
 """, ("chunk_vectors",))
 def cache_keys(v):
-    docs = F.array(F.lit("b"), F.lit("a"))
-    rounded = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
-    return v.chunk_vectors.select("chunk_id", windows.cache_key(F.col("user_id"), rounded, F.lit(10), F.lit(0.65), docs).alias("key"))
+    docs = F.array(F.lit("b"), F.lit("a"))  # the key rounds the values itself and keeps the sign of those near zero
+    return v.chunk_vectors.select("chunk_id", windows.cache_key(F.col("user_id"), F.col("embedding"), F.lit(10), F.lit(0.65), docs).alias("key"))
 
 
 @check("search_stats", "D24 S4", _anchored("'u' || (user_id % 10) || ':' || event_type", 300) + """
