@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quire.session import ensure_checkpoint_dir, ship
+from quire.session import ensure_checkpoint_dir, ship, small_batches
 
 # Bytes of text that a Python worker handles at once; a single longer text is handled alone.
 BATCH_BYTES = 4 << 20
 
-# Bytes of an Arrow batch on its way to Python, and of a Parquet row group: both are held whole.
-ARROW_BYTES = 8 << 20
+# Bytes of a Parquet row group, which is held whole.
 ROW_GROUP_BYTES = 32 << 20
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -109,14 +108,6 @@ def with_cleaned_text(df: DataFrame, text: str, made: str,
     return found.withColumn(made, F.coalesce(F.col(f"`{made}`"), F.col(f"`{text}`").cast("string")))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most ARROW_BYTES in this session from here on, so that whole texts reach Python a few at a time."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(name)
-    if not (now.isdigit() and 0 < int(now) <= ARROW_BYTES):
-        spark.conf.set(name, str(ARROW_BYTES))
-
-
 def lower_ascii(text: str) -> bytes:
     """UTF-8 with A-Z, and nothing else, in lower case."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from quire.functions import vectors as vx
 from quire.operators.arrow import add_columns
 from quire.operators.hooks import Scorer, lexical_overlap
-from quire.session import checkpoint, small_side
+from quire.session import checkpoint, small_batches, small_side
 
 # Defaults and limits of a search request.
 DEFAULT_K, MAX_K = 10, 50
@@ -28,7 +28,8 @@ DIGITS = 6
 BROADCAST_QUERIES = 4096
 # Rows of one side in one shuffled block.
 BLOCK_CHUNKS, BLOCK_QUERIES = 20_000, 4096
-_TILE = 1024
+# Rows and queries multiplied at once: a tile of products is 4 MB, whatever a block holds.
+_TILE, _QUERY_TILE = 1024, 512
 
 
 def search_arguments(k: int | None = None, threshold: float | None = None, user_id=None, vector=None,
@@ -94,6 +95,17 @@ def _matrix(column) -> np.ndarray:
     return np.divide(rows, size, out=np.zeros_like(rows), where=size > 0)
 
 
+def _products(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+    """Rounded similarities, tile by tile: place of the tile's first query, ids of its rows, queries x rows."""
+    if len(ids) and rows.shape[1] != queries.shape[1]:
+        raise ValueError("vectors must have the same length")
+    for at in range(0, len(ids), _TILE):
+        part, names = rows[at:at + _TILE], ids[at:at + _TILE]
+        for first in range(0, len(query_ids), _QUERY_TILE):
+            sims = queries[first:first + _QUERY_TILE] @ part.T
+            yield first, names, np.round(sims, DIGITS, out=sims)
+
+
 class _Best:
     """The best k rows of every query seen so far, exact under ties."""
 
@@ -105,19 +117,15 @@ class _Best:
         self.held = 0
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
-        for at in range(0, len(ids), _TILE):
-            part, names = rows[at:at + _TILE], ids[at:at + _TILE]
-            if part.shape[1] != self.queries.shape[1]:
-                raise ValueError("vectors must have the same length")
-            sims = np.round(self.queries @ part.T, DIGITS)
+        for first, names, sims in _products(self.ids, self.queries, ids, rows):
             if self.skip_self:
-                sims[self.ids[:, None] == names[None, :]] = -2.0
-            floor = self.floor
+                sims[self.ids[first:first + len(sims), None] == names[None, :]] = -2.0
+            floor = self.floor[first:first + len(sims)]
             if sims.shape[1] > self.k:
                 floor = np.maximum(floor, np.partition(sims, -self.k, axis=1)[:, -self.k])
             q, c = np.nonzero(sims >= floor[:, None])
             if len(q):
-                self.parts.append((q, names[c], sims[q, c]))
+                self.parts.append((q + first, names[c], sims[q, c]))
                 self.held += len(q)
             if self.held > 4 * self.k * len(self.ids) + 100_000:
                 self._compact()
@@ -135,12 +143,35 @@ class _Best:
         self.floor = np.where(full, np.maximum(self.floor, lowest), self.floor)
         self.parts, self.held = [(q, names, sims)], len(q)
 
-    def result(self):
+    def result(self) -> list[np.ndarray]:
+        """query_id, chunk_id and similarity of the best."""
         if not self.parts:
-            return self.ids[:0], self.ids[:0], np.empty(0)
+            return [self.ids[:0], self.ids[:0], np.empty(0)]
         self._compact()
         q, names, sims = self.parts[0]
-        return self.ids[q], names, sims
+        return [self.ids[q], names, sims]
+
+
+class _Closest:
+    """Of every query seen so far the similarity of its closest other row, and its close pairs with larger ids."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, limit: float):
+        self.ids, self.queries, self.limit = query_ids, queries, limit
+        self.best, self.pairs = np.full(len(query_ids), -2.0), np.zeros(len(query_ids), np.int64)
+
+    def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        for first, names, sims in _products(self.ids, self.queries, ids, rows):
+            here = slice(first, first + len(sims))
+            mine = self.ids[here, None]
+            sims[mine == names[None, :]] = -2.0
+            self.best[here] = np.maximum(self.best[here], sims.max(axis=1))
+            q, c = np.nonzero(sims >= self.limit)  # every pair is met from both sides and counted from one
+            np.add.at(self.pairs, q + first, self.ids[q + first] < names[c])
+
+    def result(self) -> list[np.ndarray]:
+        """query_id, similarity and number of pairs, of queries that met another row."""
+        met = self.best > -2.0
+        return [self.ids[met], self.best[met], self.pairs[met]]
 
 
 def _values(column) -> np.ndarray:
@@ -148,11 +179,9 @@ def _values(column) -> np.ndarray:
 
 
 def _hits(schema: pa.Schema, found) -> pa.Table:
-    query_ids, names, sims = found
-    if len(sims) == 0:
+    if len(found[0]) == 0:
         return schema.empty_table()
-    return pa.table([pa.array(query_ids, schema.field(0).type), pa.array(names, schema.field(1).type),
-                     pa.array(sims, pa.float64())], schema=schema)
+    return pa.table([pa.array(values, field.type) for values, field in zip(found, schema)], schema=schema)
 
 
 def batched_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
@@ -168,23 +197,32 @@ def batched_search(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K,
     if k < 1 or not -1 <= threshold <= 1:
         raise ValueError("k must be positive and the threshold a cosine")
     given = [F.col(c).try_cast(chunks.schema[c].dataType).alias(c) for c in scope]
-    # quoted and in a fixed order, so that no two lists of values share a cell
-    cell = F.to_json(F.struct(*scope)) if scope else F.lit("")
     chunks = chunks.dropna(subset=["embedding", *scope])
     queries = queries.select("query_id", "embedding", *given).dropna(subset=["embedding", *scope])
-    queries = queries.select("query_id", "embedding", *scope, cell.alias("_cell"))
     schema = T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
         T.StructField("similarity", T.DoubleType()),
     ])
+
+    def make(ids, rows):
+        return _Best(ids, rows, k, threshold, skip_self)
+
+    return ranked(_met(chunks, queries, schema, scope, broadcast_limit, make), k)
+
+
+def _met(chunks: DataFrame, queries: DataFrame, schema: T.StructType, scope: tuple[str, ...], broadcast_limit: int,
+         make) -> DataFrame:
+    """What make(query ids, query vectors) finds once every chunk in the queries' scope was added to it, block by block."""
+    small_batches(chunks.sparkSession)
+    # quoted and in a fixed order, so that no two lists of values share a cell
+    cell = F.to_json(F.struct(*scope)) if scope else F.lit("")
+    queries = queries.select("query_id", "embedding", *scope, cell.alias("_cell"))
     few = queries.limit(broadcast_limit + 1).toArrow()
     slim = (F.col("chunk_id"), F.col("embedding"), cell.alias("_cell"))
     if few.num_rows <= broadcast_limit:
-        found = _against_broadcast(_in_scope(chunks, few, scope).select(*slim), few, schema, k, threshold, skip_self)
-    else:
-        found = _against_blocks(chunks.select(*slim), queries, schema, k, threshold, skip_self)
-    return ranked(found, k)
+        return _against_broadcast(_in_scope(chunks, few, scope).select(*slim), few, schema, make)
+    return _against_blocks(chunks.select(*slim), queries, schema, make)
 
 
 def _in_scope(chunks: DataFrame, queries: pa.Table, scope, limit: int = 500) -> DataFrame:
@@ -205,7 +243,7 @@ def ranked(hits: DataFrame, k: int, score: str = "similarity") -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _against_broadcast(chunks, queries: pa.Table, schema, k, threshold, skip_self):
+def _against_broadcast(chunks, queries: pa.Table, schema, make):
     spark = chunks.sparkSession
     cells = _values(queries.column("_cell"))
     matrix = _matrix(queries.column("embedding")) if queries.num_rows else np.empty((0, 0))
@@ -217,7 +255,7 @@ def _against_broadcast(chunks, queries: pa.Table, schema, k, threshold, skip_sel
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in schema.fields])
 
     def run(batches):
-        best = {cell: _Best(ids, rows, k, threshold, skip_self) for cell, (ids, rows) in handle.value.items()}
+        best = {cell: make(ids, rows) for cell, (ids, rows) in handle.value.items()}
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -233,7 +271,7 @@ def _against_broadcast(chunks, queries: pa.Table, schema, k, threshold, skip_sel
     return chunks.mapInArrow(run, schema)
 
 
-def _against_blocks(chunks, queries, schema, k, threshold, skip_self):
+def _against_blocks(chunks, queries, schema, make):
     """Blocks of chunks meet blocks of queries; a cell of any size is split on both sides."""
     sizes = (
         chunks.groupBy("_cell").agg(F.count("*").alias("_nc"))
@@ -257,9 +295,8 @@ def _against_blocks(chunks, queries, schema, k, threshold, skip_self):
 
     def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if rows.num_rows == 0 or asked.num_rows == 0:
-            return _hits(arrow, (np.empty(0, object), np.empty(0, object), np.empty(0)))
-        asked_rows = _matrix(asked.column("query_id_vector"))
-        best = _Best(_values(asked.column("query_id_")), asked_rows, k, threshold, skip_self)
+            return arrow.empty_table()
+        best = make(_values(asked.column("query_id_")), _matrix(asked.column("query_id_vector")))
         best.add(_values(rows.column("chunk_id_")), _matrix(rows.column("chunk_id_vector")))
         return _hits(arrow, best.result())
 
@@ -324,17 +361,38 @@ def closest_others(vectors: DataFrame, scope: tuple[str, ...] = (), **options) -
     )
 
 
-def distinctness(vectors: DataFrame, limit: float = 0.99, **options) -> DataFrame:
-    """One row: vectors, pairs, highest pair similarity, and whether every pair is below the limit."""
-    total = vectors.filter(F.col("embedding").isNotNull()).agg(F.count("*").alias("vectors"))
-    best = closest_others(vectors, **options).agg(
+def closest_others(vectors: DataFrame, scope: tuple[str, ...] = (), **options) -> DataFrame:
+    """Each vector's most similar other vector."""
+    asked = vectors.withColumnRenamed("chunk_id", "query_id")
+    return (
+        batched_search(vectors, asked, 1, -1.0, scope=scope, skip_self=True, **options)
+        .select(F.col("query_id").alias("chunk_id"), F.col("chunk_id").alias("closest_id"), "similarity")
+    )
+
+
+def distinctness(vectors: DataFrame, limit: float = 0.99, broadcast_limit: int = BROADCAST_QUERIES) -> DataFrame:
+    """One row: vectors, pairs, highest pair similarity, and whether every pair is below the limit.
+
+    `vectors_with_copies` counts vectors, `close_pairs` pairs that reach the limit; pairs are counted block by block
+    and never become rows.
+    """
+    rows = vectors.filter(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
+    schema = T.StructType([
+        T.StructField("query_id", rows.schema["chunk_id"].dataType), T.StructField("similarity", T.DoubleType()),
+        T.StructField("pairs", T.LongType()),
+    ])
+    met = _met(rows, rows.withColumnRenamed("chunk_id", "query_id"), schema, (), broadcast_limit,
+               lambda ids, matrix: _Closest(ids, matrix, limit))
+    closest = met.groupBy("query_id").agg(F.max("similarity").alias("similarity"), F.sum("pairs").alias("pairs"))
+    best = closest.agg(
         F.max("similarity").alias("max_similarity"),
         F.count_if(F.col("similarity") >= limit).alias("vectors_with_copies"),
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("close_pairs"),
     )
-    return best.withColumn("vectors", total.scalar()).select(
+    return best.withColumn("vectors", rows.agg(F.count("*")).scalar()).select(
         "vectors",
         F.floor(F.col("vectors") * (F.col("vectors") - 1) / 2).alias("pairs"),
-        "max_similarity", "vectors_with_copies",
+        "max_similarity", "vectors_with_copies", "close_pairs",
         (F.coalesce(F.col("max_similarity"), F.lit(-1.0)) < limit).alias("all_distinct"),
     )
 

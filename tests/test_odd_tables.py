@@ -6,6 +6,7 @@ import pyarrow.parquet as pq
 from checks import ORACLE, QUERIES
 from checks.compare import compare
 from checks.views import Views
+from quire.operators import search
 
 
 def _same(spark, folder, name, **tables):
@@ -31,3 +32,12 @@ def test_cache_keys_keep_the_sign_of_small_values(spark, tmp_path):
     rows = [[-0.00001, 0.00001, -0.0, 0.03125, -0.03125], [-0.00005, 0.00005, 0.00015, -0.12345, 0.12345],
             [-0.00004999, 1.5, -2.99995, 0.99995, 123.00005]]
     assert _same(spark, tmp_path, "cache_keys", embeddings=_vectors(rows)) == 3
+
+
+def test_distinct_vectors_count_pairs_of_copies(spark, tmp_path):
+    rows = [[1.0, 0.0, 0.5]] * 3 + [[0.0, 1.0, 0.0]] * 2 + [[0.3, 0.2, -1.0]]  # 3 + 1 pairs, 5 vectors
+    assert _same(spark, tmp_path, "distinct_vectors", embeddings=_vectors(rows)) == 1
+    vectors = Views(spark, str(tmp_path)).chunk_vectors
+    for limit in (100, 1):  # queries broadcast, and met in blocks
+        got = search.distinctness(vectors, broadcast_limit=limit).first()
+        assert (got["close_pairs"], got["vectors_with_copies"], got["max_similarity"]) == (4, 5, 1.0)
