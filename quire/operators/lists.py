@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators.search import DEFAULT_K, DEFAULT_THRESHOLD, InvertedLists, batched_search
-from quire.session import checkpoint
+from quire.session import checkpoint, small_side
 from quire.sources.tables import put
 
 # Ids of the probed lists are broadcast, so their number is bounded.
 MAX_LISTS = 100_000
+# Queries whose exact hits tell how many lists have to be probed.
+TUNING_QUERIES = 1000
 
 
 class StoredLists:
@@ -78,6 +80,35 @@ class StoredLists:
         asked = checkpoint(self.index.probed(queries))
         return batched_search(self.probed_vectors(asked), asked, k, threshold, (*scope, "list_id"), **options)
 
+    def tune(self, queries: DataFrame, target: float, k: int = DEFAULT_K, threshold: float = DEFAULT_THRESHOLD,
+             scope: tuple[str, ...] = ("user_id",), most: int = TUNING_QUERIES, **options) -> "StoredLists":
+        """Raise the number of probes until the target share of exact hits lies in the probed lists.
+
+        Measured by the exact search over all stored rows for at most `most` queries, those with the smallest hash of
+        their id. Probes are never lowered; with every list probed the recall is 1.
+        """
+        if not 0 < target <= 1:
+            raise ValueError("the target is a share")
+        asked = queries.filter(F.col("embedding").isNotNull()).orderBy(F.xxhash64("query_id"), "query_id").limit(most)
+        asked = checkpoint(asked)
+        rows, index = self.vectors(), self.index
+        exact = checkpoint(batched_search(rows, asked, k, threshold, scope, **options).select("query_id", "chunk_id"))
+        every = InvertedLists(index.lists, len(index.centroids), index.seed)
+        every.centroids = index.centroids
+        near = every._nearest(asked, len(index.centroids), "_lists").select("query_id", "_lists")
+        places = (
+            rows.select("chunk_id", "list_id").join(small_side(exact), "chunk_id").join(near, "query_id")
+            .groupBy(F.array_position("_lists", F.col("list_id").cast("int")).alias("place")).agg(F.count("*").alias("n"))
+            .orderBy("place").collect()  # one row a list
+        )
+        total, held = sum(r["n"] for r in places), 0
+        for r in places:
+            if held >= target * total:
+                break
+            held += r["n"]
+            self.probes = index.probes = max(index.probes, r["place"])
+        return self
+
     def probed_vectors(self, asked: DataFrame) -> DataFrame:
         """Stored rows of the lists in `asked`."""
         wanted = asked.select("list_id").distinct().filter(F.col("list_id") >= 0)

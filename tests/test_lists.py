@@ -110,3 +110,18 @@ def test_appends_and_generations(spark, vectors, tables, tmp_path):
 
 def test_no_queries(stored, tables):
     assert stored.search(tables[1].limit(0), 5, 0.5).count() == 0
+
+
+def test_probes_rise_until_the_recall_is_reached(spark, tmp_path):
+    """Vectors without clusters: few lists hold too little, and a sample of queries tells how many are needed."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, rng.normal(size=16).tolist()) for i in range(900)]
+    chunks = spark.createDataFrame(rows, CHUNKS)
+    asked = chunks.withColumnRenamed("chunk_id", "query_id")
+    exact = search.batched_search(chunks, asked, 5, 0.0, skip_self=True)
+    made = lists.StoredLists.create(chunks, str(tmp_path / "s"), lists=10, probes=2)
+    assert lists.recall(made.search(asked, 5, 0.0, skip_self=True), exact).first()["recall"] < 0.7
+    made.tune(asked, 0.94, 5, 0.0, most=300, skip_self=True)
+    got = lists.recall(made.search(asked, 5, 0.0, skip_self=True), exact).first()["recall"]
+    assert got >= 0.9 and 2 < made.index.probes <= 10
+    assert made.tune(asked, 0.1, 5, 0.0, most=300, skip_self=True).index.probes == made.probes  # never lowered
