@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions.status import progress
+from quire.session import checkpoint, small_side
 
 SORT_COLUMNS = ("created_at", "updated_at", "title", "status")
 
@@ -156,28 +157,32 @@ def document_detail(documents: DataFrame, chunks: DataFrame) -> DataFrame:
 def similar_queries(log: DataFrame, asked: DataFrame, n: int = 5) -> DataFrame:
     """Per asked (request_id, user_id, query): logged queries of the user holding all its words, best first.
 
-    A request meets only the queries that hold its rarest word; equal requests of a user are
-    looked up once. The other words are checked inside the met query's own word list.
+    A request meets only the queries that hold its rarest word; equal requests of a user are looked up once. Words nobody
+    asks for go before anything is shuffled, and the other words of a request are checked inside the met query's own list.
     """
     def distinct_words(text: str) -> Column:
         return F.array_sort(F.array_distinct(tx.words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s]", " "))))
 
     requests = asked.select("request_id", "user_id", distinct_words("query").alias("_need"))
     held = log.select("query_id", "user_id", "confidence_score", distinct_words("query_text").alias("_held"))
-    words = held.select("user_id", "query_id", "confidence_score", "_held", F.explode("_held").alias("_word"))
-    known = words.groupBy("user_id", "_word").agg(F.count("*").alias("_n"))
-    rarest = (
-        requests.select("user_id", "_need").distinct()
-        .select("user_id", "_need", F.explode("_need").alias("_word"))
-        .join(known, ["user_id", "_word"])
+    needs = checkpoint(requests.select("user_id", "_need").distinct())
+    needed = needs.select("user_id", "_need", F.explode("_need").alias("_word"))
+    wanted = small_side(checkpoint(needed.select("user_id", "_word").distinct()))
+    known = (
+        held.select("user_id", F.explode("_held").alias("_word")).join(wanted, ["user_id", "_word"])
+        .groupBy("user_id", "_word").agg(F.count("*").alias("_n"))
+    )
+    rarest = checkpoint(
+        needed.join(known, ["user_id", "_word"])
         .groupBy("user_id", "_need").agg(F.min_by("_word", "_n").alias("_word"), F.count("*").alias("_known"))
         .filter(F.col("_known") == F.size("_need")).drop("_known")
     )
-    met = words.join(rarest, ["user_id", "_word"]).filter(F.size(F.array_except("_need", "_held")) == 0)
+    words = held.select("user_id", "query_id", "confidence_score", "_held", F.explode("_held").alias("_word"))
+    met = words.join(small_side(rarest), ["user_id", "_word"]).filter(F.size(F.array_except("_need", "_held")) == 0)
     order = [F.desc("confidence_score"), F.asc("query_id")]
     position = F.row_number().over(Window.partitionBy("user_id", "_need").orderBy(*order))
     best = (
         met.select("user_id", "_need", "query_id", "confidence_score").withColumn("rank", position)
         .filter(F.col("rank") <= n)
     )
-    return requests.join(best, ["user_id", "_need"]).select("request_id", "query_id", "confidence_score", "rank")
+    return requests.join(small_side(checkpoint(best)), ["user_id", "_need"]).select("request_id", "query_id", "confidence_score", "rank")

@@ -41,3 +41,49 @@ def test_distinct_vectors_count_pairs_of_copies(spark, tmp_path):
     for limit in (100, 1):  # queries broadcast, and met in blocks
         got = search.distinctness(vectors, broadcast_limit=limit).first()
         assert (got["close_pairs"], got["vectors_with_copies"], got["max_similarity"]) == (4, 5, 1.0)
+
+
+def test_equal_questions_are_answered_once(spark, tmp_path):
+    """Each different question reaches the answerer once, and every row gets its answer."""
+    from quire.operators.hooks import Answerer, Embedder, embed
+    from quire.plans import answering
+
+    class Counting(Answerer):
+        def answer(self, prompts):
+            with open(tmp_path / "seen", "a") as log:
+                log.writelines(f"{i}\n" for i in prompts["query_id"])
+            return super().answer(prompts)
+
+    texts = spark.createDataFrame([("c1", "u1", 7, 1, None, "alpha beta gamma"), ("c2", "u2", 8, 1, None, "alpha beta gamma")],
+                                  "chunk_id string, user_id string, document_id long, page_number int, section_title string, chunk_text string")
+    documents = spark.createDataFrame([(7, "seven.pdf"), (8, "eight.pdf")], "document_id long, filename string")
+    rows = [(i, f"u{1 + i % 2}", "alpha beta" if i < 40 else "zeta") for i in range(50)] + [(99, None, None), (98, None, None)]
+    asked = spark.createDataFrame(rows, "query_id long, user_id string, query_text string")
+    got = answering.answer_questions(asked, embed(texts, Embedder(64)), documents, Embedder(64), Counting(), threshold=0.3).collect()
+    assert sorted(r.query_id for r in got) == sorted(r[0] for r in rows)
+    assert sorted((tmp_path / "seen").read_text().split()) == ["0", "1", "40", "41", "98"]
+    by_id = {r.query_id: r for r in got}
+    assert all(r.sources_found == (1 if r.query_id < 40 else 0) for r in got)
+    assert by_id[6].sources[0].document_name == "seven.pdf" and by_id[7].sources[0].document_name == "eight.pdf"
+
+
+def test_similar_queries_shuffle_no_word_lists(spark):
+    """Long questions take no more to look up than short ones: words nobody asks for are not shuffled."""
+    from quire.operators import listing
+
+    def shuffled(more):
+        extra = f"array_join(transform(sequence(1, {more}), i -> substr(md5(concat(id, '-', i)), 1, 9)), ' ')"
+        log = spark.range(2000).selectExpr("id AS query_id", "id % 5 AS user_id", "0.5D AS confidence_score",
+                                           f"concat('common w', id % 50, ' ', {extra}) AS query_text")
+        asked = spark.range(20).selectExpr("id AS request_id", "id % 5 AS user_id", "concat('common w', id % 50) AS query")
+        status = spark.sparkContext._jsc.sc().statusStore()
+        before = {status.jobsList(None).apply(i).jobId() for i in range(status.jobsList(None).size())}
+        assert listing.similar_queries(log, asked).count() > 0
+        jobs, total = status.jobsList(None), 0
+        for i in range(jobs.size()):
+            if jobs.apply(i).jobId() not in before:
+                ids = jobs.apply(i).stageIds()
+                total += sum(status.lastStageAttempt(ids.apply(k)).shuffleWriteBytes() for k in range(ids.size()))
+        return total
+
+    assert shuffled(80) < 2 * shuffled(2) + 20_000
