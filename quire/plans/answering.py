@@ -44,10 +44,11 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFra
     """questions (query_id, user_id, query_text) -> response_text, sources, confidence_score, tokens.
 
     `structured` expects JSON from the answerer: it is parsed, its steps and citations are
-    written into the text, and its own confidence is used.
+    written into the text, and its own confidence is used. Questions that differ in their id only are answered once.
     """
+    asked, members = once_each(questions)
     kind = an.classify_query(F.col("query_text"))
-    typed = questions.withColumn("_c", kind).withColumn("query_type", F.col("_c.type")).drop("_c")
+    typed = asked.withColumn("_c", kind).withColumn("query_type", F.col("_c.type")).drop("_c")
     vectors = typed
     if "embedding" not in questions.columns:
         vectors = embed(typed, embedder or Embedder(), "query_text")
@@ -56,7 +57,22 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, documents: DataFra
     packed = cx.pack_context(hits, typed.drop("embedding"), budget)
     texts = answer(cx.build_prompts(packed), answerer or Answerer())
     merged = texts.join(cx.answer_sources(hits), "query_id", "left").join(cx.hit_statistics(hits), "query_id", "left")
-    return finish(merged, hits, structured)
+    done = finish(merged, hits, structured)
+    return members.join(done.withColumnRenamed("query_id", "_asked"), "_asked").select(*done.columns)
+
+
+def once_each(questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions that differ in more than their id, one row each, and (_asked, query_id): by which id each is answered.
+
+    Equal questions of a user, on the same documents, have equal hits and prompts, so searching and answering grow with the
+    different ones.
+    """
+    same = [c for c in questions.columns if c != "query_id"]
+    keyed = questions.withColumn("_key", F.sha2(F.to_json(F.struct(*same)), 256))
+    asked = checkpoint(keyed.groupBy("_key", *same).agg(F.min("query_id").alias("query_id")))
+    first = asked.select("_key", F.col("query_id").alias("_asked"))
+    members = keyed.select("_key", "query_id").join(small_side(first), "_key").select("_asked", "query_id")
+    return asked.select(*questions.columns), members
 
 
 def finish(merged: DataFrame, hits: DataFrame, structured: bool) -> DataFrame:
