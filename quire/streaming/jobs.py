@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.functions.status import progress
 from quire.operators.hooks import Embedder
-from quire.operators.windows import LIMITS
+from quire.operators.windows import _NEVER, LIMITS, _walk
 from quire.plans.ingest import ingest
-from quire.session import checkpoint
+from quire.session import checkpoint, small_batches
 from quire.sources.tables import put
 
 
@@ -26,12 +27,25 @@ def first_upload_stream(uploads: DataFrame, owner: str = "user_id", watermark: s
     return uploads.dropDuplicates([owner, "file_hash"])
 
 
+# Rows of a stream's result made at once.
+_SLICE = 50_000
+# Stands for a missing time, after all others.
+_NO_TIME = 1 << 62
+
+
+def _ordered(times: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Order by time, then id, for ids that numpy cannot sort as numbers; null ids last."""
+    by_id = pd.Series(ids).sort_values(kind="stable").index.to_numpy()
+    return by_id[np.argsort(times[by_id], kind="stable")]
+
+
 def window_stream(events: DataFrame, key: str, time: str, order_id: str, seconds: int,
                   watermark: str = "1 hour") -> DataFrame:
     """Streaming twin of `anchored_windows`: key, id, time, window_start, position.
 
     State is one (end, count) pair a key and leaves once the watermark passes the window's end:
-    the key's next event opens a new window in any case.
+    the key's next event opens a new window in any case. A key's events of one batch are held as two numbers each
+    (ids that are no numbers as objects) and leave in slices.
     """
     width = seconds * 1_000_000
     id_type = events.schema[order_id].dataType
@@ -45,23 +59,34 @@ def window_stream(events: DataFrame, key: str, time: str, order_id: str, seconds
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches), ignore_index=True).sort_values([time, order_id])
-        end, count = state.get if state.exists else (None, 0)
-        starts, positions = [], []
-        for at in rows["_us"]:
-            if end is None or at > end:
-                end, count = int(at) + width, 0
-            count += 1
-            starts.append(end - width)
-            positions.append(count)
-        state.update((end, count))
+        parts = [(b["_us"].fillna(_NO_TIME).to_numpy(np.int64), b[order_id].to_numpy()) for b in batches]
+        times, ids = (np.concatenate(x) for x in zip(*parts))
+        del parts
+        order = np.lexsort((ids, times)) if ids.dtype != object else _ordered(times, ids)
+        times, ids = times[order], ids[order]
+        del order
+        end, count = state.get if state.exists else (_NEVER, 0)
+        known = int(np.searchsorted(times, _NO_TIME))
+        if known == 0 and end == _NEVER:
+            raise ValueError("an event without a time opens no window")
+        starts, positions = _walk(times[:known], width, end, count)
+        if known:
+            end, count = int(starts[-1]) + width, int(positions[-1])
+        more = len(times) - known  # events without a time count in the window that is open last
+        starts = np.concatenate((starts, np.full(more, end - width)))
+        positions = np.concatenate((positions, count + 1 + np.arange(more)))
+        state.update((end, count + more))
         state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            key: group[0], order_id: rows[order_id].to_numpy(), time: rows[time].to_numpy(),
-            "window_start": pd.to_datetime(starts, unit="us"), "position": positions,
-        })
+        for at in range(0, len(times), _SLICE):
+            here = slice(at, at + _SLICE)
+            when = pd.Series(pd.to_datetime(np.where(times[here] < _NO_TIME, times[here], 0), unit="us"))
+            yield pd.DataFrame({
+                key: group[0], order_id: ids[here], time: when.where(times[here] < _NO_TIME),
+                "window_start": pd.to_datetime(starts[here], unit="us"), "position": positions[here],
+            })
 
     slim = events.select(F.col(key).cast("string").alias(key), order_id, F.col(time).cast("timestamp").alias(time))
+    small_batches(events.sparkSession)
     return (
         slim.withWatermark(time, watermark).withColumn("_us", F.unix_micros(time))
         .groupBy(key).applyInPandasWithState(step, out, held, "append", GroupStateTimeout.EventTimeTimeout)

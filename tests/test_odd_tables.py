@@ -87,3 +87,77 @@ def test_similar_queries_shuffle_no_word_lists(spark):
         return total
 
     assert shuffled(80) < 2 * shuffled(2) + 20_000
+
+
+def test_window_stream_holds_numbers_and_leaves_in_slices():
+    """One busy key: its events take a few numbers each, and never leave as one frame."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    from quire.streaming import jobs
+
+    taken = {}
+
+    class Frame:
+        """Stands for a streaming frame; keeps the step."""
+        sparkSession = SimpleNamespace(conf=SimpleNamespace(get=lambda name: "1"))
+        schema = {"id": T.StructField("id", T.LongType())}
+
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+        def applyInPandasWithState(self, step, *rest):
+            taken["step"] = step
+            return self
+
+    class State:
+        hasTimedOut, exists, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+        def setTimeoutTimestamp(self, at):
+            self.at = at
+
+    n = 600_000
+    rng = np.random.default_rng(1)
+    times = rng.permutation(n).astype(np.int64) * 1_000_000
+
+    def batches():
+        for at in range(0, n, 10_000):
+            part = times[at:at + 10_000]
+            yield pd.DataFrame({"k": "a", "id": np.arange(at, at + len(part)), "t": pd.to_datetime(part, unit="us"), "_us": part})
+
+    from unittest import mock
+
+    with mock.patch.object(jobs, "F", mock.MagicMock()):
+        jobs.window_stream(Frame(), "k", "t", "id", 900)
+    state, held, rows = State(), [], 0
+    tracemalloc.start()
+    for frame in taken["step"](("a",), batches(), state):
+        held.append(len(frame))
+        rows += len(frame)
+        if rows == held[0]:
+            assert frame["position"].tolist()[:902] == [*range(1, 902), 1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and max(held) <= 50_000
+    assert peak < 90 * n
+    assert state.get[1] == (n - 1) % 901 + 1
+
+
+def test_columns_are_made_from_few_rows_at_a_time(spark):
+    import pyarrow as arrow
+
+    from quire.operators.arrow import add_columns
+
+    rows = spark.range(3000, numPartitions=1)
+    got = add_columns(rows, "n int", lambda b: [arrow.array([b.num_rows] * b.num_rows, arrow.int32())]).groupBy("n").count().collect()
+    assert sum(r["count"] for r in got) == 3000 and max(r["n"] for r in got) <= 256
