@@ -162,8 +162,15 @@ def top_documents(queries: DataFrame, by=("user_id",), n: int = 5) -> DataFrame:
 
 
 def common_topics(queries: DataFrame, by=("user_id",), n: int = 10) -> DataFrame:
-    """Most frequent words of the questions that occur more than once."""
+    """Most frequent words of the questions that occur more than once.
+
+    Questions are dealt by `by` before their words are counted, so that a task counts the words of its own users only; counted
+    where the rows lie, each task would hold the words of all users.
+    """
     # stop words go after the count: far fewer rows to look at
+    queries = queries.select(*by, "query_text")
+    if by:
+        queries = queries.repartition(*by)
     words = queries.select(*by, F.explode(tx.topic_words(F.col("query_text"), ())).alias("topic"))
     counts = (
         words.groupBy(*by, "topic").agg(F.count("*").alias("frequency"))

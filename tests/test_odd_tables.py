@@ -161,3 +161,33 @@ def test_columns_are_made_from_few_rows_at_a_time(spark):
     rows = spark.range(3000, numPartitions=1)
     got = add_columns(rows, "n int", lambda b: [arrow.array([b.num_rows] * b.num_rows, arrow.int32())]).groupBy("n").count().collect()
     assert sum(r["count"] for r in got) == 3000 and max(r["n"] for r in got) <= 256
+
+
+def test_topics_are_counted_where_their_user_lies(spark):
+    """No task counts the words of all users: rows are dealt by user first, and counts are not shuffled again."""
+    import re
+
+    from quire.operators import analytics
+
+    log = spark.range(3000).selectExpr("id % 7 AS user_id", "concat('alpha w', id % 20, ' w', id % 3) AS query_text").repartition(5)
+    found = analytics.common_topics(log)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(user_id", plan) and not re.search(r"hashpartitioning\([^)]*topic", plan)
+    assert found.where("position = 1").count() == 7
+
+
+def test_search_multiplies_small_tiles():
+    """A full block of queries against many rows holds products of a tile, not of the block."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows, asked = rng.normal(size=(4096, 16)), rng.normal(size=(4096, 16))
+    best = search._Best(np.arange(4096), asked, 5, 0.0, False)
+    tracemalloc.start()
+    best.add(np.arange(4096), rows)
+    found = best.result()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found[0]) == 4096 * 5 and peak < 40 << 20
