@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WordHashes, lower_ascii, pieces, stored
+from quire.llm.common import WordHashes, give_back, lower_ascii, pieces, stored
 from quire.llm.graphs import components
-from quire.session import ship, small_side
+from quire.session import ship, small_batches, small_side
 
 SHINGLE = 5
 PERCENT = 75
@@ -97,6 +97,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 def sets_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, print (of the set), labels, sketch of every row; empty sets have null prints."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("text_hash"),
                          F.col(text).cast("string").alias("text"))
 
@@ -116,6 +117,8 @@ def sets_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                      pa.array(list(map(len, sets)), pa.int64()), pa.array(prints, pa.binary()),
                      _binary(labels), _binary(sketches)],
                     names=["doc_id", "text_hash", "n_shingles", "print", "labels", "sketch"])
+        known.clear()
+        give_back()
 
     return source.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, print binary, labels binary, sketch binary")
 
