@@ -191,3 +191,15 @@ def test_search_multiplies_small_tiles():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(found[0]) == 4096 * 5 and peak < 40 << 20
+
+
+def test_hierarchical_chunks_of_pages_whose_headers_are_renamed_later(spark, tmp_path):
+    """A header whose number has another title on a later page opens no section; a manual's page may hold no section."""
+    first = "\n".join(["Y. early words of the first page"] + [f"plain line {i} of it" for i in range(19)])
+    texts = [first + "\nY. late words of the second page\nmore of it", "no header here", first]
+    documents = pa.table({"doc_id": pa.array(range(3), pa.int64()), "text": texts, "lang": ["en"] * 3, "source": ["web"] * 3,
+                          "n_chars": pa.array(list(map(len, texts)), pa.int64())})
+    keys = list(range(21))  # the second page has one line, without a header
+    part = pa.table({"p_partkey": pa.array(keys, pa.int64()), "p_name": [f"red bolt {k}" for k in keys], "p_brand": ["Brand#1"] * 21,
+                     "p_type": ["SMALL"] * 21, "p_size": pa.array([k % 50 + 1 for k in keys], pa.int32())})
+    assert _same(spark, tmp_path, "hierarchical_chunks", documents=documents, part=part) > 4
