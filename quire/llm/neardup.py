@@ -6,9 +6,13 @@ as long as they share at least two labels: in a crowded region the nearest ones
 region. A sketch of the whole signature sifts the neighbours, and what it lets pass is confirmed on full shingle sets.
 
 A node proposes its nearest fitting neighbour in each tree. Nodes that had more to propose come again in the next round,
-with the components found so far, while that finds links. Then whole regions are gone through: all nodes that share two
+with the components found so far, while half of the pairs are links. Then whole regions are gone through: all nodes that share two
 labels in a tree and are in different components meet, however many they are, and propose ever more, at last all pairs
 that the sketch lets pass. So neither the proposals of a node nor the reach of an order is a cap.
+
+Many texts just below 75 % on one template would all meet there. Two such nodes either share a shingle that few of the
+nodes have, and are proposed for it, or share only frequent shingles: of each of BUCKETS buckets of these at most as many as
+the one with fewer of them has. If that cannot make 75 %, the pair need not be confirmed.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ REACH = 512           # neighbours that a node meets in each order
 PROPOSALS = 1         # pairs that a node proposes a tree and round
 # The same when whole regions meet: few first, as their links spare most of the rest, and at last without a limit.
 REST = (8, 64, None)
+RARE = 64             # a shingle that at most so many of the nodes have proposes all their pairs
+BUCKETS = 128         # by which more frequent shingles are counted
 TILE = 4096           # nodes of a region that meet as many others in one place
 # Of the 128 two-bit fields of a sketch, 104 agree on average at 75 %, with a deviation of 4.4: one in 300,000 has fewer than 84.
 LEAST_AGREEING = 84
@@ -166,29 +172,31 @@ def rest(nodes: DataFrame, limit: int | None) -> DataFrame:
 
     A pair counts in the first tree that brings it together. A region of n nodes is dealt out as tiles of about TILE by
     TILE nodes, each node in n / TILE of them. `limit` bounds what a node proposes in a tile; None proposes all pairs.
+    Where `nodes` has also size and shared, pairs that could not reach 75 % by sharing these shingles are left out.
     """
+    counts = [c for c in ("size", "shared") if c in nodes.columns]
     width = 2 * DEPTH
     heads = [F.substring("labels", 1 + t * width, 2 * LEAST_DEPTH) for t in range(TREES)]
     spots = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), h.alias("region")) for t, h in enumerate(heads)]))
     crowds = (nodes.select("component", spots.alias("at")).groupBy("at.tree", "at.region")
               .agg(F.min("component").alias("least"), F.max("component").alias("most"),
                    F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).where("least < most").select("tree", "region", "tiles"))
-    rows = nodes.select(F.concat(*heads).alias("heads"), "node", "component", "sketch", spots.alias("at"))
-    met = rows.select("at.*", "heads", "node", "component", "sketch").join(small_side(stored(crowds, "crowds")), ["tree", "region"])
+    rows = nodes.select(F.concat(*heads).alias("heads"), "node", "component", "sketch", *counts, spots.alias("at"))
+    met = rows.select("at.*", "heads", "node", "component", "sketch", *counts).join(small_side(stored(crowds, "crowds")), ["tree", "region"])
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
     met = (met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
            .select("tree", "region", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                    F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-                   "heads", "node", "component", "sketch"))
+                   "heads", "node", "component", "sketch", *counts))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tile = ["tree", "region", "low", "high"]
     ordered = met.repartition(n, *tile).sortWithinPartitions(*tile)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-            *known, sides, firsts, trees = rows
+            known, (sides, firsts, trees), most = rows[:4], rows[4:7], rows[7:]
             return _pairs([*known, np.zeros(len(sides), np.int64), np.zeros(len(sides), bool)], 0, len(sides), limit,
-                          (sides, firsts, trees))
+                          (sides, firsts, trees), most)
 
         held = None
         for batch in batches:
@@ -200,7 +208,9 @@ def rest(nodes: DataFrame, limit: int | None) -> DataFrame:
                    batch.column("component").to_numpy(),
                    np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, 4),
                    batch.column("side").to_numpy(),
-                   np.frombuffer(b"".join(batch.column("heads").to_pylist()), ">u4").reshape(-1, TREES), trees]
+                   np.frombuffer(b"".join(batch.column("heads").to_pylist()), ">u4").reshape(-1, TREES), trees,
+                   *[batch.column(c).flatten().to_numpy().reshape(-1, BUCKETS) if c == "shared" else batch.column(c).to_numpy()
+                     for c in counts]]
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             before = np.flatnonzero(now[0] != now[0][-1])
@@ -215,10 +225,12 @@ def rest(nodes: DataFrame, limit: int | None) -> DataFrame:
             .groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b")))
 
 
-def _pairs(rows: list[np.ndarray], old: int, reach: int, limit: int | None, tiles: tuple | None = None) -> pa.RecordBatch:
+def _pairs(rows: list[np.ndarray], old: int, reach: int, limit: int | None, tiles: tuple | None = None,
+           most: tuple | list = ()) -> pa.RecordBatch:
     """Pairs whose later row is not among the first `old`; counts what each row has proposed in rows[4].
 
     `tiles`, where regions are tiles, has each row's side (2 meets its own), labels that begin its trees, and tree.
+    `most`, where known, has each row's number of shingles and how many of them, by bucket, a partner may share.
     """
     regions, nodes, parts, sketches, proposed, more = rows
     left, right = [], []
@@ -242,6 +254,11 @@ def _pairs(rows: list[np.ndarray], old: int, reach: int, limit: int | None, tile
         if tiles is not None and len(one):
             first = (tiles[1][one] == tiles[1][two]).argmax(axis=1) == tiles[2][one]
             one, two = one[first], two[first]
+        if len(most) and len(one):
+            sizes, shared = most
+            common = np.minimum(shared[one], shared[two]).sum(axis=1)
+            fit = 100 * common >= PERCENT * (sizes[one] + sizes[two] - common)
+            one, two = one[fit], two[fit]
         if limit is not None:
             free = proposed[one] < limit
             more[one[~free]] = more[two[~free]] = True
@@ -262,6 +279,58 @@ def _pairs(rows: list[np.ndarray], old: int, reach: int, limit: int | None, tile
          pa.array(np.concatenate([more[right], np.zeros(none, bool)]))], names=["a", "b", "more_a", "more_b"])
 
 
+def marks(asked: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """node, component, shingle: all shingles of the nodes in `asked` (node, component, doc_id, text_hash)."""
+    source = docs.select(F.col(doc_id).cast("long").alias("of"), F.col(text).cast("string").alias("text"))
+    texts = (source.withColumn("hash", F.xxhash64("text"))
+             .join(small_side(asked), (F.col("hash") == F.col("text_hash")) & F.col("of").eqNullSafe(F.col("doc_id")))
+             .select("node", "component", "text").dropDuplicates(["node"]))  # rows may repeat
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            nodes, parts = batch.column("node").to_numpy(), batch.column("component").to_numpy()
+            for at, texts in pieces(batch.column("text"), 1 << 18):
+                sets = [shingles(t, known) for t in texts]
+                owner = np.repeat(np.arange(at, at + len(sets)), list(map(len, sets)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes[owner]), pa.array(parts[owner]), pa.array(np.concatenate(sets).view(np.int64))],
+                    names=["node", "component", "shingle"])
+        known.clear()
+        give_back()
+
+    return texts.mapInArrow(run, "node long, component long, shingle long")
+
+
+def by_rarity(marked: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a, b (a < b) of different components that share a shingle which at most RARE nodes have, and could reach 75 %;
+    and node, size, shared of all nodes: how many shingles it has, and how many of them, by bucket, more than RARE nodes have.
+
+    `marked` has node, component, shingle; `sizes` node, size.
+    """
+    counts = marked.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    seen = stored(marked.join(counts, "shingle"), "seen")
+    bucket = F.pmod(F.xxhash64("shingle"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    frequent = (seen.where(F.col("n") > RARE).groupBy("node", bucket).agg(F.count(F.lit(1)).alias("k"))
+                .groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "k"))).alias("by")))
+    shared = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at("by", b), F.lit(0)))
+    bounds = stored(sizes.join(frequent, "node", "left").select("node", "size", shared.cast("array<int>").alias("shared")), "bounds")
+    # few nodes a shingle; nodes that share many shingles stand in one list, with their number
+    lists = (seen.where(F.col("n") <= RARE).groupBy("shingle")
+             .agg(F.array_sort(F.collect_list(F.struct("node", "component"))).alias("nodes"))
+             .groupBy("nodes").agg(F.count(F.lit(1)).alias("rare")))
+    pairs = (lists.select(F.posexplode("nodes").alias("at", "one"), "nodes", "rare")
+             .select("one", F.explode(F.slice("nodes", F.col("at") + 2, F.lit(RARE))).alias("two"), "rare")
+             .where("one.component != two.component")
+             .groupBy(F.col("one.node").alias("a"), F.col("two.node").alias("b")).agg(F.sum("rare").alias("rare")))
+    total = bounds.select("node", "size", F.aggregate("shared", F.lit(0), lambda x, y: x + y).alias("shared"))
+    for side in ("a", "b"):
+        pairs = pairs.join(small_side(total).toDF(side, f"size_{side}", f"shared_{side}"), side)
+    common = F.col("rare") + F.least("shared_a", "shared_b")
+    fit = 100 * common >= PERCENT * (F.col("size_a") + F.col("size_b") - common)
+    return pairs.where(fit).select("a", "b"), bounds
+
+
 def confirmed(pairs: DataFrame, names: DataFrame, docs: DataFrame, doc_id: str, text: str, fan: int = 64) -> DataFrame:
     """The pairs that hold on full sets. Each text travels once to every hub (the smaller node) that asks for it.
 
@@ -311,35 +380,45 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     full = rows.where(F.col("print").isNotNull())
     first = F.min(F.struct("doc_id", "text_hash", "labels", "sketch"))
     own = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
-    classes = full.groupBy("print").agg(first.alias("first"), F.min(own).alias("least")).select(
-        "print", "least", "first.doc_id", "first.text_hash", "first.labels", "first.sketch")
+    classes = full.groupBy("print").agg(first.alias("first"), F.min(own).alias("least"),
+                                           F.max("n_shingles").alias("size")).select(
+        "print", "least", "size", "first.doc_id", "first.text_hash", "first.labels", "first.sketch")
     nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     names = nodes.select("node", "doc_id", "text_hash")
 
-    found = tested = parts = waiting = None
-    steps = [proposals, *[partial(rest, limit=n) for n in REST]]
+    found = tested = parts = waiting = bounds = None
+    steps = [proposals, *[partial(rest, limit=n) for n in (0, *REST)]]  # 0 only tells who has something to propose
     step = 0
     while step < len(steps):
         active = nodes.select("node", "labels", "sketch")
         active = active if waiting is None else active.join(waiting, "node", "left_semi")
         active = (active.withColumn("component", F.col("node")) if parts is None else
                   active.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        active = active if bounds is None else active.join(bounds, "node")
         proposed = stored(steps[step](active), "proposals")
         pairs = proposed.where(F.col("b").isNotNull()).select("a", "b")
+        if step == 1:
+            asked = proposed.select(F.col("a").alias("node"))
+            if asked.isEmpty():
+                break
+            asked = stored(active.select("node", "component").join(asked, "node", "left_semi")
+                           .join(nodes.select("node", "size", "doc_id", "text_hash"), "node"), "asked")
+            pairs, bounds = by_rarity(stored(marks(asked, docs, doc_id, text), "marks"), asked.select("node", "size"))
         new = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         new = stored(new, "pairs")
-        linked = False
+        linked = worth = False
         if not new.isEmpty():
             links = stored(confirmed(new, names, docs, doc_id, text), "links")
             tested = new if tested is None else tested.unionAll(new)
-            linked = not links.isEmpty()
+            n_links = links.count()
+            linked, worth = n_links > 0, 2 * n_links >= new.count()
         if linked:
             found = links if found is None else found.unionAll(links)
             parts = stored(components(found), "parts")
         waiting = (proposed.where("more_a").select(F.col("a").alias("node"))
                    .unionAll(proposed.where("more_b").select("b")))
         if step == 0:
-            if not linked or waiting.isEmpty():
+            if not worth or waiting.isEmpty():
                 step, waiting = 1, None  # every node has a say in the regions
         elif waiting.isEmpty():
             break

@@ -101,6 +101,24 @@ def test_near_pairs_among_many_on_one_template(spark):
     assert {r.doc_id: r.component_id for r in got} == {n: n - 11 if n % 20 == 11 else n for n in range(600)}
 
 
+def test_pairs_just_below_on_one_template_are_not_all_confirmed(spark, monkeypatch):
+    """Near copies of one text, each with its own words at its own places: 79 of them reach no other one, all meet all."""
+    rng = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for n in range(400):
+        words = base.copy()
+        for at in rng.choice(30, 4 if n % 5 else 6, replace=False) * 5:
+            words[at] = f"x{n}n{at}"
+        rows.append((n, " ".join(words)))
+    confirmed, seen = neardup.confirmed, []
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *rest: (seen.append(pairs.count()), confirmed(pairs, *rest))[1])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert sum(seen) < 20 * len(rows)
+
+
 def test_crowded_regions_meet_in_tiles(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(n, n, b"\0" * 256, rng.bytes(32)) for n in range(40)]
