@@ -10,6 +10,7 @@ places its own pieces.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from collections import Counter
@@ -21,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import lower_ascii, numbered, pieces
-from quire.session import ship
+from quire.llm.common import give_back, lower_ascii, numbered, pieces
+from quire.session import ship, small_batches
 
 CAPACITY = 4096
 END_TOKEN = 1
+PIECE_BYTES = 1 << 18  # bytes of text tokenised at once
 
 
 _MARK = re.compile("[\u0300-\u036f]")
@@ -118,7 +120,8 @@ class WordTokenizer:
 
 @functools.lru_cache(maxsize=1)
 def _tokenizer(path: str) -> WordTokenizer:
-    """One a Python worker, which keeps the words of its earlier tasks."""
+    """One a Python worker, which keeps the words of its earlier tasks. Spark has a worker a core, so it needs no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return WordTokenizer(path)
 
 
@@ -129,6 +132,7 @@ def cut(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacit
     A null is empty text, whose only id is the end token. Repeated rows are cut each.
     """
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     source = docs.select(*keep, F.col(text).cast("string").alias("__text__"))
     added = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
                          T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -138,7 +142,7 @@ def cut(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacit
         tokenizer = _tokenizer(path)
         for batch in batches:
             kept = batch.select(keep)
-            for at, texts in pieces(batch.column("__text__"), 1 << 20):
+            for at, texts in pieces(batch.column("__text__"), PIECE_BYTES):
                 rows: list[tuple] = []
                 owner = []
                 for i, made in enumerate(tokenizer.encode([t or "" for t in texts])):
@@ -150,6 +154,7 @@ def cut(docs: DataFrame, keep: list[str], path: str, text: str = "text", capacit
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
                 same = kept.take(pa.array(owner, pa.int64())).columns
                 yield pa.RecordBatch.from_arrays([*same, *columns], names=out.names)
+            give_back()
 
     return source.mapInArrow(run, out)
 

@@ -1,7 +1,10 @@
 """Each training-data operator against a brute-force version, and on nulls, empty and repeated rows, ties, empty tables."""
 
 import hashlib
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -128,6 +131,18 @@ def test_crowded_regions_meet_in_tiles(spark, monkeypatch):
     assert [(r.a, r.b) for r in neardup.rest(nodes, None).collect()] == [(2, 33)]
 
 
+def test_tokenising_workers_start_no_threads(tmp_path):
+    """Threads of the tokenizer, one a core and worker, each hold memory of their own."""
+    code = ("import os; from quire.llm import packing; import public_tokenizers\n"
+            "made = packing._tokenizer(public_tokenizers.path('word_bpe_49k.json'))\n"
+            "before = len(os.listdir('/proc/self/task'))\n"
+            "made.encode([' '.join(f'ab{i} cd-{i}' for i in range(20_000))])\n"
+            "assert len(os.listdir('/proc/self/task')) == before")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    folder = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=folder, env=env).returncode == 0
+
+
 @pytest.mark.parametrize("few", [0, graphs.FEW_LINKS])
 def test_components_both_ways(spark, few):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (103, 101)]
