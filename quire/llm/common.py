@@ -62,10 +62,11 @@ def schema_of(fields: str | T.StructType) -> T.StructType:
 
 
 def with_text_results(df: DataFrame, text: str, keep: list[str], result: str | T.StructType,
-                      start: Callable[[], Callable[[list[str | None]], list[list]]]) -> DataFrame:
+                      start: Callable[[], Callable[[list[str | None]], list[list]]], limit: int = BATCH_BYTES) -> DataFrame:
     """Columns `keep`, then the columns of `result`, worked out from whole texts.
 
-    `start` runs once a task and returns a function from a list of texts to one list per result column. Only `keep` and
+    `start` runs once a task and returns a function from a list of texts, whole ones of about `limit` bytes together, to one
+    list per result column. Only `keep` and
     `text` reach Python, the text once; a name used by both sides belongs to the result.
     """
     ship(df.sparkSession)
@@ -85,7 +86,7 @@ def with_text_results(df: DataFrame, text: str, keep: list[str], result: str | T
         kinds = [to_arrow_type(f.dataType) for f in made]
         for batch in batches:
             kept = batch.select(keep) if keep else None
-            for at, texts in pieces(batch.column(read)):
+            for at, texts in pieces(batch.column(read), limit):
                 found = [pa.array(v, t) for v, t in zip(work(texts), kinds)]
                 same = kept.slice(at, len(texts)).columns if keep else []
                 yield pa.RecordBatch.from_arrays([*same, *found], names=out.names)

@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import crc32_text, pieces, with_text_results
-from quire.session import ship
+from quire.llm.common import crc32_text, give_back, pieces, with_text_results
+from quire.session import ship, small_batches
 
 UNKNOWN = "und"
 # Unit vectors are summed as whole numbers of this fraction, so that a sum does not depend on the order of its rows.
 FINE = 1_000_000
+PIECE_BYTES = 1 << 20  # bytes of text bundled at once
 
 
 class Profiles:
@@ -120,6 +121,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dims: int
     `max_languages` labels are refused, as they are no set of languages.
     """
     ship(labelled.sparkSession)
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
@@ -127,7 +129,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dims: int
         profiles, sums = Profiles(dims, seed), {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for at, texts in pieces(batch.column("text"), 1 << 20):
+            for at, texts in pieces(batch.column("text"), PIECE_BYTES):
                 vectors, letters = profiles.bundle(texts)
                 whole = np.rint(unit(vectors) * FINE).astype(np.int64)
                 names, which = np.unique(np.array(langs[at:at + len(texts)], object), return_inverse=True)
@@ -136,6 +138,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", dims: int
                         sums[name] = sums.get(name, 0) + whole[mine].sum(axis=0)
         yield pa.RecordBatch.from_pydict({"lang": pa.array(list(sums), pa.string()), "sums": pa.array(
             [v.tolist() for v in sums.values()], pa.list_(pa.int64()))})
+        give_back()
 
     parts = rows.mapInArrow(add_up, "lang string, sums array<bigint>")
     totals = (parts.select("lang", F.posexplode("sums").alias("dim", "value"))
@@ -164,7 +167,7 @@ def identify(df: DataFrame, prototypes: Prototypes, keep: list[str], text: str =
 
         return work
 
-    return with_text_results(df, text, keep, "lang_pred string, score double", start)
+    return with_text_results(df, text, keep, "lang_pred string, score double", start, PIECE_BYTES)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -50,6 +50,17 @@ def test_language_learns_and_rejects(spark, docs):
     assert {r.lang_pred for r in language.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_learning_languages_takes_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        assert language.learn(docs).languages
+        assert int(spark.conf.get(name)) <= 8 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_bundles_do_not_depend_on_company():
     profiles = language.Profiles(64)
     texts = ["Hello world", None, "", "ärger 12", "日本語"]
