@@ -9,6 +9,7 @@ places its own pieces.
 
 from __future__ import annotations
 
+import codecs
 import functools
 import os
 import re
@@ -18,24 +19,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import give_back, lower_ascii, numbered, pieces
+from quire.llm.bpe import byte_alphabet
+from quire.llm.common import give_back, lower_ascii, numbered, pieces, stored
 from quire.session import ship, small_batches
 
 CAPACITY = 4096
 END_TOKEN = 1
-PIECE_BYTES = 1 << 18  # bytes of text tokenised at once
+PIECE_BYTES = 1 << 19  # bytes of text tokenised at once
 
 
 _MARK = re.compile("[\u0300-\u036f]")
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]*)([!-/:-@\[-`{-~]*)")  # letters, then signs
 _STOP = re.compile("[,.](?<=[a-z].)(?= |$)")  # the mark first, so that the search skips to marks
 
 
 class WordTokenizer:
-    """Token ids of whole texts, for byte-pair vocabularies that lower texts, drop white space and end words by `</w>`.
+    """Token ids of whole texts, for byte-level vocabularies that lower texts, part letters from signs at white space and
+    between them, and end words by `</w>`.
 
     Such a tokenizer gives a text the ids of its words one after another, so each distinct word is tokenised once; at
     most `most_words` are remembered at a time. Texts are parted at spaces, at line feeds and before a comma or full
@@ -46,76 +51,78 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self._ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._most, self._places = most_words, {}
-        self._begins, self._sizes = np.zeros(most_words, np.int64), np.zeros(most_words, np.int64)
-        self._ids, self._used = np.zeros(1 << 20, np.uint32), 0
+        self._model, self._most = self._tokenizer.model, most_words
+        self._shown = "".join(sorted(alphabet := byte_alphabet(), key=alphabet.get))  # the character of each byte
+        self.forget()
+
+    def forget(self) -> None:
+        """Remember no word."""
+        self._places: dict[str, int] = {}
+        self._sizes, self._ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._begins = np.zeros(0, np.int64)
 
     @staticmethod
-    def words(text: str) -> list[str]:
+    def parted(text: str) -> str:
+        """The text's words with one space between each two; a space more is an empty word."""
         if text.isascii():
             text = text.lower()
         elif not _MARK.search(text):  # a mark could join a small letter, but not its capital
             text = lower_ascii(text).decode("utf-8", "surrogatepass")
-        return _STOP.sub(r" \g<0>", text.replace("\n", " ")).split(" ")
+        return _STOP.sub(r" \g<0>", text.replace("\n", " "))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.words(t) for t in texts]
-        flat = [w for words in split for w in words]
-        ids, counts = [], []
-        for at in range(0, len(flat), self._most):
-            part, sizes = self._look_up(flat[at:at + self._most])
-            ids.append(part)
-            counts.append(sizes)
-        every = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        sums = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
-        return np.split(every, sums[np.cumsum([len(words) for words in split])])[:len(texts)]
+        if not texts:
+            return []
+        split = pa.compute.split_pattern(pa.array(map(self.parted, texts), pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = [self._look_up(words[at:at + self._most]) for at in range(0, len(words), self._most)]
+        ids, sizes = (np.concatenate(x) for x in zip(*found))
+        every, sizes = _gather(ids, np.cumsum(sizes) - sizes, sizes, coded.indices.to_numpy())
+        ends = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+        return [every[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
     def _look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, and how many each has."""
         places = list(map(self._places.get, words))
         if None in places:
             missing = [i for i, p in enumerate(places) if p is None]
-            new = {words[i] for i in missing}
-            if len(self._places) + len(new) > self._most:
-                self._places.clear()
-                self._used, new, missing = 0, set(words), range(len(words))
-            self._learn(list(new))
-            for i in missing:
-                places[i] = self._places[words[i]]
-        at = np.array(places, np.int64)
-        sizes = self._sizes[at]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        return self._ids[np.repeat(self._begins[at] - ends + sizes, sizes) + np.arange(total)], sizes
+            if len(self._places) + len(missing) > self._most:
+                self.forget()
+                missing = range(len(words))
+            first = len(self._places)
+            self._learn([words[i] for i in missing])
+            for place, i in enumerate(missing, first):
+                places[i] = place
+        return _gather(self._ids, self._begins, self._sizes, np.array(places, np.int64))
 
     def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha()]  # letters only: one word to the tokenizer too
-        for at in range(0, len(plain), 10_000):
-            part = plain[at:at + 10_000]
-            made = self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
-            ids = np.array(made, np.uint32)
-            ends = np.flatnonzero(self._ends[ids]) + 1
-            if len(ends) == len(part):
-                self._add(part, ids, np.diff(ends, prepend=0))
+        made: list[int] = []
+        ends = []
+        for word in words:
+            if word.isascii() and word.isalpha() and word.islower():
+                made += [t.id for t in self._model.tokenize(word)]
+            elif plain := _PLAIN.fullmatch(word):  # the tokenizer too has letters and signs apart, and no more than that
+                for part in filter(None, plain.groups()):
+                    if not part.isascii():
+                        part = codecs.charmap_decode(part.encode(), "strict", self._shown)[0]
+                    made += [t.id for t in self._model.tokenize(part)]
             else:
-                self._add_each(part)
-        self._add_each([w for w in words if not w.isalpha()])
-
-    def _add_each(self, words: list[str]) -> None:
-        made = [e.ids for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self._add(words, np.array([i for ids in made for i in ids], np.uint32), np.array([len(m) for m in made], np.int64))
-
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+                made += self._tokenizer.encode(word, add_special_tokens=False).ids
+            ends.append(len(made))
         first = len(self._places)
         self._places.update(zip(words, range(first, first + len(words))))
-        self._sizes[first:first + len(words)] = sizes
-        self._begins[first:first + len(words)] = self._used + np.cumsum(sizes) - sizes
-        if self._used + len(ids) > len(self._ids):
-            self._ids = np.concatenate([self._ids, np.zeros(len(self._ids) + len(ids), np.uint32)])
-        self._ids[self._used:self._used + len(ids)] = ids
-        self._used += len(ids)
+        sizes = np.diff(np.array(ends, np.int64), prepend=0)
+        self._sizes = np.concatenate([self._sizes, sizes])
+        self._begins = np.concatenate([self._begins, len(self._ids) + np.cumsum(sizes) - sizes])
+        self._ids = np.concatenate([self._ids, np.array(made, np.uint32)])
+
+
+def _gather(ids: np.ndarray, begins: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids one after another, the ones at these places, and their sizes."""
+    sizes = sizes[at]
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(begins[at] - ends + sizes, sizes) + np.arange(sizes.sum())], sizes
 
 
 @functools.lru_cache(maxsize=1)
@@ -274,7 +281,8 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, ...]]:
 
 def pack(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to pieces. Only the histogram, at most `capacity` numbers, reaches the driver."""
-    ranked = numbered(cuts, ["length"], "pieces", rank="__rank__")
+    # Stored first: a task that cuts and numbers needs two Python workers at once, and both kinds come to hold a tokenizer.
+    ranked = numbered(stored(cuts, "cuts"), ["length"], "pieces", rank="__rank__")
     histogram = {r["length"]: r["n"] for r in ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = cuts.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))  # a few rows a length
     out = T.StructType([*cuts.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

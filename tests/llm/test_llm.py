@@ -253,6 +253,37 @@ def test_word_tokenizer_equals_the_library():
             [whole.encode(t, add_special_tokens=False).ids for t in odd]
 
 
+def test_word_tokenizer_looks_distinct_words_up_and_equals_the_library(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd = ["lichöbe%%% çà'' ñ̃ ü̈!", "é A e\u0301 B", "a b, a b. a", "ö÷ø× ªºµ x'll ÿ'.", "%%% b%%% B%%%", "ä" * 50]
+    asked = []
+    look_up = packing.WordTokenizer._look_up
+    monkeypatch.setattr(packing.WordTokenizer, "_look_up", lambda self, words: asked.extend(words) or look_up(self, words))
+    whole = Tokenizer.from_file(path)
+    assert [x.tolist() for x in packing.WordTokenizer(path).encode(odd)] == \
+        [whole.encode(t, add_special_tokens=False).ids for t in odd]
+    assert len(asked) == len(set(asked))
+
+
+def test_packing_takes_one_python_worker_a_task(spark, monkeypatch):
+    from quire.llm import common
+
+    plans = []
+
+    def stored(df, name, store=common.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, name)
+
+    monkeypatch.setattr(common, "stored", stored)
+    monkeypatch.setattr(packing, "stored", stored, raising=False)
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert packing.pack_documents(docs).count() == 2
+    assert plans and all(p.count("MapInArrow") <= 1 for p in plans)
+
+
 def test_pages(spark):
     assert html.main_text(None) == html.main_text("") == ""
     page = ('<nav><a>x</a></nav><div class="cookie-notice">Cookies</div><article><h1>A &amp; B</h1><p>one <i>two</i>three<br>'
