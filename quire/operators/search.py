@@ -178,6 +178,13 @@ def _values(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
 
 
+def _add_rows(best, rows: pa.Table, ids: str, vectors: str) -> None:
+    """Add a block's rows some tiles at a time: only those are held as doubles, beside the block itself."""
+    for at in range(0, rows.num_rows, 2 * _TILE):
+        part = rows.slice(at, 2 * _TILE)
+        best.add(_values(part.column(ids)), _matrix(part.column(vectors)))
+
+
 def _hits(schema: pa.Schema, found) -> pa.Table:
     if len(found[0]) == 0:
         return schema.empty_table()
@@ -297,7 +304,7 @@ def _against_blocks(chunks, queries, schema, make):
         if rows.num_rows == 0 or asked.num_rows == 0:
             return arrow.empty_table()
         best = make(_values(asked.column("query_id_")), _matrix(asked.column("query_id_vector")))
-        best.add(_values(rows.column("chunk_id_")), _matrix(rows.column("chunk_id_vector")))
+        _add_rows(best, rows, "chunk_id_", "chunk_id_vector")
         return _hits(arrow, best.result())
 
     return (

@@ -160,3 +160,19 @@ def test_one_search_checks_its_request(spark, data):
     fitted = search.vector_search(data[2], [1.0, 0.0, 0.0, 1.0, 9.0], 0, 0.1, 5, dimensions=4).collect()
     assert fitted == search.vector_search(data[2], [1.0, 0.0, 0.0, 1.0], 0, 0.1, 5).collect()
     assert search.search_arguments(threshold=0) == (10, 0)
+
+
+def test_blocks_become_doubles_some_tiles_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    sizes = []
+    matrix = search._matrix
+    monkeypatch.setattr(search, "_matrix", lambda column: sizes.append(len(column)) or matrix(column))
+    rows = np.random.default_rng(3).standard_normal((5000, 4))
+    block = pa.table({"id": np.arange(5000), "vector": pa.array(rows.tolist())})
+    ids, queries = np.arange(7), matrix(pa.array(rows[:7].tolist()))
+    parts, whole = (search._Best(ids, queries, 5, 0.1, True) for _ in range(2))
+    search._add_rows(parts, block, "id", "vector")
+    whole.add(np.arange(5000), matrix(pa.array(rows.tolist())))
+    assert max(sizes) <= 2 * search._TILE and sum(sizes) == 5000
+    assert all(np.array_equal(a, b) for a, b in zip(parts.result(), whole.result()))
